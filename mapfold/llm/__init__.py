@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline. Nothing else in the package imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel with them: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

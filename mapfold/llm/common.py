@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ def discard(df: DataFrame) -> None:
 def pair_hash(*cols: Column) -> list[Column]:
     """128 bits of hash as two longs, for keys that must not collide over billions of rows."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of queries that are over: it does so when their handles are collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

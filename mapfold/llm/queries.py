@@ -3,13 +3,19 @@
 from .fingerprint import op10_fingerprints
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP4_SQL, op4_mixing
+from .packing import op6_packing
 from .sharding import op7_sharding
+from .simhash import op8_simhash
+from .substring_dedup import op3_substring_dedup
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_simhash": op8_simhash,
     "op9_url_filters": op9_url_filters,
     "op10_fingerprints": op10_fingerprints,
 }
