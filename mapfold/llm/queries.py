@@ -7,9 +7,11 @@ from .packing import op6_packing
 from .sharding import op7_sharding
 from .simhash import op8_simhash
 from .substring_dedup import op3_substring_dedup
+from .toxicity import op2_toxicity
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
