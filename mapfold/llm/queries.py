@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .ann import op1_ann
 from .fingerprint import op10_fingerprints
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP4_SQL, op4_mixing
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
