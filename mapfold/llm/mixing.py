@@ -1,9 +1,9 @@
 """Mixing sources to target weights by temperature.
 
 The token shares of the sources are raised to an exponent a in [0, 1] and normalised: a = 1 keeps the shares,
-a = 0 makes them equal. a is bisected to the largest value that meets a target: an entropy of at least
-`entropy` times the greatest possible, or no source seen more than `max_repeats` times. The weights are then
-realised under a token budget as block permutations: the documents of a source fall into blocks of about
+a = 0 makes them equal. a is bisected to a target: the largest value with an entropy of at least `entropy` times
+the greatest possible, or the smallest (flattest) that shows no source more than `max_repeats` times. The weights
+are then realised under a token budget as block permutations: the documents of a source fall into blocks of about
 `block_tokens` tokens by a hash, each block gets its part of the source's tokens, gives whole permutations of
 itself while the tokens last (epochs 0, 1, ...) and then the first documents of a further permutation, as far
 as they fit. A block is small whatever the source's size, so no task holds a source. Only DataFrame operations
@@ -37,13 +37,15 @@ def source_tokens(documents: DataFrame, key: str = "source", tokens: str = "n_to
 
 
 def bisect_exponent(shares: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
-    """The largest exponent that meets the target, over shares (source, tokens).
+    """The exponent that meets the target, over shares (source, tokens): one of entropy and max_repeats.
 
     entropy: least entropy of the weights, as part of the log of the number of sources that have tokens.
     max_repeats: greatest weight x budget / tokens of a source; without a budget, the budget at which the
     source least repeated is seen just once. Each pass scores all midpoints of the next HALVINGS halvings at
     once, so a pass is one small aggregation and the driver gets 2^HALVINGS - 1 rows of it.
     """
+    if (entropy is None) == (max_repeats is None):
+        raise ValueError("one target is needed: entropy or max_repeats")
     used = shares.where("tokens > 0")
     n, total, least, most = used.agg(F.count(F.lit(1)), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     if not n:
@@ -51,24 +53,25 @@ def bisect_exponent(shares: DataFrame, entropy: float | None = None, max_repeats
     low, high = 0.0, 1.0
     log_share = F.ln(F.col("tokens") / F.lit(float(total)))
 
-    def holds(z: float, e: float, a: float) -> bool:
+    def up(z: float, e: float, a: float) -> bool:
+        """Whether the exponent sought is a or more."""
         if entropy is not None:
             return math.log(z) - a * e / z >= entropy * math.log(n) - 1e-12
         if budget is None:
-            return (most / least) ** (1 - a) <= max_repeats
-        return (least / total) ** a / z * budget / least <= max_repeats
+            return (most / least) ** (1 - a) > max_repeats
+        return (least / total) ** a / z * budget / least > max_repeats
 
     for _ in range(PASSES):
         points = [low + (high - low) * i / 2**HALVINGS for i in range(1, 2**HALVINGS)]
         at = used.select(log_share.alias("l"), F.posexplode(F.array(*map(F.lit, points))).alias("k", "a"))
         found = at.groupBy("k").agg(F.sum(F.exp(F.col("a") * F.col("l"))).alias("z"), F.sum(F.exp(F.col("a") * F.col("l")) * F.col("l")).alias("e")).collect()
-        met = {r["k"] + 1: holds(r["z"], r["e"], points[r["k"]]) for r in found}
+        met = {r["k"] + 1: up(r["z"], r["e"], points[r["k"]]) for r in found}
         left, right = 0, 2**HALVINGS
         for _ in range(HALVINGS):
             mid = (left + right) // 2
             left, right = (mid, right) if met[mid] else (left, mid)
         low, high = low + (high - low) * left / 2**HALVINGS, low + (high - low) * right / 2**HALVINGS
-    return low
+    return low if entropy is not None else high
 
 
 def permutation_key(ident: Column, *salt: Column) -> Column:

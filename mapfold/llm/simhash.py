@@ -51,10 +51,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
+def fingerprints(text: str, words: int = WORDS) -> Column:
+    """The fingerprints of a text column, as signed longs."""
+
+    @F.pandas_udf(LongType())
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(t, words) for t in batch], np.uint64).view(np.int64))
+
+    return of(text)
 
 
 def blocks(budget: int = BUDGET) -> list[tuple[int, ...]]:
@@ -158,9 +163,9 @@ def fingerprint_links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFram
     return dealt.mapInArrow(_links_of_tasks(budget), "src long, dst long")
 
 
-def simhash_components(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
+def simhash_components(documents: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links."""
-    prints = materialize(documents.select("doc_id", _fingerprints("text").alias("fp")), "fingerprints")
+    prints = materialize(documents.select("doc_id", fingerprints("text", words).alias("fp")), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = materialize(components(fingerprint_links(distinct.select("fp"), budget)), "groups")
     # of each fingerprint the smallest doc_id, and of each component the smallest of those
@@ -170,9 +175,9 @@ def simhash_components(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
+def near_duplicates(documents: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """documents, the one of smallest doc_id kept of each component (one row, if that is repeated)."""
-    keep = simhash_components(documents, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = simhash_components(documents, budget, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
     return kept.dropDuplicates(["doc_id"])
 
