@@ -1,5 +1,514 @@
 """The registered map queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, mercator, text, wkt
+from ..operators import cluster, grid, ingest, lookup, match, raster
+from ..sources import registry, sinks
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "heatmap_points_exact"
+
+#: Origin of the grids, and the views: the world, and a part of it with lines of several pixels a segment.
+OX, OY = -20037509.0, -20037509.0
+WORLD = raster.Viewport(-20037509.0, -15538712.0, 20037509.0, 15538712.0, 800, 600)
+PART = raster.Viewport(-5009377.3, -3757033.7, 5009377.3, 3757033.7, 800, 600)
+COARSE = raster.Viewport(-20037509.0, -15538712.0, 20037509.0, 15538712.0, 400, 300)
+CLICK = (-1234567.8, 2345678.9, 900000.0)
+
+X_SQL, Y_SQL = "lng*20037508.342789244/180", "6378137*ln(tan(pi()/4 + lat*pi()/360))"
+P_SQL = f"SELECT row_id, qid, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['points']})"
+D_SQL = f"SELECT row_id, qid, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['dup_points']})"
+M_SQL = f"SELECT row_id, qid, part_idx, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['multi_points']})"
+L_SQL = f"SELECT row_id, v, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['line_vertices']})"
+A_SQL = f"SELECT row_id, ring_idx, v, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['area_vertices']})"
+S_SQL = "SELECT row_id, v, x AS ax, y AS ay, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM ({v}) WINDOW w AS (PARTITION BY row_id ORDER BY v)"
+DIST_SQL = "sqrt((px - ax - t*(qx-ax))*(px - ax - t*(qx-ax)) + (py - ay - t*(qy-ay))*(py - ay - t*(qy-ay)))"
+T_SQL = "CASE WHEN (qx-ax)*(qx-ax)+(qy-ay)*(qy-ay) = 0 THEN 0 ELSE greatest(0, least(1, ((px-ax)*(qx-ax)+(py-ay)*(qy-ay)) / ((qx-ax)*(qx-ax)+(qy-ay)*(qy-ay)))) END"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def pixel_sql(view: raster.Viewport, source: str, x: str = "x", y: str = "y", n: str = "count(*)") -> str:
+    px, py = f"trunc(({x} - ({view.x1})) / {view.x2 - view.x1!r} * {float(view.width)})", f"trunc({float(view.height)} - ({y} - ({view.y1})) / {view.y2 - view.y1!r} * {float(view.height)})"
+    inside = f"({x} - ({view.x1})) / {view.x2 - view.x1!r} * {float(view.width)} > -1 AND {float(view.height)} - ({y} - ({view.y1})) / {view.y2 - view.y1!r} * {float(view.height)} > -1"
+    return f"SELECT CAST({px} AS INT) AS px, CAST({py} AS INT) AS py, CAST({n} AS DOUBLE) AS weight FROM ({source}) WHERE {inside} AND {px} >= 0 AND {px} < {view.width} AND {py} >= 0 AND {py} < {view.height} GROUP BY 1, 2"
+
+
+def cell_sql(v: str, o: float) -> str:
+    return f"CAST(greatest(0, floor(({v} - ({o})) / 65536)) AS INT)"
+
+
+def projected(df: DataFrame) -> DataFrame:
+    return df.withColumns({"x": mercator.x_of(F.col("lng")), "y": mercator.y_of(F.col("lat"))})
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    return projected(fx.points(spark, sf)).select("row_id", "qid", "x", "y")
+
+
+def dup_points(spark: SparkSession, sf: str) -> DataFrame:
+    return projected(fx.dup_points(spark, sf)).select("row_id", "qid", "x", "y")
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.project(ingest.vertices_to_lines(fx.line_vertices(spark, sf)))
+
+
+def areas(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.project(ingest.vertices_to_lines(fx.area_vertices(spark, sf), "AREA", "ring_idx"))
+
+
+def dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of many parts, keyed by qid."""
+    m = projected(fx.multi_points(spark, sf))
+    return m.select("qid", "part_idx", F.lit("POINT").alias("kind"), "x", "y", F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
+
+
+def r3(*columns: str) -> list:
+    return [F.round(c, 3).alias(c) for c in columns]
+
+
+# sources and result columns
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT 8 AS top FROM ({fx.SQL['folded']}) UNION ALL SELECT 0 FROM ({fx.SQL['points']})) WHERE top <> 8")
+def scan_without_folded(spark, sf):
+    both = fx.folded(spark, sf).unionByName(fx.points(spark, sf).select("row_id", "qid"))
+    return registry.without_folded(both).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT count(nullif(wkt, 'JUNK')) AS n FROM ({fx.SQL['result']})")
+def count_geometries(spark, sf):
+    return registry.count(fx.result(spark, sf).select(F.nullif(F.col("wkt"), F.lit("JUNK")).alias("wkt")), "wkt")
+
+
+@query(f"SELECT row_id, wkt FROM ({fx.SQL['result']}) ORDER BY row_id LIMIT 100 OFFSET 250")
+def page_of_rows(spark, sf):
+    return registry.page(fx.result(spark, sf).select("row_id", "wkt"), "row_id", 250, 100)
+
+
+@query(f"SELECT CAST(floor(row_id / 400) AS BIGINT) AS page, count(*) AS n, min(row_id) AS first FROM ({fx.SQL['result']}) GROUP BY 1")
+def page_ranges(spark, sf):
+    return registry.pages(fx.result(spark, sf), "row_id", 400).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+
+
+@query(f"SELECT row_id, wkt AS geometry FROM ({fx.SQL['result']})")
+def last_column(spark, sf):
+    df = fx.result(spark, sf)
+    return df.select("row_id", F.col(ingest.last_column(df)).alias("geometry"))
+
+
+@query(f"SELECT * FROM ({fx.SQL['result']}) WHERE row_id = 777")
+def row_lookup(spark, sf):
+    return fx.result(spark, sf).where("row_id = 777")
+
+
+@query(f"SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '---' ELSE o_orderpriority END AS shown, upper(left(wkt, 3)) AS tag, CASE WHEN row_id % 3 = 0 THEN NULL ELSE concat('\"', o_orderpriority, '\\n\"') END AS js FROM ({fx.SQL['result']})")
+def text_functions(spark, sf):
+    df = fx.result(spark, sf).withColumn("lit", F.when(F.col("row_id") % 3 != 0, F.concat(F.lit('"'), "o_orderpriority", F.lit('"@en'))))
+    raw = F.when(F.col("row_id") % 3 != 0, F.concat("o_orderpriority", F.lit("\n")))
+    return df.select("row_id", text.shown(F.col("lit")).alias("shown"), F.upper(F.substring("wkt", 1, 3)).alias("tag"), text.json_string(raw).alias("js"))
+
+
+# decoding and projection
+
+
+@query(
+    f"SELECT qid, 0 AS part_idx, CASE WHEN wkt = 'JUNK' OR wkt = 'POINT EMPTY' THEN 'NONE' ELSE 'POINT' END AS kind, round({X_SQL.replace('lng', 'a')}, 3) AS x, round({Y_SQL.replace('lat', 'b')}, 3) AS y FROM (SELECT *, TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 1) AS DOUBLE) AS a, TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 2) AS DOUBLE) AS b FROM ({fx.SQL['result']}))"
+)
+def decode_wkt(spark, sf):
+    return ingest.project(ingest.decode(fx.result(spark, sf))).select("qid", "part_idx", "kind", *r3("x", "y"))
+
+
+_MULTI_WKT = "CASE qid % 6 WHEN 0 THEN 'MULTIPOINT({p}, {q})' WHEN 1 THEN 'MULTIPOINT(({p}),({q}))' WHEN 2 THEN 'multilinestring(({p}, {q}),({q}, {p}, {q}))' WHEN 3 THEN 'POLYGON(({p}, {q}, 1 1),({p}, {q}, 2 2, {p}))' WHEN 4 THEN '\"MULTIPOLYGON((({p}, {q}, 1 1, {p})),(({p}, {q}, 3 3, {p}),({p}, 5 5, 6 6, {p})))\"^^<wkt>' ELSE 'GEOMETRYCOLLECTION(POINT({p}), LINESTRING({p}, {q}), GEOMETRYCOLLECTION(POINT(9 9)), POLYGON(({p}, {q}, 4 4, {p})))' END".replace("{p}", "1.5 2.5").replace("{q}", "3 4")
+_MULTI_PARTS = [
+    (0, "POINT", 0, 1, 1.5), (0, "POINT", 0, 1, 3.0), (1, "POINT", 0, 1, 1.5), (1, "POINT", 0, 1, 3.0), (2, "LINE", 0, 2, 1.5), (2, "LINE", 0, 3, 3.0),
+    (3, "AREA", 0, 4, 1.5), (3, "AREA", 1, 4, 1.5), (4, "AREA", 0, 4, 1.5), (4, "AREA", 0, 4, 1.5), (4, "AREA", 1, 4, 1.5), (5, "POINT", 0, 1, 1.5), (5, "LINE", 0, 2, 1.5), (5, "AREA", 0, 4, 1.5),
+]
+
+
+@query("SELECT o_orderkey AS qid, kind, ring, n, x FROM orders JOIN (VALUES " + ", ".join(map(str, _MULTI_PARTS)) + ") t(k, kind, ring, n, x) ON o_orderkey % 6 = k")
+def explode_multi(spark, sf):
+    rows = fx.points(spark, sf).select("qid").withColumn("wkt", F.expr(_MULTI_WKT))
+    return ingest.decode(rows).select("qid", "kind", "ring", F.size("coords").alias("n"), F.get("coords", 0)["x"].alias("x"))
+
+
+@query(f"SELECT row_id, round(x, 3) AS x, round(y, 3) AS y, round(lng, 6) AS back_lng, round(lat, 6) AS back_lat FROM (SELECT *, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['points']}))")
+def project_both_ways(spark, sf):
+    p = projected(fx.points(spark, sf))
+    return p.select("row_id", *r3("x", "y"), F.round(mercator.lng_of(F.col("x")), 6).alias("back_lng"), F.round(mercator.lat_of(F.col("y")), 6).alias("back_lat"))
+
+
+@query(f"SELECT row_id, round(lo30/1073741823*360-180, 6) AS lng, round(hi30/1073741823*180-90, 6) AS lat FROM ({fx.SQL['folded']})")
+def decode_folded(spark, sf):
+    return fx.folded(spark, sf).where(mercator.is_folded(F.col("qid"))).select("row_id", F.round(mercator.folded_lng(F.col("qid")), 6).alias("lng"), F.round(mercator.folded_lat(F.col("qid")), 6).alias("lat"))
+
+
+@query(f"SELECT row_id, trunc(x * 10) / 10 AS x, trunc(y * 10) / 10 AS y FROM ({P_SQL})")
+def quantized(spark, sf):
+    return points(spark, sf).select("row_id", mercator.quantize(F.col("x")).alias("x"), mercator.quantize(F.col("y")).alias("y"))
+
+
+@query(f"SELECT row_id, n, round(minx, 3) AS minx, round(miny, 3) AS miny, round(maxx, 3) AS maxx, round(maxy, 3) AS maxy FROM (SELECT row_id, CAST(count(*) AS INT) AS n, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM ({L_SQL}) GROUP BY row_id)")
+def line_boxes(spark, sf):
+    return lines(spark, sf).select("row_id", F.size("coords").alias("n"), *r3("minx", "miny", "maxx", "maxy"))
+
+
+@query(f"SELECT row_id, ring_idx AS ring, ring_idx > 0 AS hole, CAST(count(*) AS INT) AS n, round(min(x), 3) AS minx, round(max(y), 3) AS maxy FROM ({A_SQL}) GROUP BY row_id, ring_idx")
+def area_rings(spark, sf):
+    return areas(spark, sf).select("row_id", "ring", "hole", F.size("coords").alias("n"), *r3("minx", "maxy"))
+
+
+@query(f"SELECT row_id, count(*) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM ({M_SQL}) GROUP BY row_id")
+def multi_centroids(spark, sf):
+    m = projected(fx.multi_points(spark, sf)).withColumn("kind", F.lit("POINT"))
+    return match.centroids(m).select("row_id", "n", *r3("x", "y"))
+
+
+@query(f"SELECT row_id, round(sqrt((x - ({CLICK[0]}))*(x - ({CLICK[0]})) + (y - {CLICK[1]})*(y - {CLICK[1]})), 3) AS d FROM ({P_SQL})")
+def distances(spark, sf):
+    return points(spark, sf).select("row_id", F.round(geometry.distance(F.col("x"), F.col("y"), F.lit(CLICK[0]), F.lit(CLICK[1])), 3).alias("d"))
+
+
+@query(f"SELECT row_id, round(min({DIST_SQL}), 3) AS d FROM (SELECT *, {T_SQL} AS t FROM (SELECT *, {CLICK[0]} AS px, {CLICK[1]} AS py FROM ({S_SQL.format(v=L_SQL)}) WHERE qx IS NOT NULL)) GROUP BY row_id")
+def line_distances(spark, sf):
+    return lines(spark, sf).select("row_id", F.round(geometry.line_distance(F.lit(CLICK[0]), F.lit(CLICK[1]), F.col("coords")), 3).alias("d"))
+
+
+@query(f"SELECT row_id, round(arg_min(ax + t*(qx-ax), d), 3) AS x, round(arg_min(ay + t*(qy-ay), d), 3) AS y FROM (SELECT *, {DIST_SQL} AS d FROM (SELECT *, {T_SQL} AS t FROM (SELECT *, {CLICK[0]} AS px, {CLICK[1]} AS py FROM ({S_SQL.format(v=L_SQL)}) WHERE qx IS NOT NULL))) GROUP BY row_id")
+def snapped_to_line(spark, sf):
+    foot = geometry.project_on(F.lit(CLICK[0]), F.lit(CLICK[1]), F.col("coords"))
+    return lines(spark, sf).withColumn("f", foot).select("row_id", F.round("f.x", 3).alias("x"), F.round("f.y", 3).alias("y"))
+
+
+_INSIDE_X = "(minx + (maxx - minx) * CASE WHEN row_id % 2 = 0 THEN 0.5 ELSE 1.25 END)"
+
+
+@query(
+    f"WITH a AS ({A_SQL}), b AS (SELECT row_id, ring_idx, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM a GROUP BY ALL), s AS (SELECT a.row_id, a.ring_idx, x AS ax, y AS ay, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM a WINDOW w AS (PARTITION BY row_id, ring_idx ORDER BY v)), c AS (SELECT row_id, ring_idx, {_INSIDE_X} AS px, (miny + maxy) / 2 AS py FROM b) SELECT row_id, ring_idx AS ring, count(*) FILTER ((ay > py) <> (qy > py) AND px < (qx - ax) * (py - ay) / (qy - ay) + ax) % 2 = 1 AS inside FROM s JOIN c USING (row_id, ring_idx) WHERE qx IS NOT NULL GROUP BY ALL"
+)
+def points_in_areas(spark, sf):
+    return areas(spark, sf).select("row_id", "ring", geometry.contains(F.col("coords"), F.expr(_INSIDE_X), (F.col("miny") + F.col("maxy")) / 2).alias("inside"))
+
+
+@query(f"SELECT row_id, CAST(unnest(range(1, 25)) AS INT) AS zoom, 100 * pow(2, 14 - unnest(range(1, 25))) AS rad FROM ({fx.SQL['points']}) WHERE row_id < 10")
+def click_radii(spark, sf):
+    return fx.points(spark, sf).where("row_id < 10").select("row_id", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("zoom")).select("row_id", "zoom", mercator.click_radius(F.col("zoom")).alias("rad"))
+
+
+_SEG = S_SQL.format(v=L_SQL)
+_DENSE = "SELECT row_id, ax + (qx-ax)*k/n AS x, ay + (qy-ay)*k/n AS y FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, CAST(greatest(1, ceil(sqrt((ax-qx)*(ax-qx)+(ay-qy)*(ay-qy)) / {step})) AS BIGINT) AS n FROM ({seg}) WHERE qx IS NOT NULL)) UNION ALL SELECT row_id, ax, ay FROM ({seg}) WHERE qx IS NULL"
+
+
+@query(f"SELECT row_id, count(*) AS n, round(sum(x), 1) AS sx, round(sum(y), 1) AS sy FROM ({_DENSE.format(step=5000.0, seg=_SEG)}) GROUP BY row_id")
+def densified_lines(spark, sf):
+    dense = lines(spark, sf).select("row_id", F.explode(geometry.densify(F.col("coords"), 5000.0)).alias("c"))
+    return dense.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c.x"), 1).alias("sx"), F.round(F.sum("c.y"), 1).alias("sy"))
+
+
+@query()
+def simplified_lines(spark, sf):
+    return lines(spark, sf).select("row_id", F.size("coords").alias("n"), F.size(geometry.simplify(F.col("coords"), 20000.0)).alias("n_kept"))
+
+
+# joins
+
+
+@query(f"SELECT l.l_orderkey AS row_id, m.qid, m.part_idx, round(m.x, 3) AS x FROM (SELECT l_orderkey, l_partkey FROM lineitem) l JOIN ({M_SQL}) m ON l.l_partkey = m.qid")
+def match_objects(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("qid"))
+    return match.match(rows, dictionary(spark, sf)).select("row_id", "qid", "part_idx", *r3("x"))
+
+
+@query(f"SELECT row_id FROM ({fx.SQL['points']}) WHERE qid NOT IN (SELECT p_partkey FROM part)")
+def unmatched_rows(spark, sf):
+    return match.unmatched(fx.points(spark, sf).select("row_id", "qid"), dictionary(spark, sf)).select("row_id")
+
+
+@query(
+    f"SELECT b.row_id AS box, p.row_id FROM ({P_SQL}) p JOIN (SELECT row_id, x, y FROM ({D_SQL}) WHERE row_id < 200) b ON p.x BETWEEN b.x - 400000 AND b.x + 400000 AND p.y BETWEEN b.y - 300000 AND b.y + 300000"
+)
+def points_in_boxes(spark, sf):
+    d = dup_points(spark, sf).where("row_id < 200")
+    boxes = d.select(F.col("row_id").alias("box"), (F.col("x") - 400000).alias("minx"), (F.col("x") + 400000).alias("maxx"), (F.col("y") - 300000).alias("miny"), (F.col("y") + 300000).alias("maxy"))
+    return grid.join_boxes(points(spark, sf), boxes, "box", OX, OY, 8 * grid.CELL).select("box", "row_id")
+
+
+_LB = f"SELECT row_id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM ({L_SQL}) GROUP BY row_id"
+_AB = f"SELECT row_id AS box, min(x) - 300000 AS minx, min(y) - 300000 AS miny, max(x) + 300000 AS maxx, max(y) + 300000 AS maxy FROM ({A_SQL}) WHERE ring_idx = 0 GROUP BY row_id"
+
+
+@query(f"SELECT l.row_id, a.box FROM ({_LB}) l JOIN ({_AB}) a ON l.minx <= a.maxx AND l.maxx >= a.minx AND l.miny <= a.maxy AND l.maxy >= a.miny")
+def lines_in_boxes(spark, sf):
+    grow = lambda c, s: (F.col(c) + s * 300000.0).alias(c)
+    boxes = areas(spark, sf).where("ring = 0").select(F.col("row_id").alias("box"), grow("minx", -1), grow("miny", -1), grow("maxx", 1), grow("maxy", 1))
+    return grid.join_line_boxes(lines(spark, sf).select("row_id", "minx", "miny", "maxx", "maxy"), boxes, "box", OX, OY).select("row_id", "box")
+
+
+@query(f"SELECT row_id, count(*) AS n_parts, string_agg(part_idx, ',' ORDER BY part_idx) AS parts FROM ({M_SQL}) GROUP BY row_id")
+def reassembled(spark, sf):
+    d = dictionary(spark, sf).withColumns({"row_id": F.col("qid"), "hole": F.lit(False), "coords": F.array(F.struct("x", "y"))})
+    return match.reassemble(d).select("row_id", "n_parts", F.array_join(F.transform("parts", lambda p: p["part_idx"].cast("string")), ",").alias("parts"))
+
+
+@query(f"SELECT r.row_id, o_orderpriority, o_totalprice FROM ({P_SQL}) p JOIN ({fx.SQL['result']}) r USING (row_id) WHERE x BETWEEN 0 AND 5000000 AND y BETWEEN 0 AND 5000000")
+def attributes_of_hits(spark, sf):
+    hits = points(spark, sf).where("x BETWEEN 0 AND 5000000 AND y BETWEEN 0 AND 5000000").select("row_id")
+    return match.with_rows(hits, fx.result(spark, sf)).select("row_id", "o_orderpriority", "o_totalprice")
+
+
+@query(f"SELECT kind, count(*) AS n, count(DISTINCT row_id) AS rows FROM (SELECT row_id, 'matched' AS kind FROM ({M_SQL}) UNION ALL SELECT row_id, 'folded' FROM ({fx.SQL['folded']}) WHERE hi30 > 0) GROUP BY kind")
+def union_of_objects(spark, sf):
+    folded = fx.folded(spark, sf)
+    rows = folded.unionByName(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("qid")))
+    objects = match.all_objects(rows, dictionary(spark, sf))
+    kind = F.when(mercator.is_folded(F.col("qid")), "folded").otherwise("matched")
+    return objects.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("rows"))
+
+
+# aggregates, duplicates and clusters
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS num_objects FROM lineitem JOIN part ON l_partkey = p_partkey")
+def num_objects(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("qid"))
+    return match.count_objects(match.match(rows, dictionary(spark, sf).select("qid")))
+
+
+@query(f"SELECT round(min(x) - 1, 3) AS minx, round(min(y) - 1, 3) AS miny, round(max(x) + 1, 3) AS maxx, round(max(y) + 1, 3) AS maxy FROM (SELECT x, y FROM ({P_SQL}) UNION ALL SELECT x, y FROM ({L_SQL}))")
+def total_bounds(spark, sf):
+    p = points(spark, sf).select(F.lit("POINT").alias("kind"), F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
+    return match.bounds(p.unionByName(lines(spark, sf).select(*p.columns))).select(*r3("minx", "miny", "maxx", "maxy"))
+
+
+@query(f"SELECT 'points' AS family, round(min(x) - 1, 3) AS minx, round(max(y) + 1, 3) AS maxy FROM ({P_SQL}) UNION ALL SELECT 'lines', round(min(x) - 1, 3), round(max(y) + 1, 3) FROM ({L_SQL})")
+def bounds_by_family(spark, sf):
+    p = points(spark, sf).select(F.lit("POINT").alias("kind"), F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
+    return match.bounds_by_family(p.unionByName(lines(spark, sf).select(*p.columns))).select("family", *r3("minx", "maxy"))
+
+
+@query(f"SELECT count(wkt) AS n_geometries, count(DISTINCT qid) AS n_ids, count(*) - count(DISTINCT qid) AS n_duplicates, count(DISTINCT wkt) AS n_unique FROM (SELECT row_id % 1000 AS qid, wkt FROM ({fx.SQL['result']}))")
+def duplicate_counts(spark, sf):
+    return ingest.duplicate_counts(fx.result(spark, sf).withColumn("qid", F.col("row_id") % 1000))
+
+
+@query(f"SELECT qid, min(wkt) AS wkt FROM (SELECT row_id % 1000 AS qid, wkt FROM ({fx.SQL['result']})) GROUP BY qid")
+def distinct_ids(spark, sf):
+    rows = fx.result(spark, sf).withColumn("qid", F.col("row_id") % 1000)
+    return rows.groupBy("qid").agg(F.min("wkt").alias("wkt"))
+
+
+@query(f"SELECT count(*) AS n_rows, count(DISTINCT wkt) AS n_geoms, CAST(0 AS BIGINT) AS low, count(DISTINCT wkt) - 1 AS high FROM ({fx.SQL['result']})")
+def shared_geometry_ids(spark, sf):
+    ids = ingest.geometry_ids(fx.result(spark, sf))
+    return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("geom_id").alias("n_geoms"), F.min("geom_id").alias("low"), F.max("geom_id").alias("high"))
+
+
+_CL = "row_number() OVER (PARTITION BY {by} ORDER BY row_id) - 1 AS cl_num, count(*) OVER (PARTITION BY {by}) AS cl_tot"
+
+
+@query(f"SELECT row_id, qid, {_CL.format(by='qid')} FROM ({D_SQL})")
+def clusters(spark, sf):
+    return cluster.cluster(dup_points(spark, sf), ("qid",), span=400).select("row_id", "qid", "cl_num", "cl_tot")
+
+
+@query(f"SELECT row_id, {_CL.format(by='x, y')} FROM ({D_SQL})")
+def clusters_by_position(spark, sf):
+    return cluster.cluster(dup_points(spark, sf), ("x", "y")).select("row_id", "cl_num", "cl_tot")
+
+
+_ROW = "floor((sqrt(784.0 + 12.0 * greatest(0.0, cl_num - 25 + 2)) - 28.0) / 6.0)"
+_SPIRAL = f"SELECT *, CASE WHEN cl_tot <= 25 THEN 2.0 * cl_tot * 100 ELSE (50.0 + 13.0 * rw) * 100 END AS rad, CASE WHEN cl_tot <= 25 THEN cl_num * 6.283185307179586 / cl_tot ELSE (cl_num - (25.0 * rw + 6.0 * (rw * rw + rw) / 2 - rw * 6.0)) * 6.283185307179586 / (25.0 + rw * 6.0) END AS ang FROM (SELECT *, {_ROW} AS rw FROM (SELECT *, {_CL.format(by='qid')} FROM ({D_SQL})))"
+
+
+@query(f"SELECT row_id, round(CASE WHEN cl_tot > 1 THEN x + rad * sin(ang) ELSE x END, 3) AS dx, round(CASE WHEN cl_tot > 1 THEN y + rad * cos(ang) ELSE y END, 3) AS dy FROM ({_SPIRAL})")
+def spiral_positions(spark, sf):
+    return cluster.displaced(cluster.cluster(dup_points(spark, sf), ("qid",)), 100.0).select("row_id", *r3("dx", "dy"))
+
+
+# grids
+
+
+@query(f"SELECT {cell_sql('x', OX)} AS cell_x, {cell_sql('y', OY)} AS cell_y, count(*) AS n FROM ({P_SQL}) GROUP BY ALL")
+def cell_counts(spark, sf):
+    return grid.count_cells(points(spark, sf), OX, OY)
+
+
+@query(f"SELECT row_id, CAST(unnest(range(c1, c2 + 1)) AS INT) AS cell_x, r1, r2 FROM (SELECT row_id, {cell_sql('minx', OX)} AS c1, {cell_sql('maxx', OX)} AS c2, {cell_sql('miny', OY)} AS r1, {cell_sql('maxy', OY)} AS r2 FROM ({_LB}))")
+def covered_columns(spark, sf):
+    c = grid.covered(lines(spark, sf).select("row_id", "minx", "miny", "maxx", "maxy"), OX, OY)
+    return c.groupBy("row_id", "cell_x").agg(F.min("cell_y").alias("r1"), F.max("cell_y").alias("r2"))
+
+
+_SUBS = f"SELECT row_id, v, cx, cy, CAST(floor((x - ({OX}) - cx * 65536) / 256) AS INT) AS sx, CAST(floor((y - ({OY}) - cy * 65536) / 256) AS INT) AS sy FROM (SELECT *, {cell_sql('x', OX)} AS cx, {cell_sql('y', OY)} AS cy FROM ({L_SQL}))"
+_HIST = f"SELECT cx AS cell_x, cy AS cell_y, sx AS sub_x, sy AS sub_y, count(*) AS n FROM (SELECT *, lag((cx, cy, sx, sy)) OVER (PARTITION BY row_id ORDER BY v) AS prev FROM ({_SUBS})) WHERE prev IS NULL OR prev <> (cx, cy, sx, sy) GROUP BY ALL"
+
+
+@query(_HIST)
+def vertex_histogram(spark, sf):
+    return grid.vertex_histogram(_subs(spark, sf))
+
+
+@query(_HIST)
+def vertex_histogram_by_window(spark, sf):
+    v = projected(fx.line_vertices(spark, sf)).withColumnRenamed("row_id", "obj")
+    return grid.vertex_histogram(grid.line_sub_cells(v, OX, OY))
+
+
+def _subs(spark, sf):
+    return grid.line_sub_cells_of(lines(spark, sf).withColumnRenamed("row_id", "obj"), OX, OY)
+
+
+@query(f"SELECT row_id, round(greatest(minx, {PART.x1}), 3) AS minx, round(greatest(miny, {PART.y1}), 3) AS miny, round(least(maxx, {PART.x2}), 3) AS maxx, round(least(maxy, {PART.y2}), 3) AS maxy FROM ({_LB})")
+def clipped_boxes(spark, sf):
+    own = {c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}
+    view = {"minx": F.lit(PART.x1), "miny": F.lit(PART.y1), "maxx": F.lit(PART.x2), "maxy": F.lit(PART.y2)}
+    both = grid.box_overlap(own, view)
+    return lines(spark, sf).select("row_id", *[F.round(e, 3).alias(c) for c, e in both.items()])
+
+
+# rasters
+
+_HEAT = pixel_sql(WORLD, P_SQL)
+
+
+@query(_HEAT)
+def heatmap_points_exact(spark, sf):
+    return raster.points_exact(points(spark, sf), WORLD)
+
+
+@query(pixel_sql(PART, f"SELECT * FROM (SELECT *, {cell_sql('x', OX)} AS cx, {cell_sql('y', OY)} AS cy FROM ({P_SQL})) WHERE cx BETWEEN floor(({PART.x1} - ({OX})) / 65536) AND floor(({PART.x2} - ({OX})) / 65536) AND cy BETWEEN floor(({PART.y1} - ({OY})) / 65536) AND floor(({PART.y2} - ({OY})) / 65536)"))
+def heatmap_points_grid(spark, sf):
+    return raster.points_by_grid(points(spark, sf), PART, OX, OY)
+
+
+@query(pixel_sql(COARSE, f"SELECT {OX} + cx * 65536 AS x, {OY} + cy * 65536 AS y, n FROM (SELECT {cell_sql('x', OX)} AS cx, {cell_sql('y', OY)} AS cy, count(*) AS n FROM ({P_SQL}) GROUP BY ALL)", n="sum(n)"))
+def heatmap_points_cell(spark, sf):
+    return raster.points_by_cell(points(spark, sf), COARSE, OX, OY)
+
+
+_SIDES = [f"((qx - ax) * ({y} - ay) - (qy - ay) * ({x} - ax))" for x in (PART.x1, PART.x2) for y in (PART.y1, PART.y2)]
+_SEEN = f"SELECT DISTINCT row_id FROM ({_SEG}) WHERE qx IS NOT NULL AND least(ax, qx) <= {PART.x2} AND greatest(ax, qx) >= {PART.x1} AND least(ay, qy) <= {PART.y2} AND greatest(ay, qy) >= {PART.y1} AND least({', '.join(_SIDES)}) <= 0 AND greatest({', '.join(_SIDES)}) >= 0"
+
+
+@query(pixel_sql(PART, f"SELECT x, y FROM ({_DENSE.format(step=repr(PART.resolution), seg=_SEG)}) WHERE row_id IN ({_SEEN})"))
+def heatmap_lines_exact(spark, sf):
+    return raster.lines_exact(lines(spark, sf), PART)
+
+
+@query(pixel_sql(WORLD, f"SELECT {OX} + cell_x * 65536 + sub_x * 256 AS x, {OY} + cell_y * 65536 + sub_y * 256 AS y, n FROM ({_HIST})", n="sum(n)"))
+def heatmap_lines_sub_cell(spark, sf):
+    return raster.lines_by_sub_cell(grid.vertex_histogram(_subs(spark, sf)), WORLD, OX, OY)
+
+
+@query(pixel_sql(COARSE, f"SELECT {OX} + cell_x * 65536 AS x, {OY} + cell_y * 65536 AS y, n FROM ({_HIST})", n="sum(n)"))
+def heatmap_lines_cell(spark, sf):
+    return raster.lines_by_cell(grid.vertex_histogram(_subs(spark, sf)), COARSE, OX, OY)
+
+
+@query(f"SELECT px, py, CAST(sum(weight) AS DOUBLE) AS weight FROM ({_HEAT} UNION ALL {pixel_sql(WORLD, D_SQL)}) GROUP BY ALL")
+def merged_rasters(spark, sf):
+    return raster.merge(raster.points_exact(points(spark, sf), WORLD), raster.points_exact(dup_points(spark, sf), WORLD))
+
+
+@query(f"SELECT px, py, round(weight / max(weight) OVER (), 9) AS share FROM ({_HEAT})")
+def normalised_raster(spark, sf):
+    return raster.normalise(raster.points_exact(points(spark, sf), WORLD)).select("px", "py", F.round("share", 9).alias("share"))
+
+
+_SQUARE = "SELECT DISTINCT CAST(px + dx AS INT) AS px, CAST(py + dy AS INT) AS py, 1.0::DOUBLE AS weight FROM ({p}) CROSS JOIN (SELECT unnest(range(-2, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-2, 2)) AS dy) WHERE px + dx BETWEEN 0 AND 799 AND py + dy BETWEEN 0 AND 599"
+
+
+@query(_SQUARE.format(p=pixel_sql(WORLD, D_SQL)))
+def object_squares(spark, sf):
+    return raster.squares(raster.points_exact(dup_points(spark, sf), WORLD), WORLD)
+
+
+@query(_SQUARE.format(p=pixel_sql(PART, f"SELECT CASE WHEN cl_tot > 1 THEN x + rad * 100 * sin(ang) ELSE x END AS dx, CASE WHEN cl_tot > 1 THEN y + rad * 100 * cos(ang) ELSE y END AS dy FROM ({_SPIRAL}) WHERE x BETWEEN {PART.x1} AND {PART.x2} AND y BETWEEN {PART.y1} AND {PART.y2}", "dx", "dy")))
+def object_spirals(spark, sf):
+    return raster.clusters_as_objects(cluster.displaced(cluster.cluster(dup_points(spark, sf), ("qid",)), 10000.0), PART)
+
+
+@query()
+def object_leaders(spark, sf):
+    return raster.leaders(cluster.displaced(cluster.cluster(dup_points(spark, sf), ("qid",)), 10000.0), PART)
+
+
+_DISC = "SELECT dx, dy, 1 - sqrt(dx*dx + dy*dy) / 4 AS w FROM (SELECT unnest(range(-3, 4)) AS dx) CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) WHERE sqrt(dx*dx + dy*dy) <= 3"
+
+
+@query(f"SELECT CAST(px + dx AS INT) AS px, CAST(py + dy AS INT) AS py, round(sum(weight * w), 6) AS weight FROM ({pixel_sql(WORLD, D_SQL)}) CROSS JOIN ({_DISC}) WHERE px + dx BETWEEN 0 AND 799 AND py + dy BETWEEN 0 AND 599 GROUP BY ALL")
+def stamped_raster(spark, sf):
+    return raster.stamp(raster.points_exact(dup_points(spark, sf), WORLD), WORLD).select("px", "py", F.round("weight", 6).alias("weight"))
+
+
+_STOPS = [f"[{', '.join(str(c[i]) for c in raster.HEAT_STOPS)}][CAST(least(9, floor(share * 10)) AS INT) + 1]" for i in range(3)]
+
+
+@query(f"SELECT px, py, {', '.join(f'CAST({s} AS INT) AS {c}' for s, c in zip(_STOPS, 'rgb', strict=True))}, 255 AS a FROM (SELECT px, py, weight / max(weight) OVER () AS share FROM ({_HEAT}))")
+def coloured_heatmap(spark, sf):
+    return raster.colour_heat(raster.normalise(raster.points_exact(points(spark, sf), WORLD)))
+
+
+# lookups and sinks
+
+_NEARP = f"SELECT row_id, sqrt((x - ({CLICK[0]}))*(x - ({CLICK[0]})) + (y - {CLICK[1]})*(y - {CLICK[1]})) AS d, 0 AS k, x AS hx, y AS hy FROM ({P_SQL}) WHERE abs(x - ({CLICK[0]})) <= {CLICK[2]} AND abs(y - {CLICK[1]}) <= {CLICK[2]}"
+_NEARL = f"SELECT row_id, min(d) AS d, 1 AS k, arg_min(ax + t*(qx-ax), d) AS hx, arg_min(ay + t*(qy-ay), d) AS hy FROM (SELECT *, {DIST_SQL} AS d FROM (SELECT *, {T_SQL} AS t FROM (SELECT *, {CLICK[0]} AS px, {CLICK[1]} AS py FROM ({_SEG}) WHERE qx IS NOT NULL))) GROUP BY row_id"
+
+
+@query(f"SELECT row_id, round(d, 3) AS d, k AS kind_rank, round(hx, 3) AS hit_x, round(hy, 3) AS hit_y FROM ({_NEARP} UNION ALL {_NEARL}) WHERE d < {CLICK[2]} ORDER BY d, k, row_id LIMIT 25")
+def nearest_objects(spark, sf):
+    found = lookup.nearest(points(spark, sf), lines(spark, sf), *CLICK, k=25)
+    return found.select("row_id", F.round("d", 3).alias("d"), "kind_rank", F.round("hit_x", 3).alias("hit_x"), F.round("hit_y", 3).alias("hit_y"))
+
+
+@query(f"SELECT arg_min(row_id, d) AS id, round(min(d), 3) AS d FROM ({_NEARP})")
+def nearest_point(spark, sf):
+    d = geometry.distance(F.col("x"), F.col("y"), F.lit(CLICK[0]), F.lit(CLICK[1]))
+    return lookup.argmin(points(spark, sf), d, "row_id").select("id", F.round("d", 3).alias("d"))
+
+
+_CLICKS = f"SELECT row_id AS click, x + 12345.6 AS cx, y - 23456.7 AS cy FROM ({D_SQL}) WHERE row_id < 120"
+
+
+@query(f"SELECT click, arg_min(row_id, d) AS row_id, round(min(d), 3) AS d FROM (SELECT click, p.row_id, sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) AS d FROM ({P_SQL}) p JOIN ({_CLICKS}) c ON abs(x - cx) <= 500000 AND abs(y - cy) <= 500000) WHERE d < 500000 GROUP BY click")
+def nearest_of_many_clicks(spark, sf):
+    clicks = dup_points(spark, sf).where("row_id < 120").select(F.col("row_id").alias("click"), (F.col("x") + 12345.6).alias("x"), (F.col("y") - 23456.7).alias("y"), F.lit(500000.0).alias("rad"))
+    return lookup.nearest_of_many(clicks, points(spark, sf), OX, OY).select("click", "row_id", F.round("d", 3).alias("d"))
+
+
+@query(f"SELECT row_id, part_idx, round(x, 3) AS x, round(y, 3) AS y FROM ({M_SQL}) WHERE row_id = 17")
+def geometry_by_id(spark, sf):
+    d = dictionary(spark, sf).withColumns({"row_id": F.col("qid"), "hole": F.lit(False), "coords": F.array(F.struct("x", "y"))})
+    g = lookup.geometry_of(d, 17, 10.0)
+    return g.select(F.lit(17).cast("long").alias("row_id"), "part_idx", F.round(F.get("coords", 0)["x"], 3).alias("x"), F.round(F.get("coords", 0)["y"], 3).alias("y"))
+
+
+_FEATURE = "concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[', CAST(CAST(round(a, 6) AS DECIMAL(30,6)) AS VARCHAR), ',', CAST(CAST(round(b, 6) AS DECIMAL(30,6)) AS VARCHAR), ']},\"properties\":{\"row_id\":', row_id, ',\"o_orderpriority\":\"', o_orderpriority, '\"}}')"
+
+
+@query(f"SELECT {_FEATURE} AS feature FROM (SELECT *, TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 1) AS DOUBLE) AS a, TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 2) AS DOUBLE) AS b FROM ({fx.SQL['result']})) WHERE a IS NOT NULL")
+def geojson_features(spark, sf):
+    return sinks.features(fx.result(spark, sf).select("row_id", "o_orderpriority", "wkt"))
+
+
+@query()
+def geojson_of_one(spark, sf):
+    parts = lines(spark, sf).where("row_id = 7").select(F.lit(0).alias("part_idx"), "kind", sinks.unproject(F.col("coords")).alias("coords"))
+    return sinks.geojson_of_parts(parts)
