@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text is a sequence of words (lower case, ASCII punctuation set apart). Each word goes in as a word vector, found
-by hash, plus the mean of the vectors of its character n-grams, so that unseen words get a vector from their
-spelling. The network reads overlapping windows of `SPAN` words, every `STEP` words, in both directions; attention
+by hash, plus the mean of the vectors of its character n-grams and the greatest of their first entries, so that unseen words
+get a vector from their spelling. The network reads overlapping windows of `SPAN` words, every `STEP` words, in both directions; attention
 over the states pools a window into one logit. A document's score is that of its most toxic window. Training is
 numpy, by backpropagation through time and Adam, on a bounded sample of labelled documents on the driver: at most
 MOST_TRAINED labelled rows of at most LONGEST_TRAINED characters, those of smallest hash of doc_id. It starts from word and n-gram vectors whose first
@@ -14,6 +14,7 @@ every score is 0. Repeated rows get equal scores. Empty tables give empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from .common import table
 SPAN, STEP = 64, 32
 #: Hash buckets of words and of n-grams, their lengths, entries of a vector, states in each direction.
 WORDS, GRAMS, GRAM_LENGTHS, DIM, STATES = 1 << 16, 1 << 16, (3, 4, 5, 6), 6, 8
-MOST_TRAINED, LONGEST_TRAINED, EPOCHS, BATCH, RATE = 4000, 100_000, 6, 48, 0.02
+MOST_TRAINED, LONGEST_TRAINED, EPOCHS, BATCH, RATE = 4000, 100_000, 5, 48, 0.02
+#: A small sample is gone through more often, for so many steps at least.
+LEAST_STEPS, MOST_EPOCHS = 400, 40
 #: Most words whose inputs a task remembers.
 REMEMBERED = 200_000
 #: Punctuation counts as space.
@@ -67,7 +70,7 @@ class Model:
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        d, s = 2 * DIM, STATES
+        d, s = 2 * DIM + 1, STATES
         scale = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.w = {"word": 0.1 * scale(WORDS, DIM) * np.sqrt(WORDS, dtype=np.float32), "gram": 0.1 * scale(GRAMS, DIM) * np.sqrt(GRAMS, dtype=np.float32)}
         for side in "fb":
@@ -76,13 +79,14 @@ class Model:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Input vectors of distinct words."""
-        out = np.zeros((len(words), 2 * DIM), np.float32)
+        out = np.zeros((len(words), 2 * DIM + 1), np.float32)
         if words:
             out[:, :DIM] = self.w["word"][[word_bucket(w) for w in words]]
             bucket, owner = grams_of(words)
             vectors, many = self.w["gram"][bucket], np.maximum(np.bincount(owner, minlength=len(words)), 1)
             for k in range(DIM):
                 out[:, DIM + k] = np.bincount(owner, vectors[:, k], len(words)) / many
+            np.maximum.at(out[:, 2 * DIM], owner, vectors[:, 0])
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray, back: bool = False):
@@ -234,7 +238,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
         return model.inputs(words)
 
     folds = rng.permutation(len(y)) % 4
-    x = np.zeros((4, len(words), 2 * DIM), np.float32)
+    x = np.zeros((4, len(words), 2 * DIM + 1), np.float32)
     for f in range(4):
         x[f] = inputs_from(np.flatnonzero(folds != f))
     inputs_from(np.arange(len(y)))
@@ -247,13 +251,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
     def project(v: np.ndarray) -> np.ndarray:
         return np.stack([v @ model.w[f"x{side}"] + model.w[f"c{side}"] for side in "fb"])
 
-    for epoch in range(EPOCHS):
+    epochs = min(MOST_EPOCHS, max(EPOCHS, math.ceil(LEAST_STEPS * BATCH / (2 * len(y)))))
+    for epoch in range(epochs):
         worth = np.zeros(len(first))
         for at in range(0, len(first), 1000):
             pick = np.arange(at, min(at + 1000, len(first)))
             rows, mask = _steps(flat, first[pick], length[pick])
             v = vectors(rows, pick)
-            worth[pick] = model.logits(project(v), mask) if epoch else ((v[..., 0] + v[..., DIM]) * mask).max(axis=0)
+            worth[pick] = model.logits(project(v), mask) if epoch else ((v[..., 0] + v[..., 2 * DIM]) * mask).max(axis=0)
         best = np.lexsort((-worth, owner))
         best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
         extra = rng.permutation(len(first))
@@ -272,7 +277,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
                 mean[k] = 0.9 * mean[k] + 0.1 * g[k]
                 square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
                 change = (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-                model.w[k] = (model.w[k] - RATE * (0.5 if epoch >= EPOCHS // 2 else 1) * change).astype(np.float32)
+                model.w[k] = (model.w[k] - RATE * (1 if 2 * epoch < epochs else 0.5 if 4 * epoch < 3 * epochs else 0.2) * change).astype(np.float32)
     return model
 
 
