@@ -14,7 +14,11 @@ gives an empty result. Extra columns play no part.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +30,79 @@ from pyspark.sql import functions as F
 from .common import table
 
 LENGTH, OPEN, SEPARATOR = 2048, 512, 0
-#: Most chunks whose ids a task remembers.
-REMEMBERED = 400_000
+#: Most chunks whose ids a worker remembers.
+REMEMBERED = 600_000
+#: Mark of a word's last token.
+WORD_END = "</w>"
+#: Punctuation that stands between letters, digits and space; apostrophes and the marks of special tokens are no part of it.
+_P, _SPACE = r"[.,;:!?()\[\]{}*#%$&+=/\"~@-]", r"\x20\x09-\x0D"
+APART = re.compile(rf"({_P}(?<=[^\W_]{_P}|[{_SPACE}]{_P}){_P}*)(?=[^\W_]|[{_SPACE}])")
 NAMES, TYPES = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, as little-endian 32-bit bytes, from a tokenizer for which ASCII white space always ends a token.
+    """Ids of whole texts, as little-endian 32-bit bytes, from a tokenizer that drops white space and case.
 
-    Texts are split at ASCII white space and each chunk is tokenised once while it is remembered.
+    ASCII white space always ends a token, so texts are split there and each chunk is tokenised once while it is
+    remembered. To have fewer different chunks, texts in Latin-1 are lowered and plain punctuation between letters,
+    digits and space is set apart first: the tokenizer splits there anyway, and lowers letter by letter. New chunks
+    of letters alone are one word to the tokenizer and go through it together; others go by themselves.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+
+    def _split(self, text: str) -> list[bytes]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.encode("utf-8", "replace").split()
+        return APART.sub(r" \1 ", f" {text.lower()} ").encode().split()
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, words, odd = self.known, [], []
+        for c in new:
+            w = c.decode()
+            (words if w.isalpha() else odd).append(w)
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                odd += part
+                continue
+            data, ends = array("I", ids).tobytes(), ends.tolist()
+            known.update((w.encode(), data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+        for at in range(0, len(odd), 10_000):
+            part = odd[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w.encode()] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+        split = list(map(self._split, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(list(new))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """The tokenizer of this Python worker, which keeps what it has learnt for the worker's further tasks."""
+    kept = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker")).__dict__
+    if path not in kept:
+        kept[path] = ChunkTokenizer(path)
+    return kept[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -66,7 +113,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, separator: int
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ChunkTokenizer(path), np.array([separator], "<u4").tobytes()
+        tokenizer, end = worker_tokenizer(path), np.array([separator], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 200):  # few documents' ids at a time
