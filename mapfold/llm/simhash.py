@@ -177,9 +177,9 @@ def simhash_components(documents: DataFrame, budget: int = BUDGET, words: int =
 
 def near_duplicates(documents: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """documents, the one of smallest doc_id kept of each component (one row, if that is repeated)."""
-    keep = simhash_components(documents, budget, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept.dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # one plain key, so that join and distinct share an exchange
+    keep = simhash_components(documents, budget, words).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
+    return documents.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def hex_of(fp: Column) -> Column:
