@@ -34,7 +34,8 @@ def boilerplate(documents: DataFrame, site: str = "source", sites: int = SITES,
     each = documents.select(F.coalesce(F.col(site), F.lit("\x00none")).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), trimmed))).alias("line")).where("line <> ''")
     each = each.select("site", *[h.alias(f"h{i}") for i, h in enumerate(pair_hash(F.col("line")), 1)])
     spread = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", lg).alias("sketch")).where(F.col("n") >= sites)
-    spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("about"))
+    # a table of its own: it is read twice, and joins with a hot line get an exchange on either side that Spark can split
+    spread = materialize(spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("about")), "spread")
     sure = spread.where(F.col("about") > sites * (1 + band)).select("h1", "h2")
     near = spread.where(F.col("about").between(int(sites * (1 - band)), sites * (1 + band))).select("h1", "h2")
     exact = each.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)

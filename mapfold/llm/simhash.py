@@ -3,9 +3,9 @@
 A text's 64-bit fingerprint has a bit set if it is set in over half the hashes of its word shingles. Fingerprints
 that differ in at most `budget` bits link; linked texts form components.
 
-The join works on distinct fingerprints. Two of them that differ in at most 2 bits agree on one of three blocks of
-bits, and on one of three sub-blocks of what is left: each fingerprint is dealt out under nine keys of about 35
-bits, so that a task's tries are small however many near copies a text has. Inside a key the sorted fingerprints
+The join works on distinct fingerprints. Cut into four blocks of 16 bits, two that differ in at most 2 bits agree on
+two blocks: each fingerprint is dealt out under six keys of 32 bits (and likewise for larger budgets), so that a
+task's tries are small however many near copies a text has. Inside a key the sorted fingerprints
 are a binary trie, whose nodes are ranges. Pairs of nodes are followed together from the root, bit by bit; a pair
 carries the number of bits that differ so far and is dropped as soon as that exceeds the budget. What arrives at
 the leaves are the links. Links inside a key that don't change its components are left out.
@@ -16,6 +16,7 @@ share a fingerprint. Empty tables give empty results. Extra columns are kept by
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,12 +64,12 @@ def fingerprints(text: str, words: int = WORDS) -> Column:
 
 
 def blocks(budget: int = BUDGET) -> list[tuple[int, ...]]:
-    """Bit positions on whose values two fingerprints agree in at least one entry if they differ in at most `budget` bits."""
-    out = []
-    for block in np.array_split(np.arange(64), budget + 1):
-        rest = np.setdiff1d(np.arange(64), block)
-        out += [tuple(map(int, np.concatenate((block, sub)))) for sub in np.array_split(rest, budget + 1)]
-    return out
+    """Bit positions on whose values two fingerprints agree in at least one entry if they differ in at most `budget` bits.
+
+    Of budget + r blocks, r agree at least: each choice of r blocks is an entry.
+    """
+    r = 2 if budget <= 3 else 3
+    return [tuple(map(int, np.concatenate(some))) for some in itertools.combinations(np.array_split(np.arange(64), budget + r), r)]
 
 
 def trie_pairs(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +136,11 @@ def _links_of_tasks(budget: int):
             if not len(fps):
                 continue
             starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(fps)]))
-            links = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            links, last_group = [], len(starts) - 2
+            # a key that begins and ends in this batch with one fingerprint has no links
+            worth = np.flatnonzero(starts[1:] - starts[:-1] > 1)
+            for g in np.union1d(worth, [0, last_group]).tolist():
+                a, b = starts[g], starts[g + 1]
                 key = (int(keys[a, 0]), int(keys[a, 1]))
                 if key != last:
                     if held:

@@ -254,13 +254,15 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_
     # 1. nodes that occur more than once
     each = scanned.select("d", "t", (F.col("n_words") - window + 1).cast("int").alias("stop"), F.explode(F.arrays_zip("pos", "until", "h", "s1", "s2")).alias("x"))
     each = each.select("d", "t", "stop", F.col("x.pos").cast("int").alias("pos"), F.col("x.until").cast("int").alias("until"), "x.h", "x.s1", "x.s2")
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # the sums are tables of their own, so that joins on a hot key have an exchange on either side and Spark can split it
+    twice = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     nodes = materialize(each.join(twice, "h", "left_semi"), "nodes")
     release(scanned)
 
     # 2. edges that do, each with a representative source
     ticket = F.xxhash64("d", "t", "pos")
     edges = nodes.where("until > pos").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(ticket).alias("ticket")).where("n > 1").drop("n")
+    edges = materialize(edges, "edges")
     state = F.when(F.col("ticket").isNull(), 0).when(F.col("ticket") == ticket, 2).otherwise(1)
     marked = nodes.join(edges, ["s1", "s2"], "left").select("d", "t", "stop", F.struct("pos", "until", state.alias("state"), "h").alias("mark"))
     marked = marked.groupBy("d", "t", "stop").agg(F.collect_set("mark").alias("marks"))
@@ -279,6 +281,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_
     looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, d long, t long, start int, ask int"), "windows")
     release(scanned)
     found = looked.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 and asked = 1").select("w1", "w2")
+    found = materialize(found, "found")
     starts = looked.where("ask = 1").join(found, ["w1", "w2"], "left_semi").groupBy("d", "t").agg(F.collect_set("start").alias("starts"))
 
     # 4. the words left

@@ -78,7 +78,9 @@ class Model:
         self.w |= {"a": scale(2 * s, 1)[:, 0], "v": scale(2 * s, 1)[:, 0], "k": np.zeros(1, np.float32)}
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
-        """Input vectors of distinct words."""
+        """Input vectors of distinct words, a bounded number at a time."""
+        if len(words) > 20_000:
+            return np.concatenate([self.inputs(words[at : at + 20_000]) for at in range(0, len(words), 20_000)])
         out = np.zeros((len(words), 2 * DIM + 1), np.float32)
         if words:
             out[:, :DIM] = self.w["word"][[word_bucket(w) for w in words]]
@@ -157,7 +159,7 @@ def _layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first = np.array([ends[i] + a for i, s in enumerate(spans) for a, _ in s], np.int64)
     length = np.array([b - a for s in spans for a, b in s], np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-    return np.concatenate([*texts, np.zeros(1, np.int64)]), first, length, owner
+    return np.concatenate([*texts, np.zeros(1, np.int32)]), first, length, owner
 
 
 def _steps(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +204,9 @@ class Scorer:
         return out
 
 
-def _odds(texts: list[list[int]], labels: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of the label by bucket, from the texts that hold it; 0 for buckets of fewer than two texts."""
-    seen = [np.unique(np.array(t, np.int64)) for t in texts]
-    count = lambda y: np.bincount(np.concatenate([s for s, v in zip(seen, labels, strict=True) if v == y] or [np.zeros(0, np.int64)]), minlength=size).astype(float)
-    pos, neg, p, q = count(1), count(0), max(1, labels.sum()), max(1, (1 - labels).sum())
-    prior = 2.0
+def _odds(pos: np.ndarray, neg: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Smoothed log-odds of the label by bucket, from the numbers of texts (p labelled 1, q labelled 0) that hold it; 0 for buckets of fewer than two texts."""
+    prior, p, q = 2.0, max(1, p), max(1, q)
     odds = np.log((pos + prior * p / (p + q)) / (p + prior)) - np.log((neg + prior * q / (p + q)) / (q + prior))
     return np.where(pos + neg >= 2, np.clip(odds, -4, 4), 0).astype(np.float32)
 
@@ -224,24 +223,27 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
         model.w["v"][:] = 0
         model.w["k"][:] = -20
         return model
-    tokens = [words_of(t) for t in texts]
-    words = sorted({w for ws in tokens for w in ws})
-    number = {w: i for i, w in enumerate(words)}
-    ids = [np.array([number[w] for w in ws], np.int64) for ws in tokens]
-    bucket = np.array([word_bucket(w) for w in words], np.int64)
-    by_word = [bucket[np.unique(i)] for i in ids]
-    by_gram = [np.unique(grams_of([words[j] for j in np.unique(i)])[0]) if len(i) else i for i in ids]
-
-    def inputs_from(rest: np.ndarray) -> np.ndarray:
-        model.w["word"][:, 0] = _odds([by_word[i] for i in rest], y[rest], WORDS)
-        model.w["gram"][:, 0] = _odds([by_gram[i] for i in rest], y[rest], GRAMS)
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    words = list(number)
+    del number
+    folds = rng.permutation(len(y)) % 4
+    sides = {"word": np.zeros((4, 2, WORDS), np.int32), "gram": np.zeros((4, 2, GRAMS), np.int32)}
+    for own, f, label in zip(ids, folds, y, strict=True):  # texts that hold a bucket, by fold and label
+        distinct = [words[i] for i in np.unique(own)]
+        if distinct:
+            sides["word"][f, label][np.unique([word_bucket(w) for w in distinct])] += 1
+            sides["gram"][f, label][np.unique(grams_of(distinct)[0])] += 1
+
+    def inputs_without(fold: int | None) -> np.ndarray:
+        rest = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(y))
+        for name, counts in sides.items():
+            neg, pos = counts.sum(axis=0) - (counts[fold] if fold is not None else 0)
+            model.w[name][:, 0] = _odds(pos, neg, int(y[rest].sum()), int((1 - y[rest]).sum()))
         return model.inputs(words)
 
-    folds = rng.permutation(len(y)) % 4
-    x = np.zeros((4, len(words), 2 * DIM + 1), np.float32)
-    for f in range(4):
-        x[f] = inputs_from(np.flatnonzero(folds != f))
-    inputs_from(np.arange(len(y)))
+    x = np.stack([inputs_without(f) for f in range(4)])
+    inputs_without(None)
     flat, first, length, owner = _layout(ids)
     fold = folds[owner]
     vectors = lambda rows, pick: x[fold[pick][None, :], rows]

@@ -95,7 +95,7 @@ def simple_hash(text, k=3):
     return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
 
 
-@pytest.mark.parametrize("budget", [2, 3])
+@pytest.mark.parametrize("budget", [2, 3, 6])
 def test_simhash_components(docs, budget):
     rows = [r for r in ROWS if r[0] is not None]
     fps = {d: simple_hash(t) for d, t, *_ in rows}
