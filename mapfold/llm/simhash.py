@@ -11,7 +11,8 @@ carries the number of bits that differ so far and is dropped as soon as that exc
 the leaves are the links. Links inside a key that don't change its components are left out.
 
 Nulls and texts without words have the fingerprint 0, which links like any other. Repeated rows and equal texts
-share a fingerprint. Empty tables give empty results. Extra columns are kept by near_duplicates().
+share a fingerprint. Empty tables give empty results. Extra columns play no part. Copies with more edits than so few
+bits show are the matter of near_copies.
 """
 
 from __future__ import annotations
@@ -33,18 +34,20 @@ from .components import components
 SEED, WORDS, BUDGET = 42, 3, 2
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The SimHash of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; fewer words make one shingle, none make none."""
     tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
     joined, hash_of = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return hash_of(joined, SEED)
+        return np.array([hash_of(joined, SEED)] if tokens else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((hash_of(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - words + 1)
+    return np.fromiter((hash_of(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # a very long text doesn't unpack at once
         part = hashes[at : at + 65536].astype(">u8")
@@ -52,6 +55,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The SimHash of one text, unsigned."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(text: str, words: int = WORDS) -> Column:
     """The fingerprints of a text column, as signed longs."""
 
@@ -179,13 +187,6 @@ def simhash_components(documents: DataFrame, budget: int = BUDGET, words: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(documents: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
-    """documents, the one of smallest doc_id kept of each component (one row, if that is repeated)."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # one plain key, so that join and distinct share an exchange
-    keep = simhash_components(documents, budget, words).where("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    return documents.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
-
-
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

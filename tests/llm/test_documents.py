@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mapfold.llm import fingerprint, line_dedup, mixing, packing, sharding, simhash, substring_dedup, toxicity
+from mapfold.llm import fingerprint, line_dedup, mixing, near_copies, packing, sharding, simhash, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, h string, shard int, block string, key long, score string"
 
@@ -108,11 +108,48 @@ def test_simhash_components(docs, budget):
         assert (r["fp"] % (1 << 64), r["component_id"]) == (fps[r["doc_id"]], low[r["doc_id"]])
 
 
-def test_simhash_keeps_one(docs, none):
-    kept = simhash.near_duplicates(docs)
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 3 in ids and 40 not in ids
-    assert simhash.simhash_components(none).count() == 0
+def test_near_copies_keep_one(docs, none):
+    kept = near_copies.drop_near_copies(docs).collect()
+    ids = [r["doc_id"] for r in kept]
+    assert kept[0].asDict().keys() == set(docs.columns) and len(ids) == len(set(ids)) and 3 in ids and 40 not in ids and 41 not in ids
+    assert len([r for r in kept if not tokens(r["text"])]) == 1
+    assert simhash.simhash_components(none).count() == near_copies.drop_near_copies(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_near_copies_of_four_fifths_link(spark, block):
+    """Against brute force over all pairs of fingerprints, and over all pairs of shingle sets."""
+    r = random.Random(8)
+    word = lambda: str(r.randint(0, 5000))
+    texts = []
+    for size, copies in [(120, 60), (400, 12)] + [(r.randint(6, 500), 3) for _ in range(25)]:
+        base = [word() for _ in range(size)]
+        for c in range(copies):
+            w = list(base)
+            for _ in range(c % 3 * max(1, size // 150)):
+                w[r.randrange(size)] = word()
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    low = {x["d"]: x["low_d"] for x in near_copies.near_copies(df, block=block).collect()}
+    prints = np.array([near_copies.wide_fingerprint(t)[0] for t in texts], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= near_copies.BITS
+    root = np.arange(len(texts))
+    for _ in texts:
+        root = np.where(near, root[None], len(texts)).min(axis=1)
+    assert sum(low[i] != root[i] for i in low) <= 2  # a pair may share no key
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(alike) > 500 and np.mean([low[a] == low[b] for a, b in alike]) > 0.97
+    unlike = [(a, b) for a in range(len(texts)) for b in range(a) if not shingles[a] & shingles[b]]
+    assert not any(low[a] == low[b] for a, b in unlike)
+
+
+def test_components_are_followed():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
+    rows = np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, base.shape, dtype=np.uint64)) for _ in range(6)])
+    a, b = near_copies.chains(rows, 8)
+    assert len(a) == len(rows) - 30 and (a % 30 == b % 30).all()
 
 
 def test_trie_pairs_are_all_pairs():
