@@ -212,6 +212,12 @@ def click_radii(spark, sf):
     return fx.points(spark, sf).where("row_id < 10").select("row_id", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("zoom")).select("row_id", "zoom", mercator.click_radius(F.col("zoom")).alias("rad"))
 
 
+@query()
+def click_radii_of_all(spark, sf):
+    """click_radii for every row."""
+    return fx.points(spark, sf).select("row_id", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("zoom")).select("row_id", "zoom", mercator.click_radius(F.col("zoom")).alias("rad"))
+
+
 _SEG = S_SQL.format(v=L_SQL)
 _DENSE = "SELECT row_id, ax + (qx-ax)*k/n AS x, ay + (qy-ay)*k/n AS y FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, CAST(greatest(1, ceil(sqrt((ax-qx)*(ax-qx)+(ay-qy)*(ay-qy)) / {step})) AS BIGINT) AS n FROM ({seg}) WHERE qx IS NOT NULL)) UNION ALL SELECT row_id, ax, ay FROM ({seg}) WHERE qx IS NULL"
 
@@ -250,6 +256,17 @@ def points_in_boxes(spark, sf):
     return grid.join_boxes(points(spark, sf), boxes, "box", OX, OY, 8 * grid.CELL).select("box", "row_id")
 
 
+@query()
+def points_in_all_boxes(spark, sf):
+    """(box, n, first_row, last_row): points_in_boxes for every row, summed up as pairs grow with the product of both tables."""
+    d = dup_points(spark, sf).select(F.col("row_id").alias("box"), "x", "y")
+    sites = d.groupBy("x", "y").agg(F.min("box").alias("site"))
+    boxes = sites.select("site", (F.col("x") - 400000).alias("minx"), (F.col("x") + 400000).alias("maxx"), (F.col("y") - 300000).alias("miny"), (F.col("y") + 300000).alias("maxy"))
+    held = grid.join_boxes(points(spark, sf), boxes, "site", OX, OY, 8 * grid.CELL).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    found = sites.join(held, "site", "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"), "first_row", "last_row")
+    return d.join(found, ["x", "y"]).select("box", "n", "first_row", "last_row")
+
+
 _LB = f"SELECT row_id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM ({L_SQL}) GROUP BY row_id"
 _AB = f"SELECT row_id AS box, min(x) - 300000 AS minx, min(y) - 300000 AS miny, max(x) + 300000 AS maxx, max(y) + 300000 AS maxy FROM ({A_SQL}) WHERE ring_idx = 0 GROUP BY row_id"
 
@@ -493,6 +510,16 @@ def nearest_of_many_clicks(spark, sf):
     return lookup.nearest_of_many(clicks, points(spark, sf), OX, OY).select("click", "row_id", F.round("d", 3).alias("d"))
 
 
+@query()
+def nearest_of_all_clicks(spark, sf):
+    """nearest_of_many_clicks for every row: equal clicks are looked up once."""
+    d = dup_points(spark, sf).select(F.col("row_id").alias("click"), (F.col("x") + 12345.6).alias("x"), (F.col("y") - 23456.7).alias("y"))
+    sites = d.groupBy("x", "y").agg(F.min("click").alias("site"))
+    found = lookup.nearest_of_many(sites.select(F.col("site").alias("click"), "x", "y", F.lit(500000.0).alias("rad")), points(spark, sf), OX, OY)
+    found = sites.join(found, F.col("site") == F.col("click")).select("x", "y", "row_id", F.round("d", 3).alias("d"))
+    return d.join(found, ["x", "y"]).select("click", "row_id", "d")
+
+
 @query(f"SELECT row_id, part_idx, round(x, 3) AS x, round(y, 3) AS y FROM ({M_SQL}) WHERE row_id = 17")
 def geometry_by_id(spark, sf):
     d = dictionary(spark, sf).withColumns({"row_id": F.col("qid"), "hole": F.lit(False), "coords": F.array(F.struct("x", "y"))})

@@ -43,6 +43,23 @@ def test_no_query_is_a_nested_loop(spark, sf):
         assert not re.search("NestedLoop|Cartesian", plan), name
 
 
+def test_whole_tables_against_brute_force(spark):
+    """On tables with ids past the prefixes of points_in_boxes, nearest_of_many_clicks and click_radii."""
+    sf = "/root/testdata/sf0.01"
+    p, d = (f(spark, sf).select("row_id", "x", "y").toPandas().sort_values("row_id") for f in (catalog.points, catalog.dup_points))
+    held = {r["box"]: r for r in catalog.points_in_all_boxes(spark, sf).collect()}
+    hit = {r["click"]: r for r in catalog.nearest_of_all_clicks(spark, sf).collect()}
+    assert len(held) == len(d) > 200 and len(hit) > 120
+    for i, x, y in d.itertuples(index=False):
+        rows = p.row_id[(abs(p.x - x) <= 400000) & (abs(p.y - y) <= 300000)]
+        assert held[i]["n"] == len(rows)
+        assert not len(rows) or (held[i]["first_row"], held[i]["last_row"]) == (rows.min(), rows.max())
+        far = ((p.x - x - 12345.6) ** 2 + (p.y - y + 23456.7) ** 2) ** 0.5
+        assert (i in hit) == (far.min() < 500000)
+        assert i not in hit or (hit[i]["row_id"] == p.row_id[far.idxmin()] and abs(hit[i]["d"] - far.min()) < 1e-2)
+    assert catalog.click_radii_of_all(spark, sf).groupBy("row_id").count().where("count = 24").count() == len(p) > 10
+
+
 def test_nothing_imports_the_llm_package():
     root = pathlib.Path(entry.__file__).parent
     for p in (root / "mapfold").rglob("*.py"):
