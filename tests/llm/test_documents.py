@@ -144,6 +144,36 @@ def test_near_copies_of_four_fifths_link(spark, block):
     assert not any(low[a] == low[b] for a, b in unlike)
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_exact_copies_are_those_of_four_fifths(spark, block):
+    """Against the components of all pairs of shingle sets; many pairs lie a little under 0.8."""
+    r = random.Random(9)
+    word = lambda: str(r.randint(0, 5000))
+    texts = [None, "", " ", "a b", "A  b", "a b c d e f g h i", "a b c d e f g h"]  # the last two: 4 of 5 shingles
+    for size, copies, step in [(200, 60, 2), (400, 30, 5), (300, 40, 6)] + [(r.randint(8, 400), 3, r.randint(1, 5)) for _ in range(40)]:
+        base = [word() for _ in range(size)]
+        for c in range(copies):
+            w = list(base)
+            for _ in range(c % 4 * step):
+                w[r.randrange(size)] = word()
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    low = {x["d"]: x["low_d"] for x in near_copies.exact_copies(df, 0.8, block=block).collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()} for w in ((t or "").lower().split() for t in texts)]
+    like = np.array([[len(a & b) / len(a | b) for a in shingles] for b in shingles])
+    assert ((like >= 0.65) & (like < 0.8)).sum() > 500
+    root = np.arange(len(texts))
+    for _ in texts:
+        root = np.where(like >= 0.8, root[None], len(texts)).min(axis=1)
+    assert [low[i] for i in range(len(texts))] == root.tolist()
+
+
+def test_exact_copies_keep_one(docs, none):
+    ids = [r["doc_id"] for r in near_copies.drop_near_copies(docs, similarity=0.8).collect()]
+    assert len(ids) == len(set(ids)) and 3 in ids and 40 not in ids and 41 not in ids
+    assert near_copies.drop_near_copies(none, similarity=0.8).count() == 0
+
+
 def test_components_are_followed():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
