@@ -4,7 +4,9 @@ Lines that many sites carry are boilerplate. Each distinct line (trimmed, not bl
 the sites it stands on; sketches merge by aggregation. Lines whose estimate is clearly over or under the
 threshold are settled by it; those near it get an exact distinct count. The boilerplate lines are then removed
 from every document, unless they make up more than `most_removed` of its characters: such a text is a copy rather
-than a page around boilerplate, and is left whole for near-duplicate removal. Only DataFrame operations are used.
+than a page around boilerplate, and is left whole for near-duplicate removal. With `by_line`, such a text also loses the
+lines that stand on enough sites in texts around boilerplate, unless no line would be left: lines that only copies
+share stay, a short page's header goes. Only DataFrame operations are used.
 
 Nulls: a null site is a site of its own; a null text has no lines and stays null. Blank lines are never removed.
 Repeated rows are treated alike. An empty table gives an empty result. Extra columns are kept.
@@ -42,7 +44,23 @@ def boilerplate(documents: DataFrame, site: str = "source", sites: int = SITES,
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES, most_removed: float = 0.5) -> DataFrame:
+def _by_line(spots: DataFrame, docs: DataFrame, site: str, sites: int, most_removed: float) -> DataFrame:
+    """(u1, u2, _bad): the positions of the lines that go, of each text (u1, u2) that loses any.
+
+    spots: (u1, u2, pos, h1, h2, len, all_len, n_full) of the lines on enough sites; all_len and n_full are the text's characters and lines that aren't blank.
+    """
+    marks = spots.groupBy("u1", "u2").agg(F.collect_set(F.struct("pos", "len", "h1", "h2")).alias("at"), F.max("all_len").alias("all_len"), F.max("n_full").alias("n_full"))
+    cut = F.aggregate("at", F.lit(0), lambda a, x: a + x["len"])
+    marks = materialize(marks.withColumn("around", cut <= F.lit(most_removed) * F.col("all_len")), "marks")
+    stands = docs.select(F.col("_t1").alias("u1"), F.col("_t2").alias("u2"), F.coalesce(F.col(site), F.lit("\x00none")).alias("site")).distinct()
+    stands = stands.join(marks.where("around").select("u1", "u2", "at"), ["u1", "u2"]).select("site", F.explode("at").alias("a"))
+    proven = stands.select("a.h1", "a.h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h1", "h2")
+    over = marks.where("not around").select("u1", "u2", "n_full", F.explode("at").alias("a")).select("u1", "u2", "n_full", "a.pos", "a.h1", "a.h2")
+    over = over.join(materialize(proven, "proven"), ["h1", "h2"], "left_semi").groupBy("u1", "u2", "n_full").agg(F.collect_set("pos").alias("_bad"))
+    return marks.where("around").select("u1", "u2", F.col("at.pos").alias("_bad")).unionByName(over.where(F.size("_bad") < F.col("n_full")).select("u1", "u2", "_bad"))
+
+
+def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES, most_removed: float = 0.5, by_line: bool = False) -> DataFrame:
     """documents with boilerplate lines taken out of text, and n_lines and n_removed beside it.
 
     The lines of a text decide what goes, so removals are gathered by the text's hash: copies of a document
@@ -51,14 +69,18 @@ def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES,
     kept = [c for c in documents.columns if c not in ("n_lines", "n_removed", "_t1", "_t2", "_bad", "u1", "u2", "h1", "h2", "pos", "line")]
     docs = documents.select(*kept, *[h.alias(f"_t{i}") for i, h in enumerate(pair_hash(F.coalesce("text", F.lit(""))), 1)])
     bad = materialize(boilerplate(documents, site, sites), "boilerplate")
-    spots = docs.select(F.col("_t1").alias("u1"), F.col("_t2").alias("u2"), F.posexplode(F.transform(lines_of(F.col("text")), trimmed)).alias("pos", "line")).where("line <> ''")
-    spots = spots.select("u1", "u2", "pos", *[h.alias(f"h{i}") for i, h in enumerate(pair_hash(F.col("line")), 1)])
-    spots = spots.join(bad, ["h1", "h2"], "left_semi").groupBy("u1", "u2").agg(F.collect_set("pos").alias("_bad"))
+    trim = F.transform(lines_of(F.col("text")), trimmed)
+    own = [F.length(F.replace("text", F.lit("\n"))).alias("all_len"), F.size(F.filter(trim, lambda x: x != "")).alias("n_full"), lines_of(F.col("text")).alias("raw")] if by_line else []
+    spots = docs.select(F.col("_t1").alias("u1"), F.col("_t2").alias("u2"), *own, F.posexplode(trim).alias("pos", "line")).where("line <> ''")
+    own = ["all_len", "n_full", F.length(F.get("raw", F.col("pos"))).alias("len")] if by_line else []
+    spots = spots.select("u1", "u2", "pos", *own, *[h.alias(f"h{i}") for i, h in enumerate(pair_hash(F.col("line")), 1)])
+    spots = spots.join(bad, ["h1", "h2"], "left_semi")
+    spots = _by_line(spots, docs.select("_t1", "_t2", site), site, sites, most_removed) if by_line else spots.groupBy("u1", "u2").agg(F.collect_set("pos").alias("_bad"))
     out = docs.join(spots, (F.col("_t1") == F.col("u1")) & (F.col("_t2") == F.col("u2")), "left")
     lines = lines_of(F.col("text"))
     length = lambda cut: F.aggregate(cut, F.lit(0), lambda a, x: a + F.length(x))
     removed = F.filter(lines, lambda x, i: F.array_contains(F.col("_bad"), i))
-    goes = F.col("_bad").isNotNull() & (length(removed) <= F.lit(most_removed) * length(lines))
+    goes = F.col("_bad").isNotNull() & (F.lit(by_line) | (length(removed) <= F.lit(most_removed) * length(lines)))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_bad"), i)), "\n")
     return out.select(
         *[c for c in kept if c != "text"],
@@ -68,6 +90,11 @@ def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES,
     )
 
 
+def op5_line_dedup_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), by_line=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("kept_md5"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("kept_md5"))

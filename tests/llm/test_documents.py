@@ -292,6 +292,22 @@ def test_lines_of_many_sites_go(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_short_pages_lose_boilerplate_and_copies_stay(spark):
+    """Pages around a header and a last line; short ones of mostly those; copies on many sites with one line of their own."""
+    own = lambda i: f"the own text of page {i} which is longer than both of the lines around it together"
+    copy = "\n".join(f"line {j} of the copied text" for j in range(6))
+    rows = [(f"shared header line\n{own(i)}\n  shared last line", f"s{i}") for i in range(6)]
+    rows += [(f"shared header line\nhi {i}\nshared last line", f"s{i}") for i in range(3)]
+    rows += [(f"{copy}\nedit {i}", f"s{i}") for i in range(7)] + [(f"shared header line\n{copy}\nedit", "s1")]
+    rows += [("shared header line\nshared last line", "s2"), (None, "s3"), ("", None), ("shared header line\nhi 0\nshared last line", None)]
+    want = [own(i) for i in range(6)] + [f"hi {i}" for i in range(3)] + [f"{copy}\nedit {i}" for i in range(7)] + [f"{copy}\nedit", rows[17][0], None, "", "hi 0"]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, by_line=True).collect()}
+    assert [out[i]["text"] for i in range(len(rows))] == want
+    assert [out[i]["n_removed"] for i in range(len(rows))] == [2] * 9 + [0] * 7 + [1, 0, 0, 0, 2]
+    assert line_dedup.dedup_lines(df.where("false"), by_line=True).count() == 0
+
+
 def test_mixing_repeats(docs, none):
     out = mixing.mix_sources(docs, max_repeats=2.0).collect()
     n = collections.Counter(r["doc_id"] for r in out)
