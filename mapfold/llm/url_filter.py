@@ -5,8 +5,8 @@ the hosts whose pages the rules allow and follows the links (personalised PageRa
 whose pages the rules block and follows the links backwards, to those that link there. A host whose distrust is
 more than `ratio` times its trust is blocked. Only DataFrame operations are used.
 
-Null urls and urls without :// have an empty host and path, and are allowed. Links come from absolute href
-targets in the html; null html has none. Repeated rows are judged alike. Empty tables give empty results.
+Null urls and urls without :// have an empty host and path, and are allowed. Links come from href targets in the
+html that name a host, with or without a scheme; null html has none. Repeated rows are judged alike. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
-HREF = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""
+HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
+#: The ranks are settled when the rounds since the last cut change no more than this part of all mass.
+TOLERANCE = 1e-9
 #: The rules of the query: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Longest list of rules that goes into one expression.
@@ -46,10 +48,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE, cut_every: int = 4) -> DataFrame:
     """Personalised PageRank: (host, mass) over weighted edges (src, dst, n) from seeds (host, seed), which sum to 1.
 
     Each round joins the ranks with the out-shares by src and sums by dst, with partial sums before the shuffle.
+    Every cut_every rounds the ranks are written, and the rounds end once these changed masses by at most `tolerance`
+    in sum; what a round changes shrinks by the damping at least, so they do end.
     Mass of hosts without links is dropped, which only scales the result's tail. Hosts without mass are absent.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
@@ -57,19 +61,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = seeds.select("host", F.col("seed").alias("mass"))
     if shares.isEmpty():
         return rank.withColumn("mass", F.col("mass") * (1 - damping))
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("part"))
-    for i in range(1, rounds + 1):
-        moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("part"))
-        rank = moved.unionByName(base).groupBy("host").agg(F.sum("part").alias("mass"))
-        if i % cut_every == 0:
-            rank = materialize(rank, "rank")
-    return rank
+    base, written = seeds.select("host", (F.col("seed") * (1 - damping)).alias("part")), None
+    while True:
+        held = rank.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old"))
+        for _ in range(cut_every):
+            moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("part"))
+            rank = moved.unionByName(base).groupBy("host").agg(F.sum("part").alias("mass"))
+        rank = materialize(rank, "rank")
+        both = rank.withColumn("old", F.lit(0.0)).unionByName(held).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old"))
+        change = both.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
+        if written is not None:
+            discard(written)
+        written = rank
+        if change <= tolerance:
+            return rank
 
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how often pages of one host link to another host."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))).alias("link"))
-    links = links.select("src", host_of(F.col("link")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    whole = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    links = links.select("src", host_of(whole).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 

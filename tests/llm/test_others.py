@@ -90,6 +90,23 @@ def test_distrust_flows_against_links(spark):
     assert v == {"bad.net": "block", "fan.org": "block", "good.com": "allow", "friend.org": "allow"}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Against PageRank by matrix: a chain of 12 links to a blocked host, and links without a scheme."""
+    hosts = ["bad.net", *[f"h{i}.org" for i in range(12)], "a.com", "b.org", "c.org"]
+    links = [(i + 1, i) for i in range(12)] + [(13, 14), (14, 15), (14, 3)]
+    html = {a: "".join(f'<a href="//{hosts[b]}/x?u=http://other.org/">' for x, b in links if x == a) for a in range(len(hosts))}
+    pages = spark.createDataFrame([(i, f"http://{h}/{'es/' * (i == 0)}", html[i]) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    scores = {r["host"]: r for r in url_filter.host_scores(pages, url_filter.RULES).collect()}
+    for kind, seed, flow in (("trust", 13, links), ("distrust", 0, [(b, a) for a, b in links])):
+        move = np.zeros((len(hosts), len(hosts)))
+        for a, b in flow:
+            move[b, a] = 1 / sum(x == a for x, _ in flow)
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * move, 0.15 * np.eye(len(hosts))[seed])
+        got = np.array([scores[h][kind] if h in scores else 0.0 for h in hosts])
+        assert want[12 if kind == "distrust" else 15] > 0 and abs(got - want).max() < 1e-7
+    assert {r["host"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}["h11.org"] == "block"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, name):
     import glob
