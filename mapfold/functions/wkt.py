@@ -1,36 +1,52 @@
-"""WKT to geometry components, as one column expression.
+"""WKT to geometry components, by columns.
 
-A literal may be quoted and carry a datatype: "POINT(7.8 48)"^^<...>. Types are matched in any case. A component is
-a point, a line or a ring of an area; the members of multi-geometries and of a geometry collection become components
-of their own, nested collections are skipped. What can't be read has no components.
+A literal may be quoted and carry a datatype: "POINT(7.8 48)"^^<...>. Types are matched in any case, with or without
+Z, M or ZM; of a vertex the first two numbers count. A component is a point, a line or a ring of an area; the members
+of multi-geometries and of a geometry collection become components of their own, nested collections are skipped
+(nested_collections() counts them). What can't be read has no components.
+
+Brackets are matched by possessive patterns: they loop rather than recurse, so a task's stack holds a line of any
+length and an area of any number of rings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPONENT = "array<struct<kind:string,hole:boolean,ring:int,coords:array<struct<x:double,y:double>>>>"
-_INNER = r"\(([^()]*)\)"
-_POLYGON = r"\(((?:\s*\([^()]*\)\s*,?)+)\)"
-_DEEP = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+#: A collection's members may hold brackets so deep.
+DEPTH = 12
+_INNER = r"\(([^()]*+)\)"
+_POLYGON = r"\(((?:\s*+\([^()]*+\)\s*+,?+)++)\)"
+_MEMBER = r"(?i)\b([a-z]+?)\s*+(?:zm|z|m)?\s*+"
+
+
+def _brackets(depth: int = DEPTH) -> str:
+    inner = r"\([^()]*+\)"
+    for _ in range(depth):
+        inner = rf"\((?:[^()]++|{inner})*+\)"
+    return inner
 
 
 def literal(wkt: Column) -> Column:
-    """The text of a literal, without quotes and datatype."""
-    return F.trim(F.regexp_replace(wkt, r'^\s*"|"\s*(?:\^\^<[^>]*>|\^\^\S+|@[A-Za-z-]+)?\s*$', ""))
+    """The text of a literal, without quotes and datatype; white space is blanks."""
+    blanks = F.translate(wkt, "\t\n\r\f\v", "     ")
+    return F.trim(F.regexp_replace(blanks, r'^ *+"|" *+(?:\^\^<[^>]*+>|\^\^\S++|@[A-Za-z-]++)? *+$', ""))
+
+
+def _kind(text: Column) -> Column:
+    return F.upper(F.regexp_extract(text, r"(?i)^([a-z]+?) *+(?:zm|z|m)? *+(?:\(|empty|$)", 1))
 
 
 def wkt_type(wkt: Column) -> Column:
-    return F.upper(F.regexp_extract(literal(wkt), r"^([A-Za-z]+)", 1))
+    return _kind(literal(wkt))
 
 
 def _vertices(path: Column) -> Column:
-    def vertex(text: Column) -> Column:
-        parts = F.split(F.trim(text), r"\s+")
-        return F.struct(F.get(parts, 0).try_cast("double").alias("x"), F.get(parts, 1).try_cast("double").alias("y"))
-
-    return F.filter(F.transform(F.split(path, ","), vertex), lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    parts = F.transform(F.split(path, ","), lambda t: F.split(F.trim(t), " +"))
+    xy = F.transform(parts, lambda p: F.struct(F.get(p, 0).try_cast("double").alias("x"), F.get(p, 1).try_cast("double").alias("y")))
+    return F.filter(xy, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
 
 
 def _component(kind: str, coords: Column, ring: Column) -> Column:
@@ -45,7 +61,7 @@ def closed(coords: Column) -> Column:
 
 def _of_member(kind: Column, body: Column) -> Column:
     paths = lambda text: F.regexp_extract_all(text, F.lit(_INNER), F.lit(1))
-    rings = lambda text: F.transform(paths(text), lambda p, i: _component("AREA", closed(_vertices(p)), i))
+    rings = lambda text: F.transform(F.transform(paths(text), _vertices), lambda v, i: _component("AREA", closed(v), i))
     points = F.transform(F.flatten(F.transform(paths(body), _vertices)), lambda v: _component("POINT", F.array(v), F.lit(0)))
     lines = F.transform(paths(body), lambda p: _component("LINE", _vertices(p), F.lit(0)))
     areas = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(_POLYGON), F.lit(1)), rings))
@@ -59,12 +75,27 @@ def _of_member(kind: Column, body: Column) -> Column:
     return F.filter(found, lambda c: F.size(c["coords"]) > 0)
 
 
-def components(wkt: Column) -> Column:
-    """array<struct<kind, hole, ring, coords>> of a WKT literal: kind is POINT, LINE or AREA; coords are as written."""
-    text, kind = literal(wkt), wkt_type(wkt)
-    body = F.regexp_extract(text, r"^[A-Za-z]+\s*(\(.*\))\s*$", 1)
-    inside = F.regexp_extract(body, r"^\((.*)\)$", 1)
-    member = lambda group: F.regexp_extract_all(inside, F.lit(r"([A-Za-z]+)\s*(" + _DEEP + ")"), F.lit(group))
+def with_components(rows: DataFrame, wkt: str, name: str) -> DataFrame:
+    """rows with array<struct<kind, hole, ring, coords>> of a WKT column: kind is POINT, LINE or AREA; coords are as written.
+
+    Text, type and body are columns of their own, each used more than once by the next, so that each is made once a row.
+    """
+    text, kind, body = (f"_{name}_{c}" for c in ("text", "kind", "body"))
+    out = rows.withColumn(text, literal(F.col(wkt)))
+    out = out.withColumns({kind: _kind(F.col(text)), body: F.regexp_extract(text, r"(?is)^[a-z]+ *+(?:zm|z|m)? *+(\(.*\))$", 1)})
+    inside = F.substr(body, F.lit(2), F.length(body) - 2)
+    member = lambda group: F.regexp_extract_all(inside, F.lit(f"{_MEMBER}({_brackets()})"), F.lit(group))
     several = F.zip_with(member(1), member(2), lambda k, b: _of_member(F.upper(k), b))
-    out = F.when(kind == "GEOMETRYCOLLECTION", F.flatten(several)).otherwise(_of_member(kind, body))
-    return F.coalesce(out, F.array().cast(COMPONENT))
+    found = F.when(F.col(kind) == "GEOMETRYCOLLECTION", F.flatten(several)).otherwise(_of_member(F.col(kind), F.col(body)))
+    # a plain point, the most common geometry, does without functions over arrays
+    xy = f"_{name}_xy"
+    plain = (F.col(kind) == "POINT") & F.get(xy, 0).isNotNull() & F.get(xy, 1).isNotNull()
+    point = F.array(_component("POINT", F.array(F.struct(F.get(xy, 0).alias("x"), F.get(xy, 1).alias("y"))), F.lit(0)))
+    numbers = F.split(F.trim(F.when(F.col(kind) == "POINT", inside)), " +")
+    out = out.withColumn(xy, numbers).withColumn(xy, F.when(F.size(xy) >= 2, F.array(F.get(xy, 0).try_cast("double"), F.get(xy, 1).try_cast("double"))))
+    return out.withColumn(name, F.coalesce(F.when(plain, point).otherwise(found), F.array().cast(COMPONENT))).drop(text, kind, body, xy)
+
+
+def nested_collections(wkt: Column) -> Column:
+    """How many collections a collection holds itself: they are skipped."""
+    return F.greatest(F.lit(0), F.regexp_count(F.upper(wkt), F.lit("GEOMETRYCOLLECTION[ ZM]*+\\(")) - 1)

@@ -1,7 +1,7 @@
 """Geometry dictionary: WKT rows to projected components with boxes.
 
-Equal WKT texts are decoded once and share geom_id, a hash of the text. A row whose geometry can't be read keeps one
-component of kind NONE. Points that don't project to finite coordinates are dropped.
+Equal WKT texts are decoded once; equal components share geom_id, a hash of their coordinates. A row whose geometry
+can't be read keeps one component of kind NONE. Vertices that don't project to finite coordinates are dropped.
 """
 
 from __future__ import annotations
@@ -14,38 +14,51 @@ from ..functions import geometry, mercator, wkt
 
 def decode(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
     """(qid, part_idx, kind, hole, ring, coords): one row per component, in degrees; NONE for rows without any."""
-    parts = rows.select(F.col(qid).alias("qid"), F.posexplode_outer(wkt.components(F.col(text))).alias("part_idx", "c"))
+    read = wkt.with_components(rows.select(F.col(qid).alias("qid"), F.col(text).alias("_wkt")), "_wkt", "_parts")
+    parts = read.select("qid", F.posexplode_outer("_parts").alias("part_idx", "c"))
     return parts.select("qid", F.coalesce("part_idx", F.lit(0)).alias("part_idx"), F.coalesce("c.kind", F.lit("NONE")).alias("kind"), F.coalesce("c.hole", F.lit(False)).alias("hole"), F.coalesce("c.ring", F.lit(0)).alias("ring"), F.col("c.coords").alias("coords"))
 
 
 def project(parts: DataFrame) -> DataFrame:
-    """Components with coords in Mercator units, x and y of points, and the box; non-finite points go."""
-    coords = F.transform("coords", lambda c: F.struct(mercator.x_of(c["x"]).alias("x"), mercator.y_of(c["y"]).alias("y")))
-    out = parts.withColumn("coords", coords)
-    point = F.col("kind") == "POINT"
-    first = F.get("coords", 0)
-    out = out.withColumns({"x": F.when(point, first["x"]), "y": F.when(point, first["y"])} | geometry.bbox(F.col("coords")))
-    return out.where(~point | mercator.finite(F.col("x"), F.col("y")))
+    """Components with coords in Mercator units, x and y of points, and the box; vertices that aren't finite go, and components left empty."""
+    point, first = F.col("kind") == "POINT", F.get("coords", 0)
+    out = parts.withColumns({"x": F.when(point, mercator.x_of(first["x"])), "y": F.when(point, mercator.y_of(first["y"]))})
+    # points, the most common kind, do without functions over arrays
+    moved = F.transform("coords", lambda c: F.struct(mercator.x_of(c["x"]).alias("x"), mercator.y_of(c["y"]).alias("y")))
+    moved = F.filter(moved, lambda c: mercator.finite(c["x"], c["y"]))
+    out = out.withColumn("coords", F.when(point, F.array(F.struct("x", "y"))).otherwise(moved))
+    out = out.where(F.when(point, mercator.finite(F.col("x"), F.col("y"))).otherwise((F.col("kind") == "NONE") | (F.size("coords") > 0)))
+    return out.withColumns({c: F.when(point, F.col(c[-1])).otherwise(e) for c, e in geometry.bbox(F.col("coords")).items()})
 
 
 def build_dictionary(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
     """Projected components of (qid, WKT) rows: each qid once, each text decoded once.
 
-    Repeated qids keep the row of smallest text, a rule that doesn't depend on arrival. Only ids travel with the
-    texts' hashes; the texts themselves are grouped once.
+    Repeated qids keep the row of smallest text, a rule that doesn't depend on arrival. Equal texts meet in a partial
+    aggregation by their 128-bit hash and are decoded as one; the ids, which travel without texts, join their components.
     """
-    once = rows.select(F.col(qid).alias("qid"), F.col(text).alias("wkt")).groupBy("qid").agg(F.min("wkt").alias("wkt"))
-    return project(decode(once)).withColumn("geom_id", F.xxhash64("coords"))
+    once = first_texts(rows, qid, text).withColumns({"_h1": F.xxhash64("wkt"), "_h2": F.xxhash64(F.lit("second"), "wkt")})
+    texts = once.groupBy("_h1", "_h2").agg(F.first("wkt").alias("wkt")).select(F.struct("_h1", "_h2").alias("h"), "wkt")
+    parts = project(decode(texts, "h", "wkt")).select(F.col("qid._h1").alias("_h1"), F.col("qid._h2").alias("_h2"), "*")
+    parts = parts.withColumn("geom_id", F.xxhash64("coords")).drop("qid")
+    out = once.select("qid", "_h1", "_h2").join(parts, ["_h1", "_h2"])
+    return out.drop("_h1", "_h2")
+
+
+def first_texts(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
+    """(qid, wkt): each qid once, with its smallest text."""
+    return rows.select(F.col(qid).alias("qid"), F.col(text).alias("wkt")).groupBy("qid").agg(F.min("wkt").alias("wkt"))
 
 
 def geometry_ids(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
     """(qid, geom_id): rows of equal text share a dense id, in the order of the texts' first qid.
 
     The distinct texts are numbered without one task sorting them all: by rank inside a hash part, after the sizes
-    of the parts before it.
+    of the parts before it. There are as many parts as shuffle partitions.
     """
     firsts = rows.groupBy(text).agg(F.min(qid).alias("first"))
-    parts = firsts.withColumn("part", F.pmod(F.xxhash64(text), F.lit(64)))
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = firsts.withColumn("part", F.pmod(F.xxhash64(text), F.lit(n_parts)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first", text)) - 1

@@ -53,10 +53,12 @@ def feature(geometry: Column, properties: Column) -> Column:
 def features(result: DataFrame, digits: int = 6) -> DataFrame:
     """(feature): every row of a result whose last column is WKT that can be read, other columns as properties."""
     *attributes, geom = result.columns
-    parts = result.withColumn("_c", wkt.components(F.col(geom))).where(F.size("_c") > 0)
-    shapes = F.transform("_c", lambda c: shape(c["kind"], c["coords"], digits))
-    made = F.when(F.size("_c") == 1, F.get(shapes, 0)).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(shapes, ","), F.lit("]}")))
-    return parts.select(feature(made, F.to_json(F.struct(*attributes)) if attributes else F.lit("{}")).alias("feature"))
+    parts = wkt.with_components(result, geom, "_c").withColumn("_g", F.transform("_c", lambda c: shape(c["kind"], c["coords"], digits)))
+    several = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join("_g", ","), F.lit("]}"))
+    made = F.when(F.size("_g") == 1, F.get("_g", 0)).when(F.size("_g") > 1, several)
+    made = feature(made, F.to_json(F.struct(*attributes)) if attributes else F.lit("{}"))
+    # rows without a geometry have no feature; exploding drops them without a filter, which would parse the text once more
+    return parts.select(F.explode(F.array_compact(F.array(made))).alias("feature"))
 
 
 def write_geojson(result: DataFrame, path: str) -> None:
@@ -64,16 +66,6 @@ def write_geojson(result: DataFrame, path: str) -> None:
     features(result).write.mode("overwrite").text(path)
 
 
-def collection(result: DataFrame):
-    """The lines of one FeatureCollection document, streamed through the driver a partition at a time."""
-    yield '{"type":"FeatureCollection","features":['
-    comma = ""
-    for row in features(result).toLocalIterator():
-        yield comma + row["feature"]
-        comma = ","
-    yield "]}"
-
-
 def query_json(session: str, box: Sequence[float | None], num_objects: int, threshold: int) -> dict:
     return {"qid": session, "bounds": [list(box[:2]), list(box[2:])], "numobjects": num_objects, "autothreshold": threshold}
 
