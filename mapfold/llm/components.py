@@ -22,16 +22,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link: root is the smallest node that can be reached from it.
 
     edges: (src, dst), any direction, repeats allowed. Sums and minima are taken before rows are shuffled, and no
     step lists a node's neighbours, so a hub costs no more than its links. Each round is written to the shared
-    folder; it ends when a round leaves the links as they were.
+    folder; it ends when a round leaves the links as they were, which the logarithm of the longest chain bounds.
     """
     now = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "links")
     sums = None
-    for _ in range(most_rounds):
+    while True:
         then = materialize(_star(_star(now, True), False), "links")
         found = then.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst")), F.count_if(F.col("src") < F.col("dst"))).first()
         discard(now)
@@ -39,6 +39,4 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if tuple(found) == sums:
             break
         sums = tuple(found)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())

@@ -3,11 +3,13 @@
 A text's sketch is every distinct hash of its five-word shingles that lies below a fixed fraction of the hash
 range. Which hashes stay doesn't depend on the text's length, so the union of sketches is the sketch of the union
 and containment can be estimated between very unequal documents. A text of fewer than five words has one shingle,
-all its words; a text of which no hash lies below the threshold keeps its smallest one, so that only texts without
-words have an empty sketch. Only DataFrame operations are used.
+all its words. Only DataFrame operations are used.
 
-Nulls and empty texts have an empty sketch; two empty sketches are alike (1), an empty and another are not (0).
-Repeated rows and equal texts have equal sketches. Empty tables give empty results. Extra columns play no part.
+A sketch may be empty: of a short text by chance (of n shingles, with the probability (1 - 1/SCALE)^n), of nulls and
+texts without words always. Two empty sketches are equal and so alike (1), an empty and another are not (0): of texts
+of few words, take a smaller scale. Repeated rows and equal texts have equal sketches. Very long texts are sketched
+whole, in their task. Rows of one doc_id follow each other in the order of their contents' hash. Empty tables give
+empty results. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words of a shingle; one in so many hashes is kept.
-WORDS, SCALE = 5, 4
+WORDS, SCALE = 5, 2
+#: A hot id falls into two to the power of so many ranges.
+SPLIT_BITS = 8
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -38,13 +42,10 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
 
 
 def sketch_of(hashes: Column, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes below 1/scale of the unsigned range, or the smallest one if there is none."""
-    limit = F.lit((1 << 63) // scale * 2 - (1 << 63))
+    """Sorted distinct hashes below 1/scale of the unsigned range."""
+    limit = F.lit((1 << 63) // scale * 2 - (1 << 63)) if scale > 1 else F.lit((1 << 63) - 1)
     flip = lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  unsigned order as signed order
-    low = F.filter(hashes, lambda h: flip(h) < limit)
-    least = F.when(F.size(hashes) > 0, F.array(flip(F.array_min(F.transform(hashes, flip))))).otherwise(hashes)
-    kept = F.array_distinct(F.when(F.exists(hashes, lambda h: flip(h) < limit), low).otherwise(least))
-    return F.sort_array(F.transform(kept, flip))
+    return F.sort_array(F.transform(F.array_distinct(F.filter(hashes, lambda h: flip(h) < limit)), flip))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -66,9 +67,10 @@ def as_string(sketch: Column) -> Column:
 def with_next(docs: DataFrame, ident: str, carried: list[str], parts: int | None = None) -> DataFrame:
     """docs with, for each carried column c, next_c: its value in the row next by ident (after the last: the first).
 
-    The ids are cut into `parts` ranges at approximate quantiles; each range is a window of its own. What follows a
-    range is the first row of the next one, which joins it as an extra last row: one row for each range. The
-    driver sees the quantiles and the first id of each range, a number of values set by `parts`.
+    The ids are cut into `parts` ranges at approximate quantiles; each range is a window of its own. An id that ends a
+    range may have very many rows, and so may null: these go by the top bits of their contents' hash into ranges of
+    their own. What follows a range is the first row of the next one, which joins it as an extra last row. The
+    driver sees the quantiles alone, a number of values set by `parts`; the ranges' first rows are a small table.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,20 +80,20 @@ def with_next(docs: DataFrame, ident: str, carried: list[str], parts: int | None
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     past = lambda a, s: (a + s <= F.lit(len(cuts))) & (F.col(ident) > F.get(bounds, a + s - 1))
     place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(past(a, s), a + s).otherwise(a))
-    docs = docs.withColumn("_range", F.when(F.col(ident).isNull(), -1).otherwise(place)).withColumn("_extra", F.lit(0))
-    order = [F.col(ident).asc_nulls_first(), F.xxhash64(*carried)]
-    firsts = {r["_range"]: r["first"] for r in docs.groupBy("_range").agg(F.min(ident).alias("first")).collect()}
-    ranges = sorted(firsts)
-    if not ranges:
-        return docs.drop("_range", "_extra").withColumns({f"next_{c}": F.col(c) for c in carried})
-    before = F.create_map(*[F.lit(x) for i, r in enumerate(ranges) for x in (r, ranges[i - 1])])
-    ids = [firsts[r] for r in ranges]
-    found = docs.where(F.col(ident).isin([i for i in ids if i is not None]) | (F.col(ident).isNull() if None in ids else F.lit(False)))
-    rows = found.groupBy("_range", ident).agg(*[F.min_by(c, F.xxhash64(*carried)).alias(c) for c in carried])
-    extra = rows.select(ident, *carried, before[F.col("_range")].alias("_range"), F.lit(1).alias("_extra"))
-    both = docs.unionByName(extra, allowMissingColumns=True)
-    window = Window.partitionBy("_range").orderBy("_extra", *order)
-    return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in carried}).where("_extra = 0").drop("_range", "_extra")
+    docs = docs.withColumns({"__hash": F.xxhash64(*carried), "__place": F.when(F.col(ident).isNull(), -1).otherwise(place)})
+    top = F.shiftright("__hash", 64 - SPLIT_BITS) + (1 << SPLIT_BITS - 1)  # 0 and up, in the order of the hash
+    hot = F.col(ident).isNull() | (F.col(ident) == F.get(bounds, F.greatest(F.col("__place"), F.lit(0))))
+    docs = docs.withColumn("__range", F.struct("__place", F.when(F.coalesce(hot, F.lit(False)), top + 1).otherwise(F.lit(0)).alias("__sub"))).drop("__place")
+    key = F.struct(F.col(ident).isNotNull().alias("known"), F.col(ident).alias("id"), F.col("__hash").alias("hash"))
+    # one row for each range: the first key, and the range before it (of the first: the last)
+    firsts = docs.groupBy("__range").agg(F.min(key).alias("first"))
+    line, whole = Window.orderBy("__range"), Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select(F.col("__range").alias("__own"), "first", F.coalesce(F.lag("__range").over(line), F.last("__range").over(whole)).alias("__before"))
+    same = (F.col("__range") == F.col("__own")) & F.col(ident).eqNullSafe(F.col("first.id")) & (F.col("__hash") == F.col("first.hash"))
+    heads = docs.join(firsts, same).groupBy("__before").agg(F.first(ident).alias(ident), *[F.first(c).alias(c) for c in carried], F.first("__hash").alias("__hash"))
+    both = docs.withColumn("__extra", F.lit(0)).unionByName(heads.withColumnRenamed("__before", "__range").withColumn("__extra", F.lit(1)), allowMissingColumns=True)
+    window = Window.partitionBy("__range").orderBy("__extra", F.col(ident).asc_nulls_first(), "__hash")
+    return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in carried}).where("__extra = 0").drop("__range", "__extra", "__hash")
 
 
 def edited(text: Column, following: Column) -> Column:

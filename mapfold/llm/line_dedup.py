@@ -2,14 +2,19 @@
 
 Lines that many sites carry are boilerplate. Each distinct line (trimmed, not blank) gets a HyperLogLog sketch of
 the sites it stands on; sketches merge by aggregation. Lines whose estimate is clearly over or under the
-threshold are settled by it; those near it get an exact distinct count. The boilerplate lines are then removed
-from every document, unless they make up more than `most_removed` of its characters: such a text is a copy rather
-than a page around boilerplate, and is left whole for near-duplicate removal. With `by_line`, such a text also loses the
-lines that stand on enough sites in texts around boilerplate, unless no line would be left: lines that only copies
-share stay, a short page's header goes. Only DataFrame operations are used.
+threshold are settled by it; those near it get an exact distinct count. These are the wide lines.
+
+Copies of one document on many sites have wide lines too, which aren't boilerplate: they are the matter of
+near-duplicate removal, and without them nothing would be left of the document. So what a wide line is, is told by
+the line: it is boilerplate if it stands on enough sites in texts that have more text of their own than wide lines
+around it (`around`: the part that wide lines make up there at most). Boilerplate goes from every text, long or short;
+only a text that would lose its last line is left whole. From texts with more of their own, all wide lines go.
+Only DataFrame operations are used.
 
 Nulls: a null site is a site of its own; a null text has no lines and stays null. Blank lines are never removed.
-Repeated rows are treated alike. An empty table gives an empty result. Extra columns are kept.
+Repeated rows are treated alike. Very long texts and lines are hashed in their task; what is shuffled of them but once
+are hashes and positions. Ties don't arise. An empty table gives an empty result. Extra columns are kept, whatever their names; n_lines and n_removed are
+replaced, and names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pair_hash, table
+from .common import discard, materialize, pair_hash, table
 
 #: Sites from which a line is boilerplate; log2 of the sketch's registers; relative margin of the near-threshold band (4 standard errors of 1.04 / sqrt(2^10)).
 SITES, LG_REGISTERS, BAND = 5, 10, 0.13
+#: In texts of which wide lines make up at most this part, wide lines count as boilerplate.
+AROUND = 0.5
 
 
 def trimmed(line: Column) -> Column:
@@ -44,59 +51,53 @@ def boilerplate(documents: DataFrame, site: str = "source", sites: int = SITES,
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def _by_line(spots: DataFrame, docs: DataFrame, site: str, sites: int, most_removed: float) -> DataFrame:
-    """(u1, u2, _bad): the positions of the lines that go, of each text (u1, u2) that loses any.
-
-    spots: (u1, u2, pos, h1, h2, len, all_len, n_full) of the lines on enough sites; all_len and n_full are the text's characters and lines that aren't blank.
-    """
+def removals(docs: DataFrame, bad: DataFrame, site: str, sites: int, around: float) -> DataFrame:
+    """(__u1, __u2, __bad): the positions of the lines that go, of each text (__t1, __t2) that loses any; bad: the wide lines."""
+    text = F.col("__text")
+    each = F.transform(lines_of(text), lambda x: F.struct(trimmed(x).alias("line"), F.length(x).alias("len")))
+    spots = docs.select(F.col("__t1").alias("u1"), F.col("__t2").alias("u2"), F.length(F.replace(text, F.lit("\n"))).alias("all_len"), each.alias("each"))
+    spots = spots.withColumn("n_full", F.size(F.filter("each", lambda x: x["line"] != "")))
+    spots = spots.select("u1", "u2", "all_len", "n_full", F.posexplode("each").alias("pos", "x")).where("x.line <> ''")
+    spots = spots.select("u1", "u2", "pos", "all_len", "n_full", "x.len", *[h.alias(f"h{i}") for i, h in enumerate(pair_hash(F.col("x.line")), 1)])
+    spots = spots.join(bad, ["h1", "h2"], "left_semi")
     marks = spots.groupBy("u1", "u2").agg(F.collect_set(F.struct("pos", "len", "h1", "h2")).alias("at"), F.max("all_len").alias("all_len"), F.max("n_full").alias("n_full"))
     cut = F.aggregate("at", F.lit(0), lambda a, x: a + x["len"])
-    marks = materialize(marks.withColumn("around", cut <= F.lit(most_removed) * F.col("all_len")), "marks")
-    stands = docs.select(F.col("_t1").alias("u1"), F.col("_t2").alias("u2"), F.coalesce(F.col(site), F.lit("\x00none")).alias("site")).distinct()
+    marks = materialize(marks.withColumn("around", cut <= F.lit(around) * F.col("all_len")), "marks")
+    stands = docs.select(F.col("__t1").alias("u1"), F.col("__t2").alias("u2"), F.coalesce(F.col(site), F.lit("\x00none")).alias("site")).distinct()
     stands = stands.join(marks.where("around").select("u1", "u2", "at"), ["u1", "u2"]).select("site", F.explode("at").alias("a"))
     proven = stands.select("a.h1", "a.h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h1", "h2")
     over = marks.where("not around").select("u1", "u2", "n_full", F.explode("at").alias("a")).select("u1", "u2", "n_full", "a.pos", "a.h1", "a.h2")
-    over = over.join(materialize(proven, "proven"), ["h1", "h2"], "left_semi").groupBy("u1", "u2", "n_full").agg(F.collect_set("pos").alias("_bad"))
-    return marks.where("around").select("u1", "u2", F.col("at.pos").alias("_bad")).unionByName(over.where(F.size("_bad") < F.col("n_full")).select("u1", "u2", "_bad"))
+    over = over.join(proven, ["h1", "h2"], "left_semi").groupBy("u1", "u2", "n_full").agg(F.collect_set("pos").alias("bad"))
+    found = marks.where("around").select("u1", "u2", F.col("at.pos").alias("bad")).unionByName(over.where(F.size("bad") < F.col("n_full")).select("u1", "u2", "bad"))
+    # a table of its own: the join of a hot text then has an exchange on either side, which Spark can split
+    found = materialize(found.select(F.col("u1").alias("__u1"), F.col("u2").alias("__u2"), F.col("bad").alias("__bad")), "removals")
+    discard(marks)
+    return found
 
 
-def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES, most_removed: float = 0.5, by_line: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES, around: float = AROUND) -> DataFrame:
     """documents with boilerplate lines taken out of text, and n_lines and n_removed beside it.
 
     The lines of a text decide what goes, so removals are gathered by the text's hash: copies of a document
     share them, and their rows are summed up before the shuffle.
     """
-    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed", "_t1", "_t2", "_bad", "u1", "u2", "h1", "h2", "pos", "line")]
-    docs = documents.select(*kept, *[h.alias(f"_t{i}") for i, h in enumerate(pair_hash(F.coalesce("text", F.lit(""))), 1)])
+    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    docs = documents.select(*kept, *[h.alias(f"__t{i}") for i, h in enumerate(pair_hash(F.coalesce("text", F.lit(""))), 1)])
     bad = materialize(boilerplate(documents, site, sites), "boilerplate")
-    trim = F.transform(lines_of(F.col("text")), trimmed)
-    own = [F.length(F.replace("text", F.lit("\n"))).alias("all_len"), F.size(F.filter(trim, lambda x: x != "")).alias("n_full"), lines_of(F.col("text")).alias("raw")] if by_line else []
-    spots = docs.select(F.col("_t1").alias("u1"), F.col("_t2").alias("u2"), *own, F.posexplode(trim).alias("pos", "line")).where("line <> ''")
-    own = ["all_len", "n_full", F.length(F.get("raw", F.col("pos"))).alias("len")] if by_line else []
-    spots = spots.select("u1", "u2", "pos", *own, *[h.alias(f"h{i}") for i, h in enumerate(pair_hash(F.col("line")), 1)])
-    spots = spots.join(bad, ["h1", "h2"], "left_semi")
-    spots = _by_line(spots, docs.select("_t1", "_t2", site), site, sites, most_removed) if by_line else spots.groupBy("u1", "u2").agg(F.collect_set("pos").alias("_bad"))
-    out = docs.join(spots, (F.col("_t1") == F.col("u1")) & (F.col("_t2") == F.col("u2")), "left")
-    lines = lines_of(F.col("text"))
-    length = lambda cut: F.aggregate(cut, F.lit(0), lambda a, x: a + F.length(x))
-    removed = F.filter(lines, lambda x, i: F.array_contains(F.col("_bad"), i))
-    goes = F.col("_bad").isNotNull() & (F.lit(by_line) | (length(removed) <= F.lit(most_removed) * length(lines)))
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_bad"), i)), "\n")
+    spots = removals(docs.select("__t1", "__t2", F.col("text").alias("__text"), site), bad, site, sites, around)
+    discard(bad)
+    out = docs.join(spots, (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")), "left")
+    lines, goes = lines_of(F.col("text")), F.col("__bad").isNotNull()
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__bad"), i)), "\n")
     return out.select(
-        *[c for c in kept if c != "text"],
-        F.when(goes, rest).otherwise(F.col("text")).alias("text"),
+        *[F.when(goes, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(goes, F.size("_bad")).otherwise(0).alias("n_removed"),
+        F.when(goes, F.size("__bad")).otherwise(0).alias("n_removed"),
     )
 
 
-def op5_line_dedup_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), by_line=True)
-    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("kept_md5"))
-
-
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("kept_md5"))
 
 
@@ -105,10 +106,13 @@ WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FRO
 x AS (SELECT doc_id, coalesce(source, chr(0) || 'none') AS site, unnest(parts) AS raw, unnest(range(0, len(parts))) AS pos FROM l),
 y AS (SELECT *, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line FROM x),
 b AS (SELECT line FROM y WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {SITES}),
-z AS (SELECT y.*, b.line IS NOT NULL AS bad FROM y LEFT JOIN b ON y.line = b.line),
-d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, coalesce(sum(length(raw)) FILTER (bad), 0) AS cut, sum(length(raw)) AS all_chars,
-  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS rest FROM z GROUP BY doc_id)
-SELECT l.doc_id, coalesce(n_lines, 0)::INT AS n_lines, (CASE WHEN n_bad > 0 AND cut <= 0.5 * all_chars THEN n_bad ELSE 0 END)::INT AS n_removed,
-  md5(CASE WHEN n_bad > 0 AND cut <= 0.5 * all_chars THEN rest ELSE coalesce(text, '') END) AS kept_md5
+z AS (SELECT y.*, b.line IS NOT NULL AS wide FROM y LEFT JOIN b ON y.line = b.line),
+t AS (SELECT doc_id, coalesce(sum(length(raw)) FILTER (wide), 0) <= {AROUND} * sum(length(raw)) AS around, count(*) FILTER (line <> '') AS n_full FROM z GROUP BY doc_id),
+p AS (SELECT line FROM z JOIN t USING (doc_id) WHERE wide AND around GROUP BY line HAVING count(DISTINCT site) >= {SITES}),
+g AS (SELECT z.*, around, n_full, wide AND (around OR p.line IS NOT NULL) AS bad FROM z JOIN t USING (doc_id) LEFT JOIN p ON z.line = p.line),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, any_value(around) OR count(*) FILTER (bad) < any_value(n_full) AS goes,
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS rest FROM g GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_lines, 0)::INT AS n_lines, (CASE WHEN n_bad > 0 AND goes THEN n_bad ELSE 0 END)::INT AS n_removed,
+  md5(CASE WHEN n_bad > 0 AND goes THEN rest ELSE coalesce(text, '') END) AS kept_md5
 FROM l LEFT JOIN d USING (doc_id)
 """

@@ -11,7 +11,10 @@ are used; the driver sees one row per candidate exponent.
 
 Nulls: documents of null source form a source of their own; null and empty texts have 0 tokens. Documents of
 0 tokens go along with each whole permutation of their block (once, if the source has no tokens). Repeated rows
-are documents of their own. An empty table gives an empty result. Extra columns are kept.
+are documents of their own; equal hashes are told apart by doc_id. Very long texts: one longer than a block is a
+block's greater part, and is left out of a last part that it doesn't fit. An empty table gives an empty result. Extra
+columns are kept, whatever their names; n_tokens, weight, block, epoch and slot are replaced, and names that begin with
+two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -97,31 +100,32 @@ def realise(documents: DataFrame, plan: DataFrame, ident: str = "doc_id", seed:
 
     plan: as plan_sources() gives it, a row per source; it joins on the source, null with null.
     """
-    plan = plan.withColumnRenamed("source", "_source").withColumnRenamed("tokens", "_tokens")
-    held = documents.join(plan, documents["source"].eqNullSafe(plan["_source"]))
+    plan = plan.select(F.col("source").alias("__source"), F.col("tokens").alias("__tokens"), "weight", F.col("target").alias("__target"), F.col("blocks").alias("__blocks"))
+    held = documents.join(plan, documents["source"].eqNullSafe(plan["__source"]))
     spot = F.conv(F.substring(permutation_key(F.col(ident), F.lit(seed), F.lit("block")), 1, 12), 16, 10).cast("long")
-    held = held.withColumn("block", F.pmod(spot, F.col("blocks")))
-    part = [F.col("_source"), F.col("block")]
-    sizes = held.groupBy(F.col("_source").alias("_s"), F.col("block").alias("_b")).agg(F.sum("n_tokens").alias("_in_block"))
-    quota = F.floor(F.col("target") * (F.col("_in_block") / F.col("_tokens"))).cast("long")
-    sizes = sizes.join(plan.select("_source", "target", "_tokens"), F.col("_s").eqNullSafe(F.col("_source")))
+    held = held.withColumn("block", F.pmod(spot, F.col("__blocks")))
+    part = [F.col("__source"), F.col("block")]
+    sizes = held.groupBy(F.col("__source").alias("__s"), F.col("block").alias("__b")).agg(F.sum("n_tokens").alias("__in_block"))
+    quota = F.floor(F.col("__target") * (F.col("__in_block") / F.col("__tokens"))).cast("long")
+    sizes = sizes.join(plan.select("__source", "__target", "__tokens"), F.col("__s").eqNullSafe(F.col("__source")))
     # a ratio a hair under a whole number is that number: else a source's single epoch could lose a document
-    ratio = F.col("target") / F.col("_tokens")
-    whole = F.when(F.col("_in_block") > 0, F.floor(ratio + F.lit(1e-9))).otherwise(F.greatest(F.lit(1), F.floor(ratio + F.lit(1e-9))))
+    ratio = F.col("__target") / F.col("__tokens")
+    whole = F.when(F.col("__in_block") > 0, F.floor(ratio + F.lit(1e-9))).otherwise(F.greatest(F.lit(1), F.floor(ratio + F.lit(1e-9))))
     whole = F.coalesce(whole, F.lit(1)).cast("long")
-    sizes = sizes.select("_s", "_b", whole.alias("_whole"), F.greatest(F.lit(0), F.coalesce(quota, F.lit(0)) - whole * F.col("_in_block")).alias("_rest"))
-    held = held.join(sizes, held["_source"].eqNullSafe(sizes["_s"]) & (held["block"] == sizes["_b"]))
-    drawn = held.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole") - F.when(F.col("_rest") > 0, 0).otherwise(1))))
-    drawn = drawn.where("epoch >= 0").withColumn("_key", permutation_key(F.col(ident), F.lit(seed), F.col("epoch")))
-    order = Window.partitionBy(*part, "epoch").orderBy("_key", ident)
-    drawn = drawn.withColumn("slot", F.row_number().over(order) - 1).withColumn("_sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = drawn.where((F.col("epoch") < F.col("_whole")) | ((F.col("_sum") <= F.col("_rest")) & (F.col("n_tokens") > 0)))
+    sizes = sizes.select("__s", "__b", whole.alias("__whole"), F.greatest(F.lit(0), F.coalesce(quota, F.lit(0)) - whole * F.col("__in_block")).alias("__rest"))
+    held = held.join(sizes, held["__source"].eqNullSafe(sizes["__s"]) & (held["block"] == sizes["__b"]))
+    drawn = held.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole") - F.when(F.col("__rest") > 0, 0).otherwise(1))))
+    # a document longer than what is left for its block's last part can't be drawn there, and doesn't end it
+    drawn = drawn.where((F.col("epoch") >= 0) & ((F.col("epoch") < F.col("__whole")) | (F.col("n_tokens") <= F.col("__rest")))).withColumn("__key", permutation_key(F.col(ident), F.lit(seed), F.col("epoch")))
+    order = Window.partitionBy(*part, "epoch").orderBy("__key", ident)
+    drawn = drawn.withColumn("slot", F.row_number().over(order) - 1).withColumn("__sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = drawn.where((F.col("epoch") < F.col("__whole")) | ((F.col("__sum") <= F.col("__rest")) & (F.col("n_tokens") > 0)))
     return out.select(*documents.columns, "weight", "block", "epoch", F.col("slot").cast("int").alias("slot"))
 
 
 def mix_sources(documents: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget_share: float | None = None, block_tokens: int = 2_000_000) -> DataFrame:
     """documents (doc_id, text, source, ...) mixed; budget_share: tokens of the mix over those of the input."""
-    kept = [c for c in documents.columns if c not in ("n_tokens", "weight", "block", "epoch", "slot", "target", "blocks")]
+    kept = [c for c in documents.columns if c not in ("n_tokens", "weight", "block", "epoch", "slot")]
     counted = documents.select(*kept, token_count(F.col("text")).alias("n_tokens"))
     shares = materialize(source_tokens(counted), "shares")
     total = shares.agg(F.sum("tokens")).first()[0] or 0
@@ -162,7 +166,7 @@ z AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block) AS in_block FROM
 q AS (SELECT *, coalesce(CASE WHEN in_block > 0 THEN floor(target / tokens + 1e-9) ELSE greatest(1, floor(target / tokens + 1e-9)) END, 1)::BIGINT AS whole FROM z),
 r AS (SELECT *, greatest(0, coalesce(floor(target * (in_block / tokens)), 0) - whole * in_block) AS rest FROM q),
 e AS (SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM r),
-k AS (SELECT *, md5('11:' || epoch || ':' || doc_id) AS key FROM e),
+k AS (SELECT *, md5('11:' || epoch || ':' || doc_id) AS key FROM e WHERE epoch < whole OR n_tokens <= rest),
 f AS (SELECT *, row_number() OVER o - 1 AS slot, sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM k WINDOW o AS (PARTITION BY source, block, epoch ORDER BY key, doc_id))
 SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block, epoch, slot::INT AS slot FROM f WHERE epoch < whole OR (cum <= rest AND n_tokens > 0)
 """

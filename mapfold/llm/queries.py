@@ -2,7 +2,7 @@
 
 from .ann import op1_ann
 from .fingerprint import op10_fingerprints
-from .line_dedup import OP5_SQL, op5_line_dedup, op5_line_dedup_by_line
+from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op6_packing
 from .sharding import op7_sharding
@@ -22,6 +22,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filters": op9_url_filters,
     "op10_fingerprints": op10_fingerprints,
-    "op5_line_dedup_by_line": op5_line_dedup_by_line,
+    "op5_line_dedup_by_line": op5_line_dedup,  # its rule is the operator's own now
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_line_dedup_by_line": OP5_SQL, "op9_url_filters": OP9_SQL}

@@ -9,7 +9,8 @@ MOST_TRAINED labelled rows of at most LONGEST_TRAINED characters, those of small
 entry is the smoothed log-odds of the label in the sample. Scoring runs in tasks over all windows of whole texts.
 
 Nulls and empty texts have one window without words and get the score of the bias. Without labels of both kinds,
-every score is 0. Repeated rows get equal scores. Empty tables give empty results. Extra columns are kept.
+every score is 0. Repeated rows get equal scores. Empty tables give empty results. Extra columns are kept; a column
+score is replaced. Very long texts: every window is scored, a bounded number at a time.
 """
 
 from __future__ import annotations
