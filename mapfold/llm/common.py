@@ -41,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table of materialize() that nothing reads any more."""
+    """Deletes a table of materialize(), or one read from such a table alone, that nothing reads any more."""
     for path in df.inputFiles()[:1]:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,19 +6,26 @@ anchor over the words up to the anchor that completes every window which starts
 a 128-bit hash of those words. The steps, all keyed joins and sums over anchors, about one for each fourteen words:
 
 1. Nodes that occur once are dropped: no window around them repeats.
-2. Edges between the other nodes are counted. The windows along an edge that occurs twice are settled; consecutive
-   settled edges compact into one long span of the document.
-3. What is left are windows whose smallest k-mer is a repeated node but that lie on no repeated edge, at the ends of
-   passages and where paths branch. These are looked up by their own 128-bit hash, among themselves and among the windows of
-   one source, the representative, of each repeated edge. So every window is decided by its exact words, and the
-   shuffled windows grow with distinct repeated text, not with the number of its copies.
-4. The words that a repeated window covers go.
-
-Sources are (document key, position) pairs; a hot passage is one row per task after partial sums, and joins on it are
-split by Spark's adaptive skew handling. Lineage is cut by tables in the shared folder after each step.
+2. Edges between the other nodes are counted; those that occur twice make the graph. Which edge follows which is
+   counted too: where one edge alone leads on to one edge alone, the path doesn't branch. Such paths compact by
+   pointer doubling: joins of the edges with themselves, until each knows its path's first edge and its place on it.
+3. A document's edges that follow each other on a path, along one other document, its source, compact into a long
+   span. Of each span, the words at the source's coordinates are digested (SHA-256) and compared with the
+   document's own; only a span of the same words is removed.
+4. What is left are windows whose smallest k-mer is a repeated node but that lie on no repeated edge, at the ends of
+   passages and where paths branch. These are looked up one by one, among themselves and among the windows of
+   one source, the representative, of each repeated edge, by a hash of their words as written beside those of step 2.
+   So the shuffled windows grow with distinct repeated text, not with the number of its copies.
+5. The words that a repeated window covers go.
+
+Texts move twice: to those of their windows and spans that are looked up, and to what is found. A hot passage is one
+row per task after partial sums. Joins on hot keys have an exchange on either side, so that Spark's adaptive skew handling
+can split them. Spans are cut every CUT edges of a path, so the parts of a source that are asked for grow with its length only.
+Lineage is cut by tables in the shared folder; those that the result doesn't read are deleted.
 
 Nulls and empty texts have no words. Texts shorter than a window lose nothing. Repeated rows are copies of each
-other, and lose what they repeat. An empty table gives an empty result. Extra columns play no part.
+other, and lose what they repeat. Of equal smallest k-mers in a window all are anchors. A very long text is one row, of
+which a task holds its hashes too. An empty table gives an empty result. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ from .common import discard, materialize, table
 WINDOW, K = 35, 8
 #: Odd multipliers of the two word-sequence hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Edges after which a span is cut.
+CUT = 8
 #: Most words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -128,30 +137,45 @@ def _scan(window: int, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n_words, digests, lists = [], [], [[] for _ in range(5)]
+                n_words, digests, lists = [], [], [[] for _ in range(7)]
                 for text in part.column(3).to_pylist():
                     tokens = (text or "").encode().split()
                     n_words.append(len(tokens))
                     digests.append(hashlib.sha256(b" ".join(tokens)).hexdigest())
                     rows = graph_rows(tokens, hasher, window, k)
-                    for out, column in zip(lists, rows or [np.zeros(0, np.uint64)] * 5, strict=True):
+                    for out, column in zip(lists, rows or [np.zeros(0, np.uint64)] * 5, strict=False):
                         out.append(_signed(column))
+                    for c in (3, 4):  # of each edge the one that follows
+                        lists[c + 2].append(np.append(lists[c][-1][1:], 0)[: len(lists[c][-1])])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists[0]]))).astype(np.int32)
                 arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words, pa.int64()), pa.array(digests), *arrays], ["doc_id", "d", "t", "n_words", "digest", "pos", "until", "h", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words, pa.int64()), pa.array(digests), *arrays], ["doc_id", "d", "t", "n_words", "digest", "pos", "until", "h", "s1", "s2", "n1", "n2"])
 
     return run
 
 
+def digest_of(words: bytes) -> tuple[int, int]:
+    """128 bits of SHA-256, as two signed longs."""
+    found = np.frombuffer(hashlib.sha256(words).digest(), "<i8", 2)
+    return int(found[0]), int(found[1])
+
+
+LOOKED = ["w1", "w2", "w3", "d", "t", "start", "what"]
+ASK, SHOW, SLICE = 1, 0, 2
+
+
 def _windows(window: int, k: int):
-    """Windows to look up: of a document those undecided (ask), and those that others may ask for (wanted)."""
+    """What is looked up of a document: its undecided windows (what: ASK), those that others may ask for (SHOW), and the
+    digests of its slices that others' spans are compared with (SLICE; w3 is the number of window starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, names = Hasher(), ["w1", "w2", "d", "t", "start", "ask"]
+        hasher = Hasher()
         for batch in batches:
-            for d, t, text, marked, spans, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for d, t, text, marked, spans, wanted, slices in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 tokens = text.encode().split()
-                n = len(tokens)
+                n, joined = len(tokens), b" ".join(tokens)
+                ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+                starts = np.concatenate(([0], ends[:-1] + 1))
                 words = hasher.words(tokens)
                 one, two, at = hasher.sums(words, 0), hasher.sums(words, 1), np.arange(n - k + 1)
                 hashes = hasher.spans(one, at, at + k)
@@ -162,18 +186,24 @@ def _windows(window: int, k: int):
                 shown = np.zeros(n - window + 1, bool)
                 for s in wanted or []:
                     shown[s["a"] : s["b"]] = True
-                for pick, ask in ((asked, 1), (shown, 0)):
+                for pick, what in ((asked, ASK), (shown, SHOW)):
                     begin = np.flatnonzero(pick)
                     if m := len(begin):
                         keys = [_signed(hasher.spans(sums, begin, begin + window)) for sums in (one, two)]
-                        columns = [*keys, np.full(m, d), np.full(m, t), begin.astype(np.int32), np.full(m, ask, np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                        written = zip(starts[begin].tolist(), ends[begin + window - 1].tolist(), strict=True)
+                        keys.append(_signed(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in written), np.uint64, m)))
+                        columns = [*keys, np.full(m, d), np.full(m, t), begin.astype(np.int32), np.full(m, what, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LOOKED)
+                if slices:
+                    rows = [(*digest_of(joined[starts[s["a"]] : ends[s["a"] + s["n"] + window - 2]]), s["n"], d, t, s["a"], SLICE) for s in slices]
+                    types = [pa.int64()] * 5 + [pa.int32()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), types, strict=True)], LOOKED)
 
     return run
 
 
 def _strip(window: int, keep_text: bool):
-    """What is left of documents, by their repeated spans and single windows."""
+    """What is left of documents, by their spans of the source's words and their repeated single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +214,10 @@ def _strip(window: int, keep_text: bool):
                     tokens = text.encode().split()
                     gone = np.zeros(len(tokens) + 1, np.int64)
                     for s in spans or []:
-                        gone[s["a"]] += 1
-                        gone[s["b"] - 1 + window] -= 1
+                        end = s["b"] - 1 + window
+                        if digest_of(b" ".join(tokens[s["a"] : end])) == (s["w1"], s["w2"]):
+                            gone[s["a"]] += 1
+                            gone[end] -= 1
                     for s in starts or []:
                         gone[s] += 1
                         gone[s + window] -= 1
@@ -199,16 +231,20 @@ def _strip(window: int, keep_text: bool):
     return run
 
 
-SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+SPAN_FIELDS = [("a", pa.int32()), ("b", pa.int32()), ("sd", pa.int64()), ("st", pa.int64()), ("sa", pa.int32())]
+SPAN = pa.list_(pa.struct(SPAN_FIELDS))
 EDGE = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+SPAN_TYPE = "array<struct<a:int,b:int,sd:long,st:long,sa:int>>"
 
 
-def _compact(window: int, k: int):
-    """Of documents' repeated nodes (pos, until, state, h): what the lookup of single windows needs.
+def _spans(window: int, k: int):
+    """Of documents' repeated nodes: what the lookup of spans and single windows needs.
 
-    state: 0 the node's edge occurs once, 1 it repeats, 2 that and this is its representative.
-    nodes: positions. spans: window starts settled, consecutive edges as one. asked: nodes in windows still
-    undecided. shown: window starts along represented edges, by each node that such windows hold.
+    state: 0 the node's edge occurs once, 1 it repeats, 2 that and this is its representative. path, place: where on
+    the graph the edge lies; sd, st, sp: its source.
+    nodes: positions. spans: window starts on repeated edges, with the source's first; edges that follow each other on a path and
+    along the source as one. asked: nodes in windows still undecided. shown: window starts along represented
+    edges, by each node that such windows hold.
     """
     reach = window - k
 
@@ -216,28 +252,36 @@ def _compact(window: int, k: int):
         for batch in batches:
             nodes, spans, asked, shown = [], [], [], []
             for stop, rows in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                rows = sorted((r["pos"], r["until"], r["state"], r["h"]) for r in rows)
-                path, ask, show = [], set(), []
-                for i, (pos, until, state, _) in enumerate(rows):
-                    if not state or until <= pos:
+                rows.sort(key=lambda r: r["pos"])
+                own, cover, ask, show, last = [], [], set(), [], None
+                for i, r in enumerate(rows):
+                    pos, until = r["pos"], r["until"]
+                    if not r["state"] or until <= pos:
                         continue
-                    if path and path[-1]["b"] == pos:
-                        path[-1]["b"] = until
+                    here = (r["path"], r["place"], r["sd"], r["st"], r["sp"] - pos)
+                    if own and own[-1]["b"] == pos and r["place"] % CUT and last == (here[0], here[1] - 1, *here[2:]):
+                        own[-1]["b"] = until
                     else:
-                        path.append({"a": pos, "b": until})
-                    if state == 2:
-                        for at, *_, h in rows[i:]:
+                        own.append({"a": pos, "b": until, "sd": r["sd"], "st": r["st"], "sa": r["sp"]})
+                    last = here
+                    if cover and cover[-1][1] == pos:
+                        cover[-1][1] = until
+                    else:
+                        cover.append([pos, until])
+                    if r["state"] == 2:
+                        for x in rows[i:]:
+                            at = x["pos"]
                             if at > until - 1 + reach:
                                 break
-                            show.append({"h": h, "a": max(pos, at - reach), "b": min(until, at + 1)})
+                            show.append({"h": x["h"], "a": max(pos, at - reach), "b": min(until, at + 1)})
                 j = 0
-                for pos, *_, h in rows:
-                    low, high = max(0, pos - reach), min(pos + 1, stop)
-                    while j < len(path) and path[j]["b"] < high:
+                for r in rows:
+                    low, high = max(0, r["pos"] - reach), min(r["pos"] + 1, stop)
+                    while j < len(cover) and cover[j][1] < high:
                         j += 1
-                    if j == len(path) or path[j]["a"] > low:
-                        ask.add(h)
-                for out, x in ((nodes, [p for p, *_ in rows]), (spans, path), (asked, list(ask)), (shown, show)):
+                    if j == len(cover) or cover[j][0] > low:
+                        ask.add(r["h"])
+                for out, x in ((nodes, [r["pos"] for r in rows]), (spans, own), (asked, list(ask)), (shown, show)):
                     out.append(x)
             arrays = [pa.array(x, ty) for x, ty in ((nodes, pa.list_(pa.int32())), (spans, SPAN), (asked, pa.list_(pa.int64())), (shown, EDGE))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["d", "t", "nodes", "spans", "asked", "shown"])
@@ -245,44 +289,90 @@ def _compact(window: int, k: int):
     return run
 
 
+def compact_paths(links: DataFrame) -> DataFrame:
+    """(s1, s2, p1, p2, place) of the edges that lie behind another on a path that doesn't branch: the path's first edge, and the place behind it.
+
+    links: the distinct pairs (s1, s2, n1, n2) of an edge and one that follows it. Every round doubles how far an edge has
+    looked back, so the rounds grow with the logarithm of the longest path. Edges on a ring that nothing leads into find no
+    first edge, however far they look; they stay apart.
+    """
+    out = links.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("s1", "s2")
+    into = links.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("n1", "n2")
+    only = links.join(out, ["s1", "s2"], "left_semi").join(into, ["n1", "n2"], "left_semi").where("s1 <> n1 or s2 <> n2")
+    back = materialize(only.select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("moved")), "paths")
+    edges, reach = back.count(), 1
+    while True:
+        further = back.select(F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.col("place").alias("more"))
+        step = back.drop("moved").join(further, ["p1", "p2"], "left")
+        step = step.select("s1", "s2", F.coalesce("r1", "p1").alias("p1"), F.coalesce("r2", "p2").alias("p2"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("more").isNotNull().alias("moved"))
+        then = materialize(step, "paths")
+        discard(back)
+        back, reach = then, 2 * reach
+        if reach > edges or not back.where("moved").limit(1).count():
+            return back.where("not moved").drop("moved")
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: the words that are left, joined by a space."""
     docs = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    lists = ", ".join(f"{c} array<long>" for c in ("pos", "until", "h", "s1", "s2"))
+    names = ["pos", "until", "h", "s1", "s2", "n1", "n2"]
+    lists = ", ".join(f"{c} array<long>" for c in names)
     scanned = materialize(docs.mapInArrow(_scan(window, k), f"doc_id long, d long, t long, n_words long, digest string, {lists}"), "anchors")
 
     # 1. nodes that occur more than once
-    each = scanned.select("d", "t", (F.col("n_words") - window + 1).cast("int").alias("stop"), F.explode(F.arrays_zip("pos", "until", "h", "s1", "s2")).alias("x"))
-    each = each.select("d", "t", "stop", F.col("x.pos").cast("int").alias("pos"), F.col("x.until").cast("int").alias("until"), "x.h", "x.s1", "x.s2")
+    each = scanned.select("d", "t", (F.col("n_words") - window + 1).cast("int").alias("stop"), F.explode(F.arrays_zip(*names)).alias("x"))
+    each = each.select("d", "t", "stop", F.col("x.pos").cast("int").alias("pos"), F.col("x.until").cast("int").alias("until"), *[F.col(f"x.{c}") for c in names[2:]])
     # the sums are tables of their own, so that joins on a hot key have an exchange on either side and Spark can split it
     twice = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     nodes = materialize(each.join(twice, "h", "left_semi"), "nodes")
+    discard(twice)
 
-    # 2. edges that do, each with a representative source
-    ticket = F.xxhash64("d", "t", "pos")
-    edges = nodes.where("until > pos").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(ticket).alias("ticket")).where("n > 1").drop("n")
+    # 2. edges that do, each with its first and last place, and the paths they lie on
+    spot = F.struct("d", "t", "pos")
+    edges = nodes.where("until > pos").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first"), F.max(spot).alias("last")).where("n > 1").drop("n")
     edges = materialize(edges, "edges")
-    state = F.when(F.col("ticket").isNull(), 0).when(F.col("ticket") == ticket, 2).otherwise(1)
-    marked = nodes.join(edges, ["s1", "s2"], "left").select("d", "t", "stop", F.struct("pos", "until", state.alias("state"), "h").alias("mark"))
+    ends = edges.select("s1", "s2")
+    links = nodes.where("until > pos").select("s1", "s2", "n1", "n2").distinct().join(ends, ["s1", "s2"], "left_semi")
+    links = materialize(links.join(ends.toDF("n1", "n2"), ["n1", "n2"], "left_semi"), "follow")
+    paths = compact_paths(links)
+    placed = edges.join(paths, ["s1", "s2"], "left").select("s1", "s2", "first", "last", F.xxhash64(F.coalesce("p1", "s1"), F.coalesce("p2", "s2")).alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
+    placed = materialize(placed, "placed")
+    for done in (links, paths, edges):
+        discard(done)
+
+    # 3. each document's spans, with a source: the first place, of the first itself the last
+    state = F.when(F.col("first").isNull(), 0).when(F.col("first") == spot, 2).otherwise(1)
+    source = F.when(F.col("first") == spot, F.col("last")).otherwise(F.col("first"))
+    mark = F.struct("pos", "until", "h", state.alias("state"), "path", "place", source["d"].alias("sd"), source["t"].alias("st"), source["pos"].alias("sp"))
+    marked = nodes.join(placed, ["s1", "s2"], "left").select("d", "t", "stop", mark.alias("mark"))
     marked = marked.groupBy("d", "t", "stop").agg(F.collect_set("mark").alias("marks"))
-    spans = "array<struct<a:int,b:int>>"
-    marks = marked.mapInArrow(_compact(window, k), f"d long, t long, nodes array<int>, spans {spans}, asked array<long>, shown array<struct<h:long,a:int,b:int>>")
+    marks = marked.mapInArrow(_spans(window, k), f"d long, t long, nodes array<int>, spans {SPAN_TYPE}, asked array<long>, shown array<struct<h:long,a:int,b:int>>")
     marks = materialize(marks, "marks")
-    discard(nodes)
+    for done in (nodes, placed):
+        discard(done)
+    claims = marks.select("d", "t", F.explode("spans").alias("x")).select("d", "t", "x.*").withColumn("n", F.col("b") - F.col("a"))
 
-    # 3. single windows at the ends of passages and at branches
-    asked = marks.select(F.explode("asked").alias("h")).distinct()
+    # 4. digests of the sources' words, and single windows at the ends of passages and at branches
+    slices = claims.select(F.col("sd").alias("d"), F.col("st").alias("t"), F.struct(F.col("sa").alias("a"), "n").alias("s")).distinct().groupBy("d", "t").agg(F.collect_list("s").alias("slices"))
+    asked = materialize(marks.select(F.explode("asked").alias("h")).distinct(), "asked")
     shown = marks.select("d", "t", F.explode("shown").alias("x")).select("d", "t", F.col("x.h").alias("h"), F.struct("x.a", "x.b").alias("s"))
     wanted = shown.join(asked, "h", "left_semi").groupBy("d", "t").agg(F.collect_list("s").alias("wanted"))
-    lookup = marks.select("d", "t", "nodes", "spans").join(wanted, ["d", "t"], "left")
-    texts = docs.select("d", "t", "text").join(lookup, ["d", "t"]).select("d", "t", "text", "nodes", "spans", "wanted")
-    looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, d long, t long, start int, ask int"), "windows")
-    found = looked.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 and asked = 1").select("w1", "w2")
+    lookup = marks.select("d", "t", "nodes", "spans").join(wanted, ["d", "t"], "left").join(slices, ["d", "t"], "left")
+    texts = docs.select("d", "t", "text").join(lookup, ["d", "t"]).select("d", "t", "text", "nodes", "spans", "wanted", "slices")
+    looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, w3 long, d long, t long, start int, what int"), "windows")
+    discard(asked)
+    window_key = ["w1", "w2", "w3"]
+    found = looked.where(F.col("what") != SLICE).groupBy(*window_key).agg(F.count(F.lit(1)).alias("n"), F.max("what").alias("asked")).where(f"n > 1 and asked = {ASK}").select(*window_key)
     found = materialize(found, "found")
-    starts = looked.where("ask = 1").join(found, ["w1", "w2"], "left_semi").groupBy("d", "t").agg(F.collect_set("start").alias("starts"))
-
-    # 4. the words left
-    decided = marks.select("d", "t", "spans").join(starts, ["d", "t"], "left").where(F.size("spans") + F.coalesce(F.size("starts"), F.lit(0)) > 0)
+    starts = looked.where(F.col("what") == ASK).join(found, window_key, "left_semi").groupBy("d", "t").agg(F.collect_set("start").alias("starts"))
+    words = looked.where(F.col("what") == SLICE).select(F.col("d").alias("sd"), F.col("t").alias("st"), F.col("start").alias("sa"), F.col("w3").cast("int").alias("n"), "w1", "w2").distinct()
+    words = materialize(words, "words")
+    spans = claims.join(words, ["sd", "st", "sa", "n"]).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b", "w1", "w2")).alias("spans"))
+
+    # 5. the words left
+    decided = materialize(spans.join(starts, ["d", "t"], "full"), "decided")
+    for done in (marks, looked, found, words):
+        discard(done)
     left = docs.select("d", "t", "text").join(decided, ["d", "t"]).select("d", "t", "text", "spans", "starts")
     left = left.mapInArrow(_strip(window, keep_text), "d long, t long, n_removed long, digest string, kept string")
     left = left.groupBy("d", "t").agg(F.max("n_removed").alias("n_removed"), F.max("digest").alias("left_digest"), F.max("kept").alias("kept"))
