@@ -5,8 +5,10 @@ by hash, plus the mean of the vectors of its character n-grams and the greatest
 get a vector from their spelling. The network reads overlapping windows of `SPAN` words, every `STEP` words, in both directions; attention
 over the states pools a window into one logit. A document's score is that of its most toxic window. Training is
 numpy, by backpropagation through time and Adam, on a bounded sample of labelled documents on the driver: at most
-MOST_TRAINED labelled rows of at most LONGEST_TRAINED characters, those of smallest hash of doc_id. It starts from word and n-gram vectors whose first
-entry is the smoothed log-odds of the label in the sample. Scoring runs in tasks over all windows of whole texts.
+MOST_TRAINED labelled rows of at most LONGEST_TRAINED characters, those of smallest hash of doc_id. The first entry of
+a word's or n-gram's vector is counted, not trained: the smoothed log-odds of the label in the sample. The other entries start
+at random and are trained with the network, by Adagrad on the rows a batch holds; vectors of words and n-grams that the
+sample doesn't hold stay random. Scoring runs in tasks over all windows of whole texts.
 
 Nulls and empty texts have one window without words and get the score of the bias. Without labels of both kinds,
 every score is 0. Repeated rows get equal scores. Empty tables give empty results. Extra columns are kept; a column
@@ -33,6 +35,8 @@ WORDS, GRAMS, GRAM_LENGTHS, DIM, STATES = 1 << 16, 1 << 16, (3, 4, 5, 6), 6, 8
 MOST_TRAINED, LONGEST_TRAINED, EPOCHS, BATCH, RATE = 4000, 100_000, 5, 48, 0.02
 #: A small sample is gone through more often, for so many steps at least.
 LEAST_STEPS, MOST_EPOCHS = 400, 40
+#: Step of the trained entries of word and n-gram vectors.
+VECTOR_RATE = 0.02
 #: Most words whose inputs a task remembers.
 REMEMBERED = 200_000
 #: Punctuation counts as space.
@@ -205,6 +209,56 @@ class Scorer:
         return out
 
 
+class Vectors:
+    """Training of the word and n-gram vectors behind the inputs of known words."""
+
+    def __init__(self, model: Model, words: list[bytes]):
+        self.model, self.word = model, np.fromiter(map(word_bucket, words), np.int64, len(words))
+        parts = [grams_of(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+        bucket = np.concatenate([b for b, _ in parts] or [np.zeros(0, np.int64)])
+        owner = np.concatenate([o + 20_000 * i for i, (_, o) in enumerate(parts)] or [np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        self.gram, self.start = bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+        self.seen = {k: np.zeros((len(model.w[k]), DIM - 1), np.float32) for k in ("word", "gram")}
+
+    def grams(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n-gram buckets of the picked words, the place in picked each is of, and 1 over their number by word."""
+        many = self.start[picked + 1] - self.start[picked]
+        owner = np.repeat(np.arange(len(picked)), many)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        return self.gram[self.start[picked][owner] + within], owner, (1 / np.maximum(many, 1)).astype(np.float32)
+
+    def refresh(self, x: np.ndarray, picked: np.ndarray) -> None:
+        """Puts the trained entries of the picked words into x (fold, word, entry)."""
+        x[:, picked, 1:DIM] = self.model.w["word"][self.word[picked], 1:]
+        bucket, owner, share = self.grams(picked)
+        vectors = self.model.w["gram"][bucket, 1:]
+        for k in range(DIM - 1):
+            x[:, picked, DIM + 1 + k] = np.bincount(owner, vectors[:, k], len(picked)) * share
+
+    def gradients(self, picked: np.ndarray, d: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Rows of the tables and the gradients of their trained entries, from those of the picked words' inputs."""
+        bucket, owner, share = self.grams(picked)
+        out = {}
+        for name, at, g in (("word", self.word[picked], d[:, 1:DIM]), ("gram", bucket, (d[:, DIM + 1 : 2 * DIM] * share[:, None])[owner])):
+            rows, to = np.unique(at, return_inverse=True)
+            out[name] = rows, np.stack([np.bincount(to, g[:, k], len(rows)) for k in range(DIM - 1)], axis=1)
+        return out
+
+    def step(self, picked: np.ndarray, d: np.ndarray, rate: float) -> None:
+        for name, (rows, g) in self.gradients(picked, d).items():
+            self.seen[name][rows] += g * g
+            self.model.w[name][rows, 1:] -= rate * g / (np.sqrt(self.seen[name][rows]) + 1e-6)
+
+
+def input_gradients(model: Model, rows: np.ndarray, d_x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of rows (time, window) and the gradients of their inputs."""
+    d_v = sum(d_x[i] @ model.w[f"x{side}"].T for i, side in enumerate("fb"))
+    picked, to = np.unique(rows, return_inverse=True)
+    d_v, to = d_v.reshape(-1, d_v.shape[-1]), to.reshape(-1)
+    return picked, np.stack([np.bincount(to, c, len(picked)) for c in d_v.T], axis=1)
+
+
 def _odds(pos: np.ndarray, neg: np.ndarray, p: int, q: int) -> np.ndarray:
     """Smoothed log-odds of the label by bucket, from the numbers of texts (p labelled 1, q labelled 0) that hold it; 0 for buckets of fewer than two texts."""
     prior, p, q = 2.0, max(1, p), max(1, q)
@@ -245,6 +299,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
 
     x = np.stack([inputs_without(f) for f in range(4)])
     inputs_without(None)
+    table = Vectors(model, words)
     flat, first, length, owner = _layout(ids)
     fold = folds[owner]
     vectors = lambda rows, pick: x[fold[pick][None, :], rows]
@@ -256,6 +311,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
 
     epochs = min(MOST_EPOCHS, max(EPOCHS, math.ceil(LEAST_STEPS * BATCH / (2 * len(y)))))
     for epoch in range(epochs):
+        if epoch:
+            for at in range(0, len(words), 20_000):
+                table.refresh(x, np.arange(at, min(at + 20_000, len(words))))
         worth = np.zeros(len(first))
         for at in range(0, len(first), 1000):
             pick = np.arange(at, min(at + 1000, len(first)))
@@ -270,17 +328,20 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
         for at in range(0, len(chosen), BATCH):
             pick = chosen[at : at + BATCH]
             rows, mask = _steps(flat, first[pick], length[pick])
+            table.refresh(x, np.unique(rows))
             v = vectors(rows, pick)
             g, d_x, _ = model.gradients(project(v), mask, y[owner[pick]])
             for i, side in enumerate("fb"):
                 g[f"x{side}"] = np.einsum("tnd,tnk->dk", v, d_x[i])
                 g[f"c{side}"] = d_x[i].sum(axis=(0, 1))
             step += 1
+            slower = 1 if 2 * epoch < epochs else 0.5 if 4 * epoch < 3 * epochs else 0.2
+            table.step(*input_gradients(model, rows, d_x), VECTOR_RATE * slower)
             for k in small:
                 mean[k] = 0.9 * mean[k] + 0.1 * g[k]
                 square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
                 change = (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-                model.w[k] = (model.w[k] - RATE * (1 if 2 * epoch < epochs else 0.5 if 4 * epoch < 3 * epochs else 0.2) * change).astype(np.float32)
+                model.w[k] = (model.w[k] - RATE * slower * change).astype(np.float32)
     return model
 
 

@@ -78,6 +78,26 @@ def test_repeated_passages_text(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_branching_passages(spark):
+    """Passages that part and meet again, a ring of words, a passage inside another, and one that repeats in one text."""
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c, ring = words(90), words(120), words(70), words(9)
+    texts = [a + words(5) + b, a + words(5) + b, a + words(8) + c + b[:60], a[20:80] + c, words(40) + b[30:100] + a[:50], ring * 12, ring * 9, words(60), c + words(3) + c + a, a[:44] + b[44:] + c[:40]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 35, 8).collect()
+    assert sorted(map(tuple, found), key=str) == stripped(rows, 35)
+
+
+def test_paths_compact(spark):
+    """A chain of 40 that another leaves at 20 and one enters at 30, a ring, and an edge that follows itself."""
+    links = [(i, i + 1) for i in range(40)] + [(20, 100), (100, 101), (200, 30)] + [(300 + i, 300 + (i + 1) % 5) for i in range(5)] + [(400, 400)]
+    df = spark.createDataFrame([(a, -a, b, -b) for a, b in links], "s1 long, s2 long, n1 long, n2 long")
+    got = {x["s1"]: (x["p1"], x["place"]) for x in substring_dedup.compact_paths(df).collect()}
+    want = {i: (0, i) for i in range(1, 21)} | {i: (21, i - 21) for i in range(22, 30)} | {i: (30, i - 30) for i in range(31, 41)} | {101: (100, 1)}
+    assert got == want
+
+
 def test_word_sequence_hashes_depend_on_content_only():
     h = substring_dedup.Hasher()
     t = [b"a", b"b", b"c", b"a", b"b", b"c", b"d"]
@@ -252,7 +272,7 @@ def test_fingerprints(docs, none):
         c = len(t) // 4
         assert out[d]["edited"] == t[: len(t) - c] + n[:c]
         words = tokens(t)
-        assert (len(out[d]["sketch"]) > 0) == (len(words) > 0)
+        assert words or not out[d]["sketch"]
         assert len(out[d]["sketch"]) <= max(1, len(words))
     assert out[3]["sketch"] == out[40]["sketch"] == out[41]["sketch"]
     assert fingerprint.fingerprint_edits(none).count() == 0
@@ -278,17 +298,23 @@ def test_lines_of_many_sites_go(docs, none):
                 site[line.strip(" \t\n\r\v\f")].add(s)
     bad = {x for x, s in site.items() if len(s) >= 4}
     assert "shared line of the sites" in bad
+    clean = lambda x: x.strip(" \t\n\r\v\f")
+    around, proven = {}, collections.defaultdict(set)
+    for _, t, _, s, *_ in ROWS:
+        lines = (t or "").split("\n")
+        around[t] = 2 * sum(len(x) for x in lines if clean(x) in bad) <= sum(map(len, lines))
+        for x in lines:
+            if clean(x) in bad and around[t]:
+                proven[clean(x)].add(s)
+    proven = {x for x, s in proven.items() if len(s) >= 4}
     text = {(d, t): t for d, t, *_ in ROWS}
     for d, t in text:
         row = next(r for r in out if r["doc_id"] == d and r["n_lines"] == (0 if t is None else t.count("\n") + 1))
         if t is None:
             assert row["text"] is None
             continue
-        lines = t.split("\n")
-        cut = [x for x in lines if x.strip(" \t\n\r\v\f") in bad]
-        kept = [x for x in lines if x.strip(" \t\n\r\v\f") not in bad]
-        goes = cut and 2 * sum(map(len, cut)) <= sum(map(len, lines))
-        assert row["text"] == ("\n".join(kept) if goes else t)
+        kept = [x for x in t.split("\n") if clean(x) not in (bad if around[t] else proven)]
+        assert row["text"] == ("\n".join(kept) if around[t] or any(map(clean, kept)) else t)
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -302,10 +328,10 @@ def test_short_pages_lose_boilerplate_and_copies_stay(spark):
     rows += [("shared header line\nshared last line", "s2"), (None, "s3"), ("", None), ("shared header line\nhi 0\nshared last line", None)]
     want = [own(i) for i in range(6)] + [f"hi {i}" for i in range(3)] + [f"{copy}\nedit {i}" for i in range(7)] + [f"{copy}\nedit", rows[17][0], None, "", "hi 0"]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, by_line=True).collect()}
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
     assert [out[i]["text"] for i in range(len(rows))] == want
     assert [out[i]["n_removed"] for i in range(len(rows))] == [2] * 9 + [0] * 7 + [1, 0, 0, 0, 2]
-    assert line_dedup.dedup_lines(df.where("false"), by_line=True).count() == 0
+    assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
 def test_mixing_repeats(docs, none):
@@ -356,6 +382,74 @@ def test_toxicity_learns_words_and_spelling(spark):
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_gradients():
+    """The network's and the vectors' gradients against finite differences."""
+    model, r = toxicity.Model(3), np.random.default_rng(4)
+    model.w = {k: w.astype(np.float64) for k, w in model.w.items()}
+    words = [b"abcd", b"bcde", b"zzz", b"q"]
+    table, rows = toxicity.Vectors(model, words), r.integers(0, 4, (7, 5))
+    mask, y = (np.arange(7)[:, None] < np.array([7, 5, 3, 1, 6])).astype(float), np.array([0, 1, 0, 1, 1])
+    x = np.zeros((1, 4, 2 * toxicity.DIM + 1))
+    x[0] = model.inputs(words)
+
+    def loss():
+        table.refresh(x, np.arange(4))
+        v = x[0][rows]
+        out = model.gradients(np.stack([v @ model.w[f"x{s}"] + model.w[f"c{s}"] for s in "fb"]), mask, y)
+        return out
+
+    g, d_x, _ = loss()
+    picked, d = toxicity.input_gradients(model, rows, d_x)
+    checks = [(model.w[k], i, g[k][i]) for k in ("uf", "ub") for i in [(0, 1), (3, 20), (7, 12)]] + [(model.w[k], i, g[k][i]) for k in ("a", "v") for i in [(2,), (11,)]]
+    for name, (at, grad) in table.gradients(picked, d).items():
+        checks += [(model.w[name], (at[i], k + 1), grad[i, k]) for i in (0, len(at) - 1) for k in (0, toxicity.DIM - 2)]
+    for w, i, want in checks:
+        own, ends = w[i], []
+        for step in (1e-4, -1e-4):
+            w[i] = own + step
+            ends.append(loss()[2])
+        w[i] = own
+        assert abs((ends[0] - ends[1]) / 2e-4 - want) < 1e-4 + 1e-2 * abs(want)
+
+
+CLASHING = ["n_full", "h1", "h2", "pos", "line", "u1", "bad", "at", "_d", "_t", "d", "t", "low_d", "node", "_source", "_tokens", "_s", "_b", "_whole", "_rest", "_key", "_sum", "target", "blocks", "stop", "host2"]
+
+
+def test_columns_of_clashing_names_are_kept(spark):
+    rows = [(i, f"own text {i} of some words\nshared line", f"s{i % 6}", *[f"{c}{i}" for c in CLASHING]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    kept = {"lines": line_dedup.dedup_lines(df), "near": near_copies.drop_near_copies(df, similarity=0.8), "wide": near_copies.drop_near_copies(df), "mix": mixing.mix_sources(df, max_repeats=2.0), "toxic": toxicity.toxicity(df, labels)}
+    for name, out in kept.items():
+        out = out.collect()
+        assert len({r["doc_id"] for r in out}) == 12 and all(r[c] == f"{c}{r['doc_id']}" for r in out for c in CLASHING), name
+    assert all(r["n_removed"] == 1 for r in kept["lines"].collect())
+    # of a row that is repeated with other columns, one stays, always the same
+    twice = df.unionByName(df.withColumn("pos", F.lit("other")))
+    found = [sorted((r["doc_id"], r["pos"]) for r in near_copies.drop_near_copies(twice.repartition(n), similarity=0.8).collect()) for n in (1, 5)]
+    assert len(found[0]) == 12 and found[0] == found[1]
+
+
+def test_texts_of_megabytes(spark):
+    r = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    long = " ".join(r.choice(vocabulary) + ("\n" if i % 15 == 0 else "") for i in range(250_000))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (3, "short", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df).select("doc_id", "n_removed").collect())) == [(1, 250_000), (2, 250_000), (3, 0)]
+    assert {x["doc_id"]: x["component_id"] for x in simhash.simhash_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(x["doc_id"] for x in near_copies.drop_near_copies(df, similarity=0.8).collect()) == [1, 3]
+    assert line_dedup.dedup_lines(df, sites=2).where("doc_id < 3 and n_lines > 16000 and n_removed = 0").count() == 2  # lines that only copies share
+    paged = df.unionByName(df.selectExpr("doc_id + 10", "concat(text, '\\nhead')", "source"))
+    assert line_dedup.dedup_lines(paged, sites=3).where("n_lines > 16000 and n_removed = 1 and doc_id > 10").count() == 2
+    assert mixing.mix_sources(df, max_repeats=2.0).where("n_tokens >= 250000").count() >= 2
+    packed = {x["doc_id"]: (x["n"], x["m"]) for x in packing.pack_documents(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("m")).collect()}
+    assert packed[1][0] > 250_000 and packed[1][1] == 2048
+    assert sharding.shard_documents(df, [1.0] * 3).where(F.col("size") > 1_500_000).count() == 2
+    near = fingerprint.fingerprint_edits(df).select("doc_id", fingerprint.jaccard(F.col("sketch"), F.col("next_sketch")).alias("j")).collect()
+    assert {x["doc_id"]: x["j"] > 0.99 for x in near} == {1: True, 2: False, 3: False}
+
+
 def test_windows_cover_all():
     for n in (0, 1, 63, 64, 65, 96, 97, 1000):
         w = toxicity.windows_of(n)
