@@ -294,22 +294,23 @@ def compact_paths(links: DataFrame) -> DataFrame:
 
     links: the distinct pairs (s1, s2, n1, n2) of an edge and one that follows it. Every round doubles how far an edge has
     looked back, so the rounds grow with the logarithm of the longest path. Edges on a ring that nothing leads into find no
-    first edge, however far they look; they stay apart.
+    first edge, however far they look: once only such edges move on, they stay apart.
     """
     out = links.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("s1", "s2")
     into = links.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("n1", "n2")
     only = links.join(out, ["s1", "s2"], "left_semi").join(into, ["n1", "n2"], "left_semi").where("s1 <> n1 or s2 <> n2")
     back = materialize(only.select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("moved")), "paths")
-    edges, reach = back.count(), 1
+    before = back.count()
     while True:
         further = back.select(F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.col("p1").alias("r1"), F.col("p2").alias("r2"), F.col("place").alias("more"))
         step = back.drop("moved").join(further, ["p1", "p2"], "left")
         step = step.select("s1", "s2", F.coalesce("r1", "p1").alias("p1"), F.coalesce("r2", "p2").alias("p2"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("more").isNotNull().alias("moved"))
         then = materialize(step, "paths")
         discard(back)
-        back, reach = then, 2 * reach
-        if reach > edges or not back.where("moved").limit(1).count():
+        back, moved = then, then.where("moved").count()
+        if moved == before or not moved:  # each round settles some edges of every path, and none of a ring
             return back.where("not moved").drop("moved")
+        before = moved
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_text: bool = False) -> DataFrame:
