@@ -58,8 +58,13 @@ def visible_points(displaced: DataFrame, view: Viewport) -> DataFrame:
 
 def geometry_of(objects: DataFrame, row_id: int, rad: float) -> DataFrame:
     """(part_idx, kind, hole, coords) of one row, lines and rings simplified by a tenth of rad."""
-    parts = objects.where((F.col("row_id") == row_id) & (F.col("kind") != "NONE"))
-    return parts.select("part_idx", "kind", "hole", F.when(F.col("kind") == "POINT", F.col("coords")).otherwise(geometry.simplify(F.col("coords"), rad / 10)).alias("coords"))
+    return geometries_of(objects.where(F.col("row_id") == row_id), rad).drop("row_id")
+
+
+def geometries_of(objects: DataFrame, rad: float) -> DataFrame:
+    """(row_id, part_idx, kind, hole, coords) of all objects, lines and rings simplified by a tenth of rad."""
+    parts = objects.where(F.col("kind") != "NONE")
+    return parts.select("row_id", "part_idx", "kind", "hole", F.when(F.col("kind") == "POINT", F.col("coords")).otherwise(geometry.simplify(F.col("coords"), rad / 10)).alias("coords"))
 
 
 def argmin(df: DataFrame, by: Column, ident: str) -> DataFrame:

@@ -55,6 +55,11 @@ def with_rows(hits: DataFrame, result: DataFrame) -> DataFrame:
     return hits.join(result, "row_id")
 
 
+def row_of(result: DataFrame, row_id: int) -> DataFrame:
+    """The row of that id, with its attributes."""
+    return result.where(F.col("row_id") == row_id)
+
+
 def reassemble(objects: DataFrame) -> DataFrame:
     """(row_id, n_parts, parts): the components of each row, in order."""
     part = F.struct("part_idx", "kind", "hole", "coords")

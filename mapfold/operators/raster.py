@@ -94,7 +94,11 @@ def points_by_grid(points: DataFrame, view: Viewport, ox: float, oy: float) -> D
 
 def points_by_cell(points: DataFrame, view: Viewport, ox: float, oy: float) -> DataFrame:
     """Cells in view, each at its lower left corner with its number of points."""
-    cells = cells_in_view(grid.count_cells(points, ox, oy), view, ox, oy)
+    return cells_at_corners(grid.count_cells(points, ox, oy), view, ox, oy)
+
+
+def cells_at_corners(counted: DataFrame, view: Viewport, ox: float, oy: float) -> DataFrame:
+    cells = cells_in_view(counted, view, ox, oy)
     corners = cells.withColumns({"x": grid.cell_start(F.col("cell_x"), ox), "y": grid.cell_start(F.col("cell_y"), oy)})
     return weigh(view.pixels(corners), F.col("n"))
 
@@ -182,13 +186,18 @@ def colour_objects(raster: DataFrame) -> DataFrame:
     return raster.where("weight > 0").select("px", "py", *[F.lit(v).alias(c) for c, v in zip("rgb", OBJECT_RGB, strict=True)], alpha.alias("a"))
 
 
-def heatmap(objects: DataFrame, view: Viewport, ox: float, oy: float) -> DataFrame:
-    """The weights of all objects in view, at the view's level of detail."""
+def coarse_counts(objects: DataFrame, ox: float, oy: float) -> dict[str, DataFrame]:
+    """What coarse maps draw, whatever the view: cells (points by cell) and subs (vertices of lines by sub-cell)."""
+    lines = objects.where("kind in ('LINE', 'AREA')").select(F.col("row_id").alias("obj"), "coords")
+    return {"cells": grid.count_cells(objects.where("kind = 'POINT'").select("x", "y"), ox, oy), "subs": grid.vertex_histogram(grid.line_sub_cells_of(lines, ox, oy))}
+
+
+def heatmap(objects: DataFrame, view: Viewport, ox: float, oy: float, counts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The weights of all objects in view, at the view's level of detail; counts: coarse_counts(), where they are kept."""
     points = objects.where("kind = 'POINT'")
-    lines = objects.where("kind in ('LINE', 'AREA')")
     if view.level == "exact":
-        return merge(points_exact(points, view), lines_exact(lines, view))
-    subs = grid.vertex_histogram(grid.line_sub_cells_of(lines.select(F.col("row_id").alias("obj"), "coords"), ox, oy))
+        return merge(points_exact(points, view), lines_exact(objects.where("kind in ('LINE', 'AREA')"), view))
+    counts = counts or coarse_counts(objects, ox, oy)
     if view.level == "grid":
-        return merge(points_by_grid(points, view, ox, oy), lines_by_sub_cell(subs, view, ox, oy))
-    return merge(points_by_cell(points, view, ox, oy), lines_by_cell(subs, view, ox, oy))
+        return merge(points_by_grid(points, view, ox, oy), lines_by_sub_cell(counts["subs"], view, ox, oy))
+    return merge(cells_at_corners(counts["cells"], view, ox, oy), lines_by_cell(counts["subs"], view, ox, oy))

@@ -116,7 +116,7 @@ def last_column(spark, sf):
 
 @query(f"SELECT * FROM ({fx.SQL['result']}) WHERE row_id = 777")
 def row_lookup(spark, sf):
-    return fx.result(spark, sf).where("row_id = 777")
+    return match.row_of(fx.result(spark, sf), 777)
 
 
 @query(f"SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '---' ELSE o_orderpriority END AS shown, upper(left(wkt, 3)) AS tag, CASE WHEN row_id % 3 = 0 THEN NULL ELSE concat('\"', o_orderpriority, '\\n\"') END AS js FROM ({fx.SQL['result']})")
@@ -149,6 +149,31 @@ def explode_multi(spark, sf):
     return ingest.decode(rows).select("qid", "kind", "ring", F.size("coords").alias("n"), F.get("coords", 0)["x"].alias("x"))
 
 
+_LONG = "concat({open}, array_join(transform(sequence(0, {n}), i -> concat({item})), ','), {close})"
+_STEP = "CAST((qid + i) % 170 AS STRING), ' ', CAST(i % 80 AS STRING)"
+
+
+@query("SELECT o_orderkey AS qid, kind, n, CAST((o_orderkey + k) % 170 AS DOUBLE) AS x FROM orders JOIN (VALUES ('POINT', 1, 5), ('LINE', 601, 0), ('AREA', 4, 0), ('POINT', 1, 9)) t(kind, n, k) ON true WHERE o_orderkey % 50 = 0")
+def decode_collections(spark, sf):
+    """Collections of a line of 601 vertices, areas and points with further coordinates; a collection inside is skipped."""
+    rows = fx.points(spark, sf).where("qid % 50 = 0").select("qid")
+    line = _LONG.format(open="'GEOMETRYCOLLECTION Z (POINT Z (', CAST((qid + 5) % 170 AS STRING), ' 1 9), LINESTRING('", n=600, item=_STEP, close="'), GEOMETRYCOLLECTION(MULTIPOLYGON(((9 9, 8 8, 9 8))))'")
+    rest = "concat(', POLYGON((', CAST(qid % 170 AS STRING), ' 1, 5 5, 6 6)), multipoint m ((', CAST((qid + 9) % 170 AS STRING), ' 3 4)))')"
+    parts = ingest.decode(rows.withColumn("wkt", F.expr(f"concat({line}, {rest})")))
+    return parts.select("qid", "kind", F.size("coords").alias("n"), F.get("coords", 0)["x"].alias("x"))
+
+
+@query("SELECT o_orderkey AS qid, CAST(3001 AS BIGINT) AS n_rings, CAST(1000 AS BIGINT) AS n_holes, CAST(12004 AS BIGINT) AS n_vertices FROM orders WHERE o_orderkey % 500 = 0")
+def decode_large_multipolygons(spark, sf):
+    """Multipolygons of 2,001 members, the first with 1,000 holes, none of them closed."""
+    rows = fx.points(spark, sf).where("qid % 500 = 0").select("qid")
+    ring = "'(', " + _STEP + ", ',1 1, 171 2)'"
+    first = _LONG.format(open="'('", n=1000, item=ring, close="')'")
+    others = _LONG.format(open="','", n=1999, item=f"'(', {ring}, ')'", close="''")
+    parts = ingest.decode(rows.withColumn("wkt", F.expr(f"concat('MULTIPOLYGON(', {first}, {others}, ')')")))
+    return parts.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rings"), F.count_if("hole").alias("n_holes"), F.sum(F.size("coords")).alias("n_vertices"))
+
+
 @query(f"SELECT row_id, round(x, 3) AS x, round(y, 3) AS y, round(lng, 6) AS back_lng, round(lat, 6) AS back_lat FROM (SELECT *, {X_SQL} AS x, {Y_SQL} AS y FROM ({fx.SQL['points']}))")
 def project_both_ways(spark, sf):
     p = projected(fx.points(spark, sf))
@@ -328,7 +353,7 @@ def duplicate_counts(spark, sf):
 @query(f"SELECT qid, min(wkt) AS wkt FROM (SELECT row_id % 1000 AS qid, wkt FROM ({fx.SQL['result']})) GROUP BY qid")
 def distinct_ids(spark, sf):
     rows = fx.result(spark, sf).withColumn("qid", F.col("row_id") % 1000)
-    return rows.groupBy("qid").agg(F.min("wkt").alias("wkt"))
+    return ingest.first_texts(rows)
 
 
 @query(f"SELECT count(*) AS n_rows, count(DISTINCT wkt) AS n_geoms, CAST(0 AS BIGINT) AS low, count(DISTINCT wkt) - 1 AS high FROM ({fx.SQL['result']})")
@@ -462,7 +487,11 @@ def object_spirals(spark, sf):
     return raster.clusters_as_objects(cluster.displaced(cluster.cluster(dup_points(spark, sf), ("qid",)), 10000.0), PART)
 
 
-@query()
+_UX, _UY = f"{PART.width} / ({PART.x2} - ({PART.x1}))", f"{PART.height} / ({PART.y2} - ({PART.y1}))"
+_ENDS = f"SELECT (x - ({PART.x1})) * ({_UX}) AS x0, (dx - ({PART.x1})) * ({_UX}) AS x1, {float(PART.height)} - (y - ({PART.y1})) * ({_UY}) AS y0, {float(PART.height)} - (dy - ({PART.y1})) * ({_UY}) AS y1 FROM (SELECT x, y, x + rad * 100 * sin(ang) AS dx, y + rad * 100 * cos(ang) AS dy FROM ({_SPIRAL}) WHERE cl_tot > 1 AND x BETWEEN {PART.x1} AND {PART.x2} AND y BETWEEN {PART.y1} AND {PART.y2})"
+
+
+@query(f"SELECT DISTINCT px, py FROM (SELECT CAST(floor(x0 + (x1 - x0) * k / n) AS INT) AS px, CAST(floor(y0 + (y1 - y0) * k / n) AS INT) AS py FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT *, CAST(greatest(1, ceil(greatest(abs(x1 - x0), abs(y1 - y0)))) AS BIGINT) AS n FROM ({_ENDS})))) WHERE px BETWEEN 0 AND {PART.width - 1} AND py BETWEEN 0 AND {PART.height - 1}")
 def object_leaders(spark, sf):
     return raster.leaders(cluster.displaced(cluster.cluster(dup_points(spark, sf), ("qid",)), 10000.0), PART)
 
@@ -535,7 +564,10 @@ def geojson_features(spark, sf):
     return sinks.features(fx.result(spark, sf).select("row_id", "o_orderpriority", "wkt"))
 
 
-@query()
+_DEC = "CAST(CAST(round({v}, 6) AS DECIMAL(30,6)) AS VARCHAR)"
+
+
+@query(f"SELECT concat('{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"LineString\",\"coordinates\":[', string_agg(concat('[', {_DEC.format(v='lng')}, ',', {_DEC.format(v='lat')}, ']'), ',' ORDER BY v), ']}},\"properties\":{{}}}}') AS feature FROM ({fx.SQL['line_vertices']}) WHERE row_id = 7")
 def geojson_of_one(spark, sf):
     parts = lines(spark, sf).where("row_id = 7").select(F.lit(0).alias("part_idx"), "kind", sinks.unproject(F.col("coords")).alias("coords"))
     return sinks.geojson_of_parts(parts)

@@ -1,7 +1,9 @@
 """Map sessions: the API a map front end calls, over cached tables.
 
-A session holds one query's objects (its rows joined with the geometry dictionary). Queries are Spark SQL texts or
-DataFrames whose last column is the geometry: WKT, or an id of the dictionary or of a folded point.
+A session holds one query's objects (its rows joined with the geometry dictionary), as tables in the shared folder:
+a lost executor costs no rows and changes no row id. The counts that coarse maps draw are made at the first such map
+and kept too. Queries are Spark SQL texts or DataFrames whose last column is the geometry: WKT, or an id of the
+dictionary or of a folded point.
 """
 
 from __future__ import annotations
@@ -10,15 +12,14 @@ import json
 import re
 import secrets
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import mercator
-from ..operators import cluster, ingest, lookup, match, raster
-from ..sources import registry, sinks
+from ..operators import cluster, grid, ingest, lookup, match, raster
+from ..sources import registry, sinks, tables
 
 
 class NotReady(LookupError):
@@ -46,6 +47,10 @@ class Session:
     num_objects: int
     box: tuple
     made: float
+    counts: dict[str, DataFrame] = field(default_factory=dict)
+
+    def tables(self) -> list[DataFrame]:
+        return [self.objects, self.result, *self.counts.values()]
 
 
 class MapEngine:
@@ -55,6 +60,7 @@ class MapEngine:
         self.sessions: dict[str, Session] = {}
         self.known: dict[tuple[str, str, str], str] = {}
         self.stages: dict[str, int] = {}
+        self.loaded: dict[str, dict[str, int]] = {}
 
     # dictionaries
 
@@ -65,24 +71,40 @@ class MapEngine:
         if backend in self.dictionaries and self.dictionaries[backend][0] == version:
             return self.dictionaries[backend][1]
         self.stages[backend] = 1
-        path = f"{self.config.cache_dir}/{backend}" if self.config.cache_dir else None
-        made = registry.load_dictionary(self.spark, path, version) if path else None
-        self.stages[backend] = 3 if made is not None else 2
-        if made is None:
-            made = ingest.build_dictionary(registry.without_folded(source))
-            if path:
-                registry.save_dictionary(made, path, version)
-                made = registry.load_dictionary(self.spark, path, version)
+        sc, group = self.spark.sparkContext, self._group(backend)
+        sc.setJobGroup(group, f"load {backend}")
+        try:
+            path = f"{self.config.cache_dir}/{backend}" if self.config.cache_dir else None
+            made = registry.load_dictionary(self.spark, path, version) if path else None
+            self.stages[backend] = 3 if made is not None else 2
+            if made is None:
+                seen = Observation()
+                built = ingest.build_dictionary(registry.without_folded(source))
+                built = built.observe(seen, F.count(F.lit(1)).alias("components"), F.count_if(F.col("kind") == "NONE").alias("unreadable"))
+                if path:
+                    registry.save_dictionary(built, path, version)
+                    made = registry.load_dictionary(self.spark, path, version)
+                else:
+                    made = tables.keep(built, "dictionary")
+                self.loaded[backend] = seen.get
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
         if backend in self.dictionaries:
-            self.dictionaries[backend][1].unpersist()
-        self.dictionaries[backend] = (version, made.persist(StorageLevel.MEMORY_AND_DISK))
+            tables.forget(self.dictionaries[backend][1])
+        self.dictionaries[backend] = (version, made)
         self.stages[backend] = 4
-        return self.dictionaries[backend][1]
+        return made
+
+    def _group(self, backend: str) -> str:
+        return f"mapfold-load-{id(self)}-{backend}"
 
     def load_status(self, backend: str) -> dict:
-        """stage: 1 parse, 2 build, 3 from cache, 4 finished."""
-        stage = self.stages.get(backend, 0)
-        return {"percent": {0: 0.0, 1: 0.0, 2: 50.0, 3: 50.0, 4: 100.0}[stage], "stage": stage}
+        """stage: 1 parse, 2 build, 3 from cache, 4 finished. percent: tasks that are through, of those known so far. Totals of what was built."""
+        stage, tracker = self.stages.get(backend, 0), self.spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self._group(backend))] if stage in (1, 2, 3) else []
+        stages = [tracker.getStageInfo(i) for j in jobs if j for i in j.stageIds]
+        done, all_ = (sum(getattr(i, c) for i in stages if i) for c in ("numCompletedTasks", "numTasks"))
+        return {"percent": 100.0 if stage == 4 else 100.0 * done / all_ if all_ else 0.0, "stage": stage, **self.loaded.get(backend, {})}
 
     # queries
 
@@ -96,18 +118,18 @@ class MapEngine:
         result = self.spark.sql(query) if isinstance(query, str) else query
         if "row_id" not in result.columns:
             result = result.select(F.monotonically_increasing_id().alias("row_id"), *result.columns)
-        result = result.persist(StorageLevel.MEMORY_AND_DISK)  # keeps the row ids
+        result = tables.keep(result, "result")  # fixes the row ids
         geometry = ingest.last_column(result)
         if dict(result.dtypes)[geometry] == "string":
             objects = ingest.project(ingest.decode(result, "row_id", geometry)).withColumn("row_id", F.col("qid"))
         else:
             keyed = result.select("row_id", F.col(geometry).alias("qid"))
             objects = match.all_objects(keyed, self.load(backend)) if backend else match.folded_points(keyed)
-        objects = objects.persist(StorageLevel.MEMORY_AND_DISK)
+        objects = tables.keep(objects, "objects")
         n = match.count_objects(objects).first()[0]
         if self.config.most_objects is not None and n > self.config.most_objects:
-            objects.unpersist()
-            result.unpersist()
+            tables.forget(objects)
+            tables.forget(result)
             raise TooLarge(f"{n} objects")
         name = str(secrets.randbits(63))
         self.sessions[name] = Session(result, objects, n, tuple(match.bounds(objects).first()), time.time())
@@ -130,8 +152,8 @@ class MapEngine:
         for name in names:
             s = self.sessions.pop(name, None)
             if s:
-                s.objects.unpersist()
-                s.result.unpersist()
+                for t in s.tables():
+                    tables.forget(t)
         self.known = {k: v for k, v in self.known.items() if v in self.sessions}
         return len(names)
 
@@ -151,16 +173,25 @@ class MapEngine:
         """(px, py, r, g, b, a) of a view."""
         s = self.get(session)
         ox, oy = (s.box[0], s.box[1]) if s.box[0] is not None else (0.0, 0.0)
+        heat = lambda: raster.heatmap(s.objects, view, ox, oy, self.counts(session) if view.level != "exact" else None)
         if style != "objects":
-            return raster.colour_heat(raster.normalise(raster.stamp(raster.heatmap(s.objects, view, ox, oy), view)))
+            return raster.colour_heat(raster.normalise(raster.stamp(heat(), view)))
         if view.level != "exact":
-            return raster.colour_objects(raster.stamp(raster.heatmap(s.objects, view, ox, oy).withColumn("weight", F.lit(1.0)), view))
+            return raster.colour_objects(raster.stamp(heat().withColumn("weight", F.lit(1.0)), view))
         shown = self.clusters(session, view.resolution)
         drawn = raster.clusters_as_objects(shown, view)
         lines = raster.leaders(shown, view).withColumn("weight", F.lit(0.6))
         outlines = raster.lines_exact(s.objects.where("kind in ('LINE', 'AREA')"), view)
         return raster.colour_objects(raster.merge(drawn, lines, outlines))
 
+    def counts(self, session: str) -> dict[str, DataFrame]:
+        """The session's points by cell and vertices of lines by sub-cell: made once, read by every coarse map."""
+        s = self.get(session)
+        if not s.counts:
+            ox, oy = (s.box[0], s.box[1]) if s.box[0] is not None else (0.0, 0.0)
+            s.counts = {name: tables.keep(df, name) for name, df in raster.coarse_counts(s.objects, ox, oy).items()}
+        return s.counts
+
     def heatmap_png(self, session: str, bbox: str, width: int, height: int, style: str = "heatmap") -> bytes:
         view = raster.Viewport.parse(bbox, width, height)
         return sinks.png(self.raster(session, view, style).collect(), view.width, view.height)  # at most width x height rows
@@ -179,15 +210,19 @@ class MapEngine:
         if view and style == "objects" and view.level == "exact":
             points = lookup.visible_points(self.clusters(session, view.resolution), view)
         hits = lookup.nearest(points, s.objects.where("kind in ('LINE', 'AREA')"), x, y, rad, k)
-        out = []
-        for h in hits.collect():
-            row = self.row(session, h["row_id"])
-            place = self.spark.range(1).select(mercator.lng_of(F.lit(h["hit_x"])).alias("lng"), mercator.lat_of(F.lit(h["hit_y"])).alias("lat")).first()
-            out.append({"id": h["row_id"], "attrs": [[c, v] for c, v in row.items()], "ll": {"lat": place["lat"], "lng": place["lng"]}, "geom": json.loads(self.geojson(session, h["row_id"], rad))})
-        return out
+        hits = hits.withColumns({"lng": mercator.lng_of(F.col("hit_x")), "lat": mercator.lat_of(F.col("hit_y"))}).collect()  # k rows
+        if not hits:
+            return []
+        # attributes and geometry of all hits, in one plan
+        ids = F.col("row_id").isin([h["row_id"] for h in hits])
+        parts = lookup.geometries_of(s.objects.where(ids), rad).withColumn("coords", sinks.unproject(F.col("coords")))
+        found = s.result.where(ids).join(sinks.geojson_by_row(parts).withColumnRenamed("feature", "__feature"), "row_id", "left").collect()
+        rows = {r["row_id"]: r.asDict() for r in found}
+        shown = lambda r: [[c, v] for c, v in r.items() if c not in ("row_id", "__feature")]
+        return [{"id": h["row_id"], "attrs": shown(rows[h["row_id"]]), "ll": {"lat": h["lat"], "lng": h["lng"]}, "geom": json.loads(rows[h["row_id"]]["__feature"])} for h in hits]
 
     def row(self, session: str, row_id: int) -> dict:
-        found = self.get(session).result.where(F.col("row_id") == row_id).first()
+        found = match.row_of(self.get(session).result, row_id).first()
         return {} if found is None else {c: v for c, v in found.asDict().items() if c != "row_id"}
 
     def geojson(self, session: str, row_id: int, rad: float, export: bool = False) -> str:

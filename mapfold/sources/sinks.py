@@ -38,12 +38,23 @@ def shape(kind: Column, coords: Column, digits: int = 6) -> Column:
 
 def geojson_of_parts(parts: DataFrame, properties: Column | None = None) -> DataFrame:
     """One row, feature: a row's components (kind, coords, degrees) as a Feature; several are a GeometryCollection, areas first, then lines, then points."""
+    one = parts.agg(_gathered()).select(F.col("all"))
+    return one.select(feature(_whole(), properties if properties is not None else F.lit("{}")).alias("feature"))
+
+
+def geojson_by_row(parts: DataFrame) -> DataFrame:
+    """(row_id, feature): the same for each row_id of parts, without properties."""
+    return parts.groupBy("row_id").agg(_gathered()).select("row_id", feature(_whole(), F.lit("{}")).alias("feature"))
+
+
+def _gathered() -> Column:
     rank = F.when(F.col("kind") == "AREA", 0).when(F.col("kind") == "LINE", 1).otherwise(2)
-    each = parts.select(F.struct(rank.alias("k"), "part_idx", shape(F.col("kind"), F.col("coords")).alias("g")).alias("s"))
-    one = each.agg(F.sort_array(F.collect_list("s")).alias("all"))
+    return F.sort_array(F.collect_list(F.struct(rank.alias("k"), "part_idx", shape(F.col("kind"), F.col("coords")).alias("g")))).alias("all")
+
+
+def _whole() -> Column:
     list_ = F.array_join(F.transform("all", lambda s: s["g"]), ",")
-    geometry = F.when(F.size("all") == 1, list_).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), list_, F.lit("]}")))
-    return one.select(feature(geometry, properties if properties is not None else F.lit("{}")).alias("feature"))
+    return F.when(F.size("all") == 1, list_).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), list_, F.lit("]}")))
 
 
 def feature(geometry: Column, properties: Column) -> Column:

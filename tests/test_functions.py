@@ -2,6 +2,7 @@ import math
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,12 +32,38 @@ def parts(spark, literal):
         ("MULTIPOLYGON(((0 0,1 0,1 1,0 0)),((5 5,6 5,6 6,5 5),(5.1 5.1,5.2 5.1,5.2 5.2,5.1 5.1)))", [("AREA", False, 0, [(0, 0), (1, 0), (1, 1), (0, 0)]), ("AREA", False, 0, [(5, 5), (6, 5), (6, 6), (5, 5)]), ("AREA", True, 1, [(5.1, 5.1), (5.2, 5.1), (5.2, 5.2), (5.1, 5.1)])]),
         ("GEOMETRYCOLLECTION(POINT(1 2),GEOMETRYCOLLECTION(POINT(3 4)),LINESTRING(0 0,1 1))", [("POINT", False, 0, [(1, 2)]), ("LINE", False, 0, [(0, 0), (1, 1)])]),
         ("POINT(x y)", [("NONE", False, 0, [])]),
+        ("POINT Z (1 2 3)", [("POINT", False, 0, [(1, 2)])]),
+        ("pointzm(1 2 3 4)", [("POINT", False, 0, [(1, 2)])]),
+        ("LINESTRING M(1 2 9,\n\t3 4 9)", [("LINE", False, 0, [(1, 2), (3, 4)])]),
+        ("GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(MULTIPOLYGON(((0 0,1 1,1 0))))),POINT Z (5 6 7))", [("POINT", False, 0, [(5, 6)])]),
+        ("POLYGON((0 0,1 1", [("NONE", False, 0, [])]),
     ],
 )
 def test_wkt(spark, literal, want):
     assert parts(spark, literal) == want
 
 
+def test_geometries_of_any_size(spark):
+    """Lines of 100,000 vertices and areas of 10,000 rings, alone and in collections; brackets without an end."""
+    line = "LINESTRING(" + ",".join(f"{i % 180} {i % 80}" for i in range(100_000)) + ")"
+    rings = ",".join(f"({i % 170} 0,{i % 170 + 1} 0,{i % 170 + 1} 1)" for i in range(10_000))
+    members = ",".join(["((0 0,1 0,1 1),(0 0,1 0,1 1,0 0))"] * 10_000)
+    literals = [line, f"GEOMETRYCOLLECTION(POINT(1 1),{line})", f"MULTIPOLYGON(({rings}))", f"MULTIPOLYGON({members})", f"GEOMETRYCOLLECTION(MULTIPOLYGON(({rings})),POINT(2 2))", "(" * 100_000, "GEOMETRYCOLLECTION(" * 5_000, "GEOMETRYCOLLECTION" + "(" * 5_000]
+    out = ingest.project(ingest.decode(spark.createDataFrame(list(enumerate(literals)), "qid long, wkt string")))
+    got = {(r["qid"], r["kind"]): (r["n"], r["v"]) for r in out.groupBy("qid", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("coords")).alias("v")).collect()}
+    want = {(0, "LINE"): (1, 100_000), (1, "LINE"): (1, 100_000), (1, "POINT"): (1, 1), (2, "AREA"): (10_000, 40_000), (3, "AREA"): (20_000, 80_000), (4, "AREA"): (10_000, 40_000), (4, "POINT"): (1, 1)}
+    assert got == want | {(i, "NONE"): (1, None) for i in (5, 6, 7)}
+    assert one(spark, wkt.nested_collections(F.lit("GEOMETRYCOLLECTION(POINT(1 1), geometrycollection z (POINT(1 1)))"))) == 1
+
+
+def test_equal_texts_are_one_geometry_and_odd_vertices_go(spark):
+    rows = [(1, "LINESTRING(0 0, 1 -90, 2 NaN, 3 3)"), (2, "LINESTRING(0 0, 1 -90, 2 NaN, 3 3)"), (3, "MULTIPOINT(1 1, 2 -90)"), (4, "LINESTRING(0 -90, 1 -90)")]
+    out = ingest.build_dictionary(spark.createDataFrame(rows, "qid long, wkt string")).collect()
+    by = {r["qid"]: r for r in out}
+    assert len(out) == 3 and set(by) == {1, 2, 3} and by[1]["geom_id"] == by[2]["geom_id"] != by[3]["geom_id"]
+    assert len(by[1]["coords"]) == 2 and abs(by[1]["miny"]) < 1e-6 and by[1]["maxx"] > 333_000
+
+
 def test_points_that_do_not_project_go(spark):
     df = spark.createDataFrame([(1, "POINT(0 -90)"), (2, "POINT(10 50)"), (3, "JUNK"), (2, "POINT(11 51)"), (4, "POINT(NaN 1)")], "qid long, wkt string")
     out = {r["qid"]: r for r in ingest.build_dictionary(df).collect()}
@@ -135,5 +162,13 @@ def test_registry_and_ids(spark, tmp_path):
     (tmp_path / "ids.bin").write_bytes(b"".join(struct.pack("<Q", i) for i in ids) + b"xx")
     got = [x["qid"] for x in registry.read_ids(spark, str(tmp_path / "ids.bin")).orderBy("position").collect()]
     assert [g % (1 << 64) for g in got] == ids
+    more = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 200_000, dtype=np.int64, endpoint=False)
+    (tmp_path / "pages").mkdir()
+    more.tofile(tmp_path / "pages" / "0.bin")
+    more[:50].tofile(tmp_path / "pages" / "1.bin")
+    (tmp_path / "pages" / "2.bin").write_bytes(more[:7].tobytes() + b"abc")
+    rows = registry.read_ids(spark, str(tmp_path / "pages")).collect()
+    assert len(rows) == 200_057 and all(more[x["position"]] == x["qid"] for x in rows)
+    assert len({(x["path"], x["position"]) for x in rows}) == len(rows)
     (tmp_path / "rows.tsv").write_text("a\tgeometry\n1\tPOINT(1 2)\n")
     assert registry.read_tsv(spark, str(tmp_path / "rows.tsv")).collect()[0].asDict() == {"a": "1", "geometry": "POINT(1 2)"}

@@ -26,7 +26,9 @@ def test_query_by_id_with_folded_points(engine):
     assert a["numobjects"] == 210 and a["autothreshold"] == 100 and engine.query(q, "orders")["qid"] == a["qid"]
     (x1, y1), (x2, y2) = a["bounds"]
     assert x1 < x2 and y1 < y2
-    assert engine.load_status("orders") == {"percent": 100.0, "stage": 4}
+    status = engine.load_status("orders")
+    assert (status["percent"], status["stage"]) == (100.0, 4) and status["components"] > 1000 > status["unreadable"] > 0
+    assert engine.load_status("unknown") == {"percent": 0.0, "stage": 0}
     assert engine.style(a["qid"], 10) == "heatmap" and engine.style(a["qid"], 16) == "objects"
 
 
@@ -74,6 +76,33 @@ def test_all_kinds_and_levels(spark, engine):
     assert json.loads(engine.geojson(s, 6, 1.0))["geometry"]["type"] == "GeometryCollection"
 
 
+def test_coarse_maps_read_kept_counts(engine):
+    s = engine.query("SELECT row_id, wkt FROM found WHERE row_id < 500")["qid"]
+    view = raster.Viewport(-20037509.0, -15538712.0, 20037509.0, 15538712.0, 400, 300)
+    first = {tuple(r) for r in engine.raster(s, view).collect()}
+    kept = engine.counts(s)
+    assert {tuple(r) for r in engine.raster(s, view).collect()} == first and engine.counts(s) is kept
+    ox, oy = engine.get(s).box[:2]
+    fresh = raster.heatmap(engine.get(s).objects, view, ox, oy)
+    assert {tuple(r) for r in raster.heatmap(engine.get(s).objects, view, ox, oy, kept).collect()} == {tuple(r) for r in fresh.collect()}
+
+
+def test_row_ids_are_kept_and_clicks_answer_all_hits(spark, engine):
+    """Rows without ids get some that don't change; a click's hits come with attributes and geometry."""
+    df = spark.createDataFrame([("a", "POINT(8 48)"), ("b", "LINESTRING(7.9 48, 8.1 48.001)"), ("c", "POLYGON((7 47,9 47,9 49,7 49))")], "name string, wkt string").repartition(3)
+    s = engine.query(df)["qid"]
+    ids = [{r["name"]: r["row_id"] for r in engine.get(s).result.collect()} for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 3
+    hits = engine.nearest(s, 8 * 20037508.342789244 / 180, 6106854.834885074, 5000.0, k=3)
+    assert [dict(map(tuple, h["attrs"]))["name"] for h in hits] == ["a", "b", "c"] and [h["id"] for h in hits] == [ids[0][n] for n in "abc"]
+    assert [h["geom"]["geometry"]["type"] for h in hits] == ["Point", "LineString", "Polygon"] and all(abs(h["ll"]["lng"] - 8) < 0.1 for h in hits)
+    path = engine.get(s).objects._kept_at
+    engine.clear(s)
+    import os
+
+    assert not os.path.exists(path)
+
+
 def test_sessions_end(engine):
     s = engine.query("SELECT row_id, wkt FROM found WHERE row_id = 3")["qid"]
     r1 = engine.query("SELECT row_id, rand() AS r, wkt FROM found WHERE row_id = 3")["qid"]
