@@ -14,15 +14,17 @@ empty results. Extra columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Words of a shingle; one in so many hashes is kept.
-WORDS, SCALE = 5, 2
+WORDS, SCALE = 5, 4
 #: A hot id falls into two to the power of so many ranges.
-SPLIT_BITS = 8
+SPLIT_BITS = 4
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -64,13 +66,16 @@ def as_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, ident: str, carried: list[str], parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, ident: str, carried: list[str], parts: int | None = None, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with, for each carried column c, next_c: its value in the row next by ident (after the last: the first).
 
+    derive adds further columns, made from the carried ones, which are carried too: it runs once a row, before the shuffle.
+
     The ids are cut into `parts` ranges at approximate quantiles; each range is a window of its own. An id that ends a
     range may have very many rows, and so may null: these go by the top bits of their contents' hash into ranges of
     their own. What follows a range is the first row of the next one, which joins it as an extra last row. The
-    driver sees the quantiles alone, a number of values set by `parts`; the ranges' first rows are a small table.
+    driver sees the quantiles alone, a number of values set by `parts`; the table of the ranges' first keys, which is
+    broadcast, has at most 2^SPLIT_BITS + 1 rows for each of `parts`, whatever the input.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -90,8 +95,12 @@ def with_next(docs: DataFrame, ident: str, carried: list[str], parts: int | None
     line, whole = Window.orderBy("__range"), Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select(F.col("__range").alias("__own"), "first", F.coalesce(F.lag("__range").over(line), F.last("__range").over(whole)).alias("__before"))
     same = (F.col("__range") == F.col("__own")) & F.col(ident).eqNullSafe(F.col("first.id")) & (F.col("__hash") == F.col("first.hash"))
-    heads = docs.join(firsts, same).groupBy("__before").agg(F.first(ident).alias(ident), *[F.first(c).alias(c) for c in carried], F.first("__hash").alias("__hash"))
+    heads = docs.join(F.broadcast(firsts), same).groupBy("__before").agg(F.first(ident).alias(ident), *[F.first(c).alias(c) for c in carried], F.first("__hash").alias("__hash"))
     both = docs.withColumn("__extra", F.lit(0)).unionByName(heads.withColumnRenamed("__before", "__range").withColumn("__extra", F.lit(1)), allowMissingColumns=True)
+    if derive:
+        known = set(both.columns)
+        both = derive(both)
+        carried = [*carried, *[c for c in both.columns if c not in known]]
     window = Window.partitionBy("__range").orderBy("__extra", F.col(ident).asc_nulls_first(), "__hash")
     return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in carried}).where("__extra = 0").drop("__range", "__extra", "__hash")
 
@@ -105,7 +114,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_edits(documents: DataFrame, scale: int = SCALE) -> DataFrame:
     """doc_id, text, edited, sketch, edited_sketch, next_sketch of every document."""
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = with_next(with_sketch(docs, "text", "sketch", scale), "doc_id", ["text", "sketch"])
+    docs = with_next(docs, "doc_id", ["text"], derive=lambda rows: with_sketch(rows, "text", "sketch", scale))
     docs = docs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     return with_sketch(docs, "edited", "edited_sketch", scale)
 
