@@ -164,40 +164,64 @@ LOOKED = ["w1", "w2", "w3", "d", "t", "start", "what"]
 ASK, SHOW, SLICE = 1, 0, 2
 
 
+#: Documents and rows after which a task hands on what it has looked up.
+HANDED = 500, 50_000
+
+
+def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the places 0 to size - 1 lie in one of the intervals [start, end)."""
+    steps = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(steps)[:size] > 0
+
+
 def _windows(window: int, k: int):
     """What is looked up of a document: its undecided windows (what: ASK), those that others may ask for (SHOW), and the
     digests of its slices that others' spans are compared with (SLICE; w3 is the number of window starts)."""
 
+    def column(lists: pa.Array, i: int) -> np.ndarray:
+        found = lists[i]
+        return found.values.to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, held, rows, docs = Hasher(), [], 0, 0
+
+        def looked() -> pa.RecordBatch:
+            types = [np.int64] * 5 + [np.int32] * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(ty, copy=False)) for c, ty in zip(zip(*held, strict=True), types, strict=True)], LOOKED)
+
         for batch in batches:
-            for d, t, text, marked, spans, wanted, slices in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                tokens = text.encode().split()
-                n, joined = len(tokens), b" ".join(tokens)
+            owners, texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2)
+            marked, *intervals = batch.columns[3:8]
+            for i, ((d, t), slices) in enumerate(zip(owners, batch.column(8).to_pylist(), strict=True)):
+                joined = b" ".join(tokens := texts[i].as_py().encode().split())
+                n = len(tokens)
                 ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
                 starts = np.concatenate(([0], ends[:-1] + 1))
                 words = hasher.words(tokens)
                 one, two, at = hasher.sums(words, 0), hasher.sums(words, 1), np.arange(n - k + 1)
                 hashes = hasher.spans(one, at, at + k)
+                span_a, span_b, show_a, show_b = (column(c, i) for c in intervals)
                 # a window whose smallest k-mer is a node that occurs once can't repeat
-                asked = np.isin(slide(hashes, window - k + 1, np.minimum), hashes[marked])
-                for s in spans:
-                    asked[s["a"] : s["b"]] = False
-                shown = np.zeros(n - window + 1, bool)
-                for s in wanted or []:
-                    shown[s["a"] : s["b"]] = True
-                for pick, what in ((asked, ASK), (shown, SHOW)):
+                asked = np.isin(slide(hashes, window - k + 1, np.minimum), hashes[column(marked, i)])
+                asked &= ~covered(len(asked), span_a, span_b)
+                for pick, what in ((asked, ASK), (covered(len(asked), show_a, show_b), SHOW)):
                     begin = np.flatnonzero(pick)
                     if m := len(begin):
                         keys = [_signed(hasher.spans(sums, begin, begin + window)) for sums in (one, two)]
                         written = zip(starts[begin].tolist(), ends[begin + window - 1].tolist(), strict=True)
-                        keys.append(_signed(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in written), np.uint64, m)))
-                        columns = [*keys, np.full(m, d), np.full(m, t), begin.astype(np.int32), np.full(m, what, np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LOOKED)
-                if slices:
-                    rows = [(*digest_of(joined[starts[s["a"]] : ends[s["a"] + s["n"] + window - 2]]), s["n"], d, t, s["a"], SLICE) for s in slices]
-                    types = [pa.int64()] * 5 + [pa.int32()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), types, strict=True)], LOOKED)
+                        keys.append(_signed(np.fromiter((xxhash.xxh3_64_intdigest(joined[x:y]) for x, y in written), np.uint64, m)))
+                        held.append((*keys, np.full(m, d), np.full(m, t), begin, np.full(m, what)))
+                        rows += m
+                for s in slices or []:
+                    digest = digest_of(joined[starts[s["a"]] : ends[s["a"] + s["n"] + window - 2]])
+                    held.append(tuple(np.array([x], np.int64) for x in (*digest, s["n"], d, t, s["a"], SLICE)))
+                    rows += 1
+                docs += 1
+                if held and (docs >= HANDED[0] or rows >= HANDED[1]):
+                    yield looked()
+                    held, rows, docs = [], 0, 0
+        if held:
+            yield looked()
 
     return run
 
@@ -231,12 +255,19 @@ def _strip(window: int, keep_text: bool):
     return run
 
 
-SPAN_FIELDS = [("a", pa.int32()), ("b", pa.int32()), ("sd", pa.int64()), ("st", pa.int64()), ("sa", pa.int32())]
-SPAN = pa.list_(pa.struct(SPAN_FIELDS))
-EDGE = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+MARK = ["pos", "until", "h", "state", "path", "place", "sd", "st", "sp"]
 SPAN_TYPE = "array<struct<a:int,b:int,sd:long,st:long,sa:int>>"
 
 
+def _lists(owner: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """One list for each of `rows` rows, of values in the order of the rows that own them."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _structs(**fields: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+
+
 def _spans(window: int, k: int):
     """Of documents' repeated nodes: what the lookup of spans and single windows needs.
 
@@ -250,40 +281,40 @@ def _spans(window: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, spans, asked, shown = [], [], [], []
-            for stop, rows in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                rows.sort(key=lambda r: r["pos"])
-                own, cover, ask, show, last = [], [], set(), [], None
-                for i, r in enumerate(rows):
-                    pos, until = r["pos"], r["until"]
-                    if not r["state"] or until <= pos:
-                        continue
-                    here = (r["path"], r["place"], r["sd"], r["st"], r["sp"] - pos)
-                    if own and own[-1]["b"] == pos and r["place"] % CUT and last == (here[0], here[1] - 1, *here[2:]):
-                        own[-1]["b"] = until
-                    else:
-                        own.append({"a": pos, "b": until, "sd": r["sd"], "st": r["st"], "sa": r["sp"]})
-                    last = here
-                    if cover and cover[-1][1] == pos:
-                        cover[-1][1] = until
-                    else:
-                        cover.append([pos, until])
-                    if r["state"] == 2:
-                        for x in rows[i:]:
-                            at = x["pos"]
-                            if at > until - 1 + reach:
-                                break
-                            show.append({"h": x["h"], "a": max(pos, at - reach), "b": min(until, at + 1)})
-                j = 0
-                for r in rows:
-                    low, high = max(0, r["pos"] - reach), min(r["pos"] + 1, stop)
-                    while j < len(cover) and cover[j][1] < high:
-                        j += 1
-                    if j == len(cover) or cover[j][0] > low:
-                        ask.add(r["h"])
-                for out, x in ((nodes, [r["pos"] for r in rows]), (spans, own), (asked, list(ask)), (shown, show)):
-                    out.append(x)
-            arrays = [pa.array(x, ty) for x, ty in ((nodes, pa.list_(pa.int32())), (spans, SPAN), (asked, pa.list_(pa.int64())), (shown, EDGE))]
+            rows, lists = batch.num_rows, batch.column(3)
+            marks = lists.flatten()
+            get = lambda c: pa.array(marks.field(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
+            owner = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((get("pos"), owner))
+            owner, (pos, until, h, state, path, place, sd, st, sp) = owner[order], (get(c)[order] for c in MARK)
+            key = (owner << 32) + pos  # positions are under 2**31
+
+            # spans and what they cover, of the edges that repeat
+            v = np.flatnonzero((state > 0) & (until > pos))
+            before, here = v[:-1], v[1:]
+            joins = (owner[before] == owner[here]) & (until[before] == pos[here])
+            same = joins & (place[here] % CUT != 0) & (path[before] == path[here]) & (place[before] == place[here] - 1)
+            same &= (sd[before] == sd[here]) & (st[before] == st[here]) & ((sp - pos)[before] == (sp - pos)[here])
+            runs = lambda on: (v[np.flatnonzero(np.concatenate(([True], ~on))[: len(v)])], v[np.flatnonzero(np.concatenate((~on, [True]))[: len(v)])])  # noqa: E731, B023
+            first, last = runs(same)
+            spans = _lists(owner[first], rows, _structs(a=pos[first].astype(np.int32), b=until[last].astype(np.int32), sd=sd[first], st=st[first], sa=sp[first].astype(np.int32)))
+
+            # nodes in windows outside of all spans
+            first, last = runs(joins)
+            stop = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            low, high = np.maximum(0, pos - reach), np.minimum(pos + 1, stop)
+            j = np.searchsorted((owner[last] << 32) + until[last], (owner << 32) + high)
+            over = np.append(first, 0)[j]
+            open_ = (j == len(first)) | (owner[over] != owner) | (pos[over] > low)
+
+            # represented edges under each node that their windows hold
+            r = v[state[v] == 2]
+            count = np.searchsorted(key, (owner[r] << 32) + until[r] - 1 + reach, side="right") - r
+            edge = np.repeat(r, count)
+            node = edge + np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
+            shown = _structs(h=h[node], a=np.maximum(pos[edge], pos[node] - reach).astype(np.int32), b=np.minimum(until[edge], pos[node] + 1).astype(np.int32))
+
+            arrays = [_lists(owner, rows, pa.array(pos.astype(np.int32))), spans, _lists(owner[open_], rows, pa.array(h[open_])), _lists(owner[edge], rows, shown)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["d", "t", "nodes", "spans", "asked", "shown"])
 
     return run
@@ -358,8 +389,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_
     asked = materialize(marks.select(F.explode("asked").alias("h")).distinct(), "asked")
     shown = marks.select("d", "t", F.explode("shown").alias("x")).select("d", "t", F.col("x.h").alias("h"), F.struct("x.a", "x.b").alias("s"))
     wanted = shown.join(asked, "h", "left_semi").groupBy("d", "t").agg(F.collect_list("s").alias("wanted"))
-    lookup = marks.select("d", "t", "nodes", "spans").join(wanted, ["d", "t"], "left").join(slices, ["d", "t"], "left")
-    texts = docs.select("d", "t", "text").join(lookup, ["d", "t"]).select("d", "t", "text", "nodes", "spans", "wanted", "slices")
+    lookup = marks.select("d", "t", F.when(F.size("asked") > 0, F.col("nodes")).alias("nodes"), F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).join(wanted, ["d", "t"], "left").join(slices, ["d", "t"], "left")
+    lookup = lookup.where("nodes is not null or wanted is not null or slices is not null")  # others are decided by their spans alone
+    texts = docs.select("d", "t", "text").join(lookup, ["d", "t"]).select("d", "t", "text", "nodes", "a", "b", F.col("wanted.a").alias("from"), F.col("wanted.b").alias("to"), "slices")
     looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, w3 long, d long, t long, start int, what int"), "windows")
     discard(asked)
     window_key = ["w1", "w2", "w3"]
