@@ -44,7 +44,7 @@ def test_no_query_is_a_nested_loop(spark, sf):
 
 
 def test_whole_tables_against_brute_force(spark):
-    """On tables with ids past the prefixes of points_in_boxes, nearest_of_many_clicks and click_radii."""
+    """Boxes and clicks of every row."""
     sf = "/root/testdata/sf0.01"
     p, d = (f(spark, sf).select("row_id", "x", "y").toPandas().sort_values("row_id") for f in (catalog.points, catalog.dup_points))
     held = {r["box"]: r for r in catalog.points_in_all_boxes(spark, sf).collect()}
