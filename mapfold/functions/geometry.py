@@ -84,6 +84,41 @@ def densify(coords: Column, step: float) -> Column:
     return F.concat(F.flatten(F.transform(segments(coords), along)), F.slice(coords, -1, 1))
 
 
+def densify_within(coords: Column, step: float, x1: float, y1: float, x2: float, y2: float) -> Column:
+    """The vertices of densify() along the parts of segments that lie in a box (and up to two more at either end).
+
+    Each segment is clipped to the box first (Liang and Barsky, 1984), and the steps inside are counted from its start, so what is made
+    grows with the box's size in steps, whatever the line's length. The line's last vertex always stays.
+    """
+
+    def inside(a: Column, b: Column, low: float, high: float) -> tuple[Column, Column]:
+        """The part of [0, 1] along which one axis lies in its range; an empty one is turned round."""
+        one, two = F.try_divide(F.lit(float(low)) - a, b - a), F.try_divide(F.lit(float(high)) - a, b - a)
+        level = F.when(a.between(low, high), F.lit(0.0)).otherwise(F.lit(2.0))
+        return F.coalesce(F.least(one, two), level), F.coalesce(F.greatest(one, two), F.lit(1.0))
+
+    def clipped(s: Column) -> Column:
+        n = F.greatest(F.lit(1.0), F.ceil(distance(s["ax"], s["ay"], s["bx"], s["by"]) / F.lit(float(step))).cast("double"))
+        (a, b), (c, d) = inside(s["ax"], s["bx"], x1, x2), inside(s["ay"], s["by"], y1, y2)
+        low, high = F.greatest(a, c, F.lit(0.0)), F.least(b, d, F.lit(1.0))
+        first, last = F.greatest(F.lit(0.0), F.floor(low * n) - 1), F.least(n - 1, F.ceil(high * n) + 1)
+        return F.struct(*[s[v].alias(v) for v in ("ax", "ay", "bx", "by")], n.alias("n"), F.when(low <= high, F.struct(first.cast("long").alias("a"), last.cast("long").alias("b"))).alias("k"))
+
+    def along(s: Column) -> Column:
+        at = lambda k: F.struct((s["ax"] + (s["bx"] - s["ax"]) * k / s["n"]).alias("x"), (s["ay"] + (s["by"] - s["ay"]) * k / s["n"]).alias("y"))
+        return F.transform(F.sequence(s["k"]["a"], s["k"]["b"]), at)
+
+    kept = F.filter(F.transform(segments(coords), clipped), lambda s: s["k"].isNotNull() & (s["k"]["a"] <= s["k"]["b"]))
+    return F.concat(F.flatten(F.transform(kept, along)), F.slice(coords, -1, 1))
+
+
+def ring_area(coords: Column) -> Column:
+    """Area of a closed ring, whichever way round."""
+    first = F.get(coords, 0)  # near the ring, so that products stay small
+    twice = lambda s: (s["ax"] - first["x"]) * (s["by"] - first["y"]) - (s["bx"] - first["x"]) * (s["ay"] - first["y"])
+    return F.abs(F.aggregate(segments(coords), F.lit(0.0), lambda a, s: a + twice(s))) / 2
+
+
 def spiral(x: Column, y: Column, num: Column, tot: Column, res: Column) -> tuple[Column, Column]:
     """Where member `num` (from 0) of `tot` equal points is drawn; at the point itself for res < 0 or one member."""
     a, b = float(FIRST_RING), float(RING_GROWTH)

@@ -13,10 +13,10 @@ from ..functions import geometry, mercator, wkt
 
 
 def decode(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
-    """(qid, part_idx, kind, hole, ring, coords): one row per component, in degrees; NONE for rows without any."""
+    """(qid, part_idx, kind, hole, ring, poly, member, type, coords): one row per component, in degrees; NONE for rows without any."""
     read = wkt.with_components(rows.select(F.col(qid).alias("qid"), F.col(text).alias("_wkt")), "_wkt", "_parts")
     parts = read.select("qid", F.posexplode_outer("_parts").alias("part_idx", "c"))
-    return parts.select("qid", F.coalesce("part_idx", F.lit(0)).alias("part_idx"), F.coalesce("c.kind", F.lit("NONE")).alias("kind"), F.coalesce("c.hole", F.lit(False)).alias("hole"), F.coalesce("c.ring", F.lit(0)).alias("ring"), F.col("c.coords").alias("coords"))
+    return parts.select("qid", F.coalesce("part_idx", F.lit(0)).alias("part_idx"), F.coalesce("c.kind", F.lit("NONE")).alias("kind"), F.coalesce("c.hole", F.lit(False)).alias("hole"), *[F.coalesce(f"c.{c}", F.lit(0)).alias(c) for c in ("ring", "poly", "member")], F.coalesce("c.type", F.lit("NONE")).alias("type"), F.col("c.coords").alias("coords"))
 
 
 def project(parts: DataFrame) -> DataFrame:
@@ -81,7 +81,9 @@ def vertices_to_lines(vertices: DataFrame, kind: str = "LINE", ring: str | None
     keys = ["row_id", "qid"] + ([ring] if ring else [])
     made = vertices.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("v", F.col("lng").alias("x"), F.col("lat").alias("y")))).alias("vs"))
     coords = F.transform("vs", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
-    return made.select("row_id", "qid", F.lit(kind).alias("kind"), *([(F.col(ring) > 0).alias("hole"), F.col(ring).alias("ring")] if ring else [F.lit(False).alias("hole"), F.lit(0).alias("ring")]), (wkt.closed(coords) if kind == "AREA" else coords).alias("coords"))
+    whole = {"POINT": "MULTIPOINT", "LINE": "LINESTRING", "AREA": "POLYGON"}[kind]
+    rings = [(F.col(ring) > 0).alias("hole"), F.col(ring).alias("ring")] if ring else [F.lit(False).alias("hole"), F.lit(0).alias("ring")]
+    return made.select("row_id", "qid", F.lit(kind).alias("kind"), *rings, F.lit(0).alias("poly"), F.lit(0).alias("member"), F.lit(whole).alias("type"), (wkt.closed(coords) if kind == "AREA" else coords).alias("coords"))
 
 
 def last_column(result: DataFrame) -> str:

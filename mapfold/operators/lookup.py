@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import grid
 from .raster import Viewport
 
 #: Ranks of kinds at equal distance: a point beats a line.
@@ -21,13 +22,13 @@ def near_points(points: DataFrame, x: float, y: float, rad: float) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, x: float, y: float, rad: float) -> DataFrame:
-    """The same of lines and areas: inside an area counts as a quarter of rad, and hits the click itself."""
+    """The same of lines and areas: inside an area counts as a quarter of rad, however near its border is, and hits the click itself."""
     x_, y_ = F.lit(float(x)), F.lit(float(y))
     near = lines.where((F.col("minx") <= x + rad) & (F.col("maxx") >= x - rad) & (F.col("miny") <= y + rad) & (F.col("maxy") >= y - rad))
     inside = (F.col("kind") == "AREA") & geometry.contains(F.col("coords"), x_, y_)
     placed = near.withColumns({"_in": inside, "_foot": geometry.project_on(x_, y_, F.col("coords"))})
     edge = F.when(F.col("_foot.d") < geometry.TOUCH, F.lit(0.0)).otherwise(F.col("_foot.d"))
-    d = F.when(F.col("_in"), F.least(F.lit(rad / 4), F.coalesce(edge, F.lit(rad / 4)))).otherwise(edge)
+    d = F.when(F.col("_in"), F.lit(rad / 4)).otherwise(edge)
     hit = lambda a, own: F.when(F.col("_in"), own).otherwise(F.col(f"_foot.{a}"))
     return placed.select("row_id", d.alias("d"), hit("x", x_).alias("hit_x"), hit("y", y_).alias("hit_y"), F.lit(LINE_RANK).alias("kind_rank")).where(F.col("d") < rad)
 
@@ -39,16 +40,16 @@ def nearest(points: DataFrame, lines: DataFrame, x: float, y: float, rad: float,
 
 
 def nearest_of_many(clicks: DataFrame, points: DataFrame, ox: float, oy: float) -> DataFrame:
-    """(click, row_id, d): nearest point of each click (click, x, y, rad), by grid keys and one aggregation."""
-    from . import grid
+    """(click, row_id, d): nearest point of each click (click, x, y, rad), ties to the smaller row; clicks without a point in reach have no row.
 
-    boxes = clicks.select("click", *[(F.col(a) - F.col("rad")).alias(f"min{a}") for a in "xy"], *[(F.col(a) + F.col("rad")).alias(f"max{a}") for a in "xy"])
-    pairs = grid.join_boxes(points.select("row_id", "x", "y"), boxes, "click", ox, oy)
-    named = clicks.select("click", F.col("x").alias("cx"), F.col("y").alias("cy"), "rad")
-    d = geometry.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    found = pairs.join(named, "click").withColumn("d", d).where(F.col("d") < F.col("rad"))
-    best = F.min_by(F.struct("row_id", "d"), F.struct("d", "row_id"))
-    return found.groupBy("click").agg(best.alias("b")).select("click", "b.row_id", "b.d")
+    Equal clicks are looked up once. Points in the click's square are found by grid keys, and one aggregation takes the nearest.
+    """
+    sites = clicks.select(F.struct("x", "y", "rad").alias("site")).distinct()
+    boxes = sites.select("site", *[(F.col(f"site.{a}") + s * F.col("site.rad")).alias(f"{m}{a}") for m, s in (("min", -1), ("max", 1)) for a in "xy"])
+    found = grid.join_boxes(points.select("row_id", "x", "y"), boxes, "site", ox, oy)
+    found = found.withColumn("d", geometry.distance(F.col("x"), F.col("y"), F.col("site.x"), F.col("site.y"))).where(F.col("d") < F.col("site.rad"))
+    best = found.groupBy("site").agg(F.min(F.struct("d", "row_id")).alias("b"))
+    return clicks.select("click", F.struct("x", "y", "rad").alias("site")).join(best, "site").select("click", "b.row_id", "b.d")
 
 
 def visible_points(displaced: DataFrame, view: Viewport) -> DataFrame:
@@ -57,14 +58,14 @@ def visible_points(displaced: DataFrame, view: Viewport) -> DataFrame:
 
 
 def geometry_of(objects: DataFrame, row_id: int, rad: float) -> DataFrame:
-    """(part_idx, kind, hole, coords) of one row, lines and rings simplified by a tenth of rad."""
+    """(part_idx, kind, hole, ring, poly, member, type, coords) of one row, lines and rings simplified by a tenth of rad."""
     return geometries_of(objects.where(F.col("row_id") == row_id), rad).drop("row_id")
 
 
 def geometries_of(objects: DataFrame, rad: float) -> DataFrame:
-    """(row_id, part_idx, kind, hole, coords) of all objects, lines and rings simplified by a tenth of rad."""
+    """(row_id, part_idx, kind, hole, ring, poly, member, type, coords) of all objects, lines and rings simplified by a tenth of rad."""
     parts = objects.where(F.col("kind") != "NONE")
-    return parts.select("row_id", "part_idx", "kind", "hole", F.when(F.col("kind") == "POINT", F.col("coords")).otherwise(geometry.simplify(F.col("coords"), rad / 10)).alias("coords"))
+    return parts.select("row_id", "part_idx", "kind", "hole", "ring", "poly", "member", "type", F.when(F.col("kind") == "POINT", F.col("coords")).otherwise(geometry.simplify(F.col("coords"), rad / 10)).alias("coords"))
 
 
 def argmin(df: DataFrame, by: Column, ident: str) -> DataFrame:

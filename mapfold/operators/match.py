@@ -28,7 +28,7 @@ def folded_points(result: DataFrame) -> DataFrame:
 def all_objects(result: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Matched components and folded points as one table (a bag)."""
     points = folded_points(result)
-    one = points.withColumns({"part_idx": F.lit(0), "kind": F.lit("POINT"), "hole": F.lit(False), "ring": F.lit(0), "coords": F.array(F.struct("x", "y"))} | {f"{m}{a}": F.col(a) for m in ("min", "max") for a in "xy"})
+    one = points.withColumns({"part_idx": F.lit(0), "kind": F.lit("POINT"), "hole": F.lit(False), "ring": F.lit(0), "poly": F.lit(0), "member": F.lit(0), "type": F.lit("POINT"), "coords": F.array(F.struct("x", "y"))} | {f"{m}{a}": F.col(a) for m in ("min", "max") for a in "xy"})
     return match(result, dictionary).unionByName(one, allowMissingColumns=True)
 
 

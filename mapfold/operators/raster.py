@@ -104,11 +104,13 @@ def cells_at_corners(counted: DataFrame, view: Viewport, ox: float, oy: float) -
 
 
 def lines_exact(lines: DataFrame, view: Viewport) -> DataFrame:
-    """Outlines of the lines with a segment in view, with vertices a pixel apart."""
+    """Outlines of the lines with a segment in view, with vertices a pixel apart; of a line, only what lies around the view is made."""
     near = lines.where(view.meets(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
     meets = lambda s: geometry.segment_meets_box(s, view.x1, view.y1, view.x2, view.y2)
     seen = near.where(F.exists(geometry.segments(F.col("coords")), meets))
-    dense = seen.select(F.explode(geometry.densify(F.col("coords"), view.resolution)).alias("c")).select("c.x", "c.y")
+    wide, high = 2 * (view.x2 - view.x1) / view.width, 2 * view.resolution  # two pixels around
+    dense = geometry.densify_within(F.col("coords"), view.resolution, view.x1 - wide, view.y1 - high, view.x2 + wide, view.y2 + high)
+    dense = seen.select(F.explode(dense).alias("c")).select("c.x", "c.y")
     return weigh(view.pixels(dense))
 
 

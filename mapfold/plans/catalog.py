@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, mercator, text, wkt
-from ..operators import cluster, grid, ingest, lookup, match, raster
+from ..operators import cluster, grid, ingest, lookup, match, raster, rings
 from ..sources import registry, sinks
 from . import fixtures as fx
 
@@ -80,6 +80,11 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("qid", "part_idx", F.lit("POINT").alias("kind"), "x", "y", F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
 
 
+def whole(points: DataFrame) -> DataFrame:
+    """Components of multipoints."""
+    return points.withColumns({"hole": F.lit(False), "ring": F.lit(0), "poly": F.lit(0), "member": F.lit(0), "type": F.lit("MULTIPOINT"), "coords": F.array(F.struct("x", "y"))})
+
+
 def r3(*columns: str) -> list:
     return [F.round(c, 3).alias(c) for c in columns]
 
@@ -278,7 +283,7 @@ def unmatched_rows(spark, sf):
 def points_in_boxes(spark, sf):
     d = dup_points(spark, sf)
     boxes = d.select(F.col("row_id").alias("box"), (F.col("x") - 400000).alias("minx"), (F.col("x") + 400000).alias("maxx"), (F.col("y") - 300000).alias("miny"), (F.col("y") + 300000).alias("maxy"))
-    return grid.join_boxes(points(spark, sf), boxes, "box", OX, OY, 8 * grid.CELL).select("box", "row_id")
+    return grid.join_boxes(points(spark, sf), boxes, "box", OX, OY).select("box", "row_id")
 
 
 @query(f"SELECT b.row_id AS box, count(p.row_id) AS n, min(p.row_id) AS first_row, max(p.row_id) AS last_row FROM ({D_SQL}) b LEFT JOIN ({P_SQL}) p ON p.x BETWEEN b.x - 400000 AND b.x + 400000 AND p.y BETWEEN b.y - 300000 AND b.y + 300000 GROUP BY b.row_id")
@@ -287,7 +292,7 @@ def points_in_all_boxes(spark, sf):
     d = dup_points(spark, sf).select(F.col("row_id").alias("box"), "x", "y")
     sites = d.groupBy("x", "y").agg(F.min("box").alias("site"))
     boxes = sites.select("site", (F.col("x") - 400000).alias("minx"), (F.col("x") + 400000).alias("maxx"), (F.col("y") - 300000).alias("miny"), (F.col("y") + 300000).alias("maxy"))
-    held = grid.join_boxes(points(spark, sf), boxes, "site", OX, OY, 8 * grid.CELL).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    held = grid.join_boxes(points(spark, sf), boxes, "site", OX, OY).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
     found = sites.join(held, "site", "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"), "first_row", "last_row")
     return d.join(found, ["x", "y"]).select("box", "n", "first_row", "last_row")
 
@@ -305,7 +310,7 @@ def lines_in_boxes(spark, sf):
 
 @query(f"SELECT row_id, count(*) AS n_parts, string_agg(part_idx, ',' ORDER BY part_idx) AS parts FROM ({M_SQL}) GROUP BY row_id")
 def reassembled(spark, sf):
-    d = dictionary(spark, sf).withColumns({"row_id": F.col("qid"), "hole": F.lit(False), "coords": F.array(F.struct("x", "y"))})
+    d = whole(dictionary(spark, sf)).withColumn("row_id", F.col("qid"))
     return match.reassemble(d).select("row_id", "n_parts", F.array_join(F.transform("parts", lambda p: p["part_idx"].cast("string")), ",").alias("parts"))
 
 
@@ -551,7 +556,7 @@ def nearest_of_all_clicks(spark, sf):
 
 @query(f"SELECT row_id, part_idx, round(x, 3) AS x, round(y, 3) AS y FROM ({M_SQL}) WHERE row_id = 17")
 def geometry_by_id(spark, sf):
-    d = dictionary(spark, sf).withColumns({"row_id": F.col("qid"), "hole": F.lit(False), "coords": F.array(F.struct("x", "y"))})
+    d = whole(dictionary(spark, sf)).withColumn("row_id", F.col("qid"))
     g = lookup.geometry_of(d, 17, 10.0)
     return g.select(F.lit(17).cast("long").alias("row_id"), "part_idx", F.round(F.get("coords", 0)["x"], 3).alias("x"), F.round(F.get("coords", 0)["y"], 3).alias("y"))
 
@@ -569,5 +574,63 @@ _DEC = "CAST(CAST(round({v}, 6) AS DECIMAL(30,6)) AS VARCHAR)"
 
 @query(f"SELECT concat('{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"LineString\",\"coordinates\":[', string_agg(concat('[', {_DEC.format(v='lng')}, ',', {_DEC.format(v='lat')}, ']'), ',' ORDER BY v), ']}},\"properties\":{{}}}}') AS feature FROM ({fx.SQL['line_vertices']}) WHERE row_id = 7")
 def geojson_of_one(spark, sf):
-    parts = lines(spark, sf).where("row_id = 7").select(F.lit(0).alias("part_idx"), "kind", sinks.unproject(F.col("coords")).alias("coords"))
+    parts = lines(spark, sf).where("row_id = 7").select(F.lit(0).alias("part_idx"), "kind", "ring", "poly", "member", "type", sinks.unproject(F.col("coords")).alias("coords"))
     return sinks.geojson_of_parts(parts)
+
+
+#: WKT and GeoJSON of the same geometries; {a} and {b} are whole numbers.
+_SHAPES = [
+    ("POLYGON(({a} {b}, 90 {b}, 90 85, {a} {b}),({a} 81, {a} 82, 89 82, {a} 81))", "Polygon", "[[[{a},{b}],[90,{b}],[90,85],[{a},{b}]],[[{a},81],[{a},82],[89,82],[{a},81]]]"),
+    ("MULTIPOLYGON((({a} {b}, 90 {b}, 90 85)),((1 1, 2 1, {a} {b}, 1 1),(3 3, 4 3, 4 4, 3 3)))", "MultiPolygon", "[[[[{a},{b}],[90,{b}],[90,85],[{a},{b}]]],[[[1,1],[2,1],[{a},{b}],[1,1]],[[3,3],[4,3],[4,4],[3,3]]]]"),
+    ("MULTIPOINT(({a} {b}),(3 4))", "MultiPoint", "[[{a},{b}],[3,4]]"),
+    ("multilinestring(({a} {b}, 3 4),(5 6, 7 8, 9 9))", "MultiLineString", "[[[{a},{b}],[3,4]],[[5,6],[7,8],[9,9]]]"),
+    ("MULTIPOLYGON((({a} {b}, 90 {b}, 90 85, {a} {b})))", "MultiPolygon", "[[[[{a},{b}],[90,{b}],[90,85],[{a},{b}]]]]"),
+    ("GEOMETRYCOLLECTION(POINT({a} {b}), MULTIPOINT(1 2, 3 4), POLYGON((0 0, 5 0, {a} {b}, 0 0),(1 1, 2 1, 2 2, 1 1)))", "GeometryCollection",
+     '[{{"type":"Point","coordinates":[{a},{b}]}},{{"type":"MultiPoint","coordinates":[[1,2],[3,4]]}},{{"type":"Polygon","coordinates":[[[0,0],[5,0],[{a},{b}],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]}}]'),
+]
+
+
+def _shape_sql() -> str:
+    """The features' text by SQL: numbers get six decimals, and keys are put in."""
+    import re
+
+    whens = []
+    for i, (_, kind, body) in enumerate(_SHAPES):
+        numbers = re.sub(r"(?<![\w.])(\d+)(?=[,\]])", r"\1.000000", body)
+        made = numbers.replace("{{", "{").replace("}}", "}").replace("{a}", "@a.000000").replace("{b}", "@b.000000")
+        whens.append(f"WHEN {i} THEN '{{\"type\":\"{kind}\",\"{'geometries' if kind == 'GeometryCollection' else 'coordinates'}\":{made}}}'")
+    shape = f"replace(replace(CASE c_custkey % {len(_SHAPES)} {' '.join(whens)} END, '@a', (11 + c_custkey % 79)::VARCHAR), '@b', (12 + c_custkey % 67)::VARCHAR)"
+    named = "CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '\"' || c_name || '\"' END"
+    return f"SELECT concat('{{\"type\":\"Feature\",\"geometry\":', {shape}, ',\"properties\":{{\"id\":', c_custkey, ',\"name\":', {named}, '}}}}') AS feature FROM customer"
+
+
+@query(_shape_sql())
+def geojson_areas(spark, sf):
+    """Areas with holes, multi-geometries and collections, with null properties."""
+    numbers = {"{a}": "CAST(11 + c_custkey % 79 AS STRING)", "{b}": "CAST(12 + c_custkey % 67 AS STRING)"}
+    whens = [f"WHEN {i} THEN replace(replace('{w}', '{{a}}', {numbers['{a}']}), '{{b}}', {numbers['{b}']})" for i, (w, *_) in enumerate(_SHAPES)]
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    return sinks.features(rows.selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name", f"CASE c_custkey % {len(_SHAPES)} {' '.join(whens)} END AS wkt"))
+
+
+@query(f"SELECT row_id // 4 AS row_id, row_id * 2 + ring_idx AS ring_id, CAST(dense_rank() OVER (PARTITION BY row_id // 4 ORDER BY row_id) - 1 AS INT) AS poly, CAST(ring_idx AS INT) AS ring, ring_idx > 0 AS hole FROM (SELECT DISTINCT row_id, ring_idx FROM ({A_SQL}))")
+def ring_forest(spark, sf):
+    """Shells and holes of areas whose rings come without order, four areas a row."""
+    r = areas(spark, sf).withColumns({"ring_id": F.col("row_id") * 2 + F.col("ring"), "row_id": F.expr("row_id div 4")})
+    return rings.assemble(r.select("row_id", "ring_id", "coords", "minx", "miny", "maxx", "maxy"), ox=OX, oy=OY).select("row_id", "ring_id", "poly", "ring", "hole")
+
+
+#: A view of 0.6 units a pixel, off the middle, so that no step falls on an edge between pixels.
+CLOSE = raster.Viewport(-247.3, -171.9, 232.7, 188.1, 800, 600)
+_LONG_SEG = f"SELECT row_id, 0 AS v, -20000000.0 - x AS ax, y / 1000 - 5000 AS ay, 20000000.0 + x AS qx, 5000 - y / 1000 AS qy FROM ({L_SQL}) WHERE v = 0"
+_CLOSE_DENSE = f"SELECT row_id, ax + (qx - ax) * k / n AS x, ay + (qy - ay) * k / n AS y FROM (SELECT *, unnest(range(k0, k1 + 1)) AS k FROM (SELECT *, CAST(floor(n / 2 - 2000) AS BIGINT) AS k0, CAST(ceil(n / 2 + 2000) AS BIGINT) AS k1 FROM (SELECT *, CAST(greatest(1, ceil(sqrt((ax-qx)*(ax-qx)+(ay-qy)*(ay-qy)) / {CLOSE.resolution!r})) AS BIGINT) AS n FROM ({_LONG_SEG}))))"
+
+
+@query(pixel_sql(CLOSE, _CLOSE_DENSE))
+def heatmap_lines_close(spark, sf):
+    """Lines across the whole map, each through the middle of the view, at 0.6 units a pixel: steps of a line are counted from its start, 30 million before the view."""
+    first = lines(spark, sf).select("row_id", F.get("coords", 0).alias("c"))
+    at = lambda s: F.struct((s * (F.lit(20000000.0) + F.col("c.x"))).alias("x"), (s * (F.lit(5000.0) - F.col("c.y") / 1000)).alias("y"))
+    long = first.select("row_id", F.array(at(F.lit(-1.0)), at(F.lit(1.0))).alias("coords"))
+    return raster.lines_exact(long.withColumns(geometry.bbox(F.col("coords"))), CLOSE)
+

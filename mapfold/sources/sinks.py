@@ -25,36 +25,52 @@ def unproject(coords: Column) -> Column:
     return F.transform(coords, lambda c: F.struct(mercator.lng_of(c["x"]).alias("x"), mercator.lat_of(c["y"]).alias("y")))
 
 
-def shape(kind: Column, coords: Column, digits: int = 6) -> Column:
-    """The GeoJSON geometry of one component, in degrees."""
-    made = lambda name, body: F.concat(F.lit(f'{{"type":"{name}","coordinates":'), body, F.lit("}"))
-    point = F.get(coords, 0)
-    return (
-        F.when(kind == "POINT", made("Point", position(point["x"], point["y"], digits)))
-        .when(kind == "LINE", made("LineString", coordinates(coords, digits)))
-        .when(kind == "AREA", made("Polygon", F.concat(F.lit("["), coordinates(coords, digits), F.lit("]"))))
-    )
+#: GeoJSON's names of what components were part of, alone and with others.
+GEOJSON_NAMES = {"POINT": ("Point", "MultiPoint"), "LINE": ("LineString", "MultiLineString"), "AREA": ("Polygon", "MultiPolygon")}
+
+
+def geometry(parts: Column, digits: int = 6) -> Column:
+    """The GeoJSON geometry of an array of components (kind, ring, poly, member, type, coords), in degrees and in order; null of none.
+
+    Components of a member are put together by its type: rings of a polygon, polygons, lines and points of a multi-geometry. Members of
+    a collection are its geometries. Each component writes its own piece and what stands between it and its neighbours, so the text
+    grows with the geometry.
+    """
+    n = F.size(parts)
+
+    def piece(p: Column, i: Column) -> Column:
+        before, after = F.get(parts, i - 1), F.get(parts, i + 1)
+        opens, closes = (i == 0) | (before["member"] != p["member"]), (i == n - 1) | (after["member"] != p["member"])
+        area = p["kind"] == "AREA"
+        # a polygon of several, however the type was written; points and lines that aren't alone
+        many = p["type"].startswith("MULTI") | (~area & ~(opens & closes))
+        name = F.lit("")
+        for kind, (one, more) in GEOJSON_NAMES.items():
+            name = F.when(p["kind"] == kind, F.when(many, more).otherwise(one)).otherwise(name)
+        own = F.when(p["kind"] == "POINT", position(F.get(p["coords"], 0)["x"], F.get(p["coords"], 0)["y"], digits)).otherwise(coordinates(p["coords"], digits))
+        head = F.concat(F.when(i > 0, ",").otherwise(""), F.lit('{"type":"'), name, F.lit('","coordinates":'), F.when(many, "[").otherwise(""), F.when(area, "[").otherwise(""))
+        between = F.when(area & (before["poly"] != p["poly"]), "],[").otherwise(",")
+        tail = F.when(closes, F.concat(F.when(area, "]").otherwise(""), F.when(many, "]}").otherwise("}"))).otherwise("")
+        return F.concat(F.when(opens, head).otherwise(between), own, tail)
+
+    text = F.array_join(F.transform(parts, piece), "")
+    several = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), text, F.lit("]}"))
+    return F.when(n > 0, F.when(F.get(parts, 0)["member"] > 0, several).otherwise(text))
 
 
 def geojson_of_parts(parts: DataFrame, properties: Column | None = None) -> DataFrame:
-    """One row, feature: a row's components (kind, coords, degrees) as a Feature; several are a GeometryCollection, areas first, then lines, then points."""
-    one = parts.agg(_gathered()).select(F.col("all"))
-    return one.select(feature(_whole(), properties if properties is not None else F.lit("{}")).alias("feature"))
+    """One row, feature: a row's components (part_idx, kind, ring, poly, member, type, coords, degrees) as a Feature."""
+    one = parts.agg(_gathered()).select(geometry(F.col("all")).alias("g"))
+    return one.select(feature(F.coalesce("g", F.lit("null")), properties if properties is not None else F.lit("{}")).alias("feature"))
 
 
 def geojson_by_row(parts: DataFrame) -> DataFrame:
     """(row_id, feature): the same for each row_id of parts, without properties."""
-    return parts.groupBy("row_id").agg(_gathered()).select("row_id", feature(_whole(), F.lit("{}")).alias("feature"))
+    return parts.groupBy("row_id").agg(_gathered()).select("row_id", feature(geometry(F.col("all")), F.lit("{}")).alias("feature"))
 
 
 def _gathered() -> Column:
-    rank = F.when(F.col("kind") == "AREA", 0).when(F.col("kind") == "LINE", 1).otherwise(2)
-    return F.sort_array(F.collect_list(F.struct(rank.alias("k"), "part_idx", shape(F.col("kind"), F.col("coords")).alias("g")))).alias("all")
-
-
-def _whole() -> Column:
-    list_ = F.array_join(F.transform("all", lambda s: s["g"]), ",")
-    return F.when(F.size("all") == 1, list_).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), list_, F.lit("]}")))
+    return F.sort_array(F.collect_list(F.struct("part_idx", "kind", "ring", "poly", "member", "type", "coords"))).alias("all")
 
 
 def feature(geometry: Column, properties: Column) -> Column:
@@ -62,14 +78,12 @@ def feature(geometry: Column, properties: Column) -> Column:
 
 
 def features(result: DataFrame, digits: int = 6) -> DataFrame:
-    """(feature): every row of a result whose last column is WKT that can be read, other columns as properties."""
+    """(feature): every row of a result whose last column is WKT that can be read, other columns as properties, nulls too."""
     *attributes, geom = result.columns
-    parts = wkt.with_components(result, geom, "_c").withColumn("_g", F.transform("_c", lambda c: shape(c["kind"], c["coords"], digits)))
-    several = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join("_g", ","), F.lit("]}"))
-    made = F.when(F.size("_g") == 1, F.get("_g", 0)).when(F.size("_g") > 1, several)
-    made = feature(made, F.to_json(F.struct(*attributes)) if attributes else F.lit("{}"))
+    parts = wkt.with_components(result, geom, "_c").withColumn("_g", geometry(F.col("_c"), digits))
+    properties = F.to_json(F.struct(*[f"`{c}`" for c in attributes]), {"ignoreNullFields": "false"}) if attributes else F.lit("{}")
     # rows without a geometry have no feature; exploding drops them without a filter, which would parse the text once more
-    return parts.select(F.explode(F.array_compact(F.array(made))).alias("feature"))
+    return parts.select(F.explode(F.array_compact(F.array(feature(F.col("_g"), properties)))).alias("feature"))
 
 
 def write_geojson(result: DataFrame, path: str) -> None:
