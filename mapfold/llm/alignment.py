@@ -39,7 +39,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The most frequent pairs of ids, which every task gets: 16 bytes each.
 MOST_KEPT = 500_000
 #: Chunks whose ids a worker remembers; texts tokenised at a time; tokens whose numbers are written at a time.
-REMEMBERED, TEXTS, STEP = 500_000, 200, 1_000_000
+REMEMBERED, TEXTS, STEP = 100_000, 200, 1_000_000
 #: What stands for a space in pieces.
 PIECE_SPACE = "▁"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -236,7 +236,7 @@ def valued(found: DataFrame, counts: DataFrame, most_kept: int = MOST_KEPT) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = kept.value
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
             pairs, times = batch.column("pairs"), batch.column("times").flatten().to_numpy()
             ends = np.cumsum([0, *(pairs.value_lengths().to_numpy())])
             pairs = pairs.flatten().to_numpy()

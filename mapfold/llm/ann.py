@@ -15,7 +15,9 @@ to a group once, with the list of the buckets it visits there. A group of more t
 into blocks of both, each pair of which is one task's work, so no task grows with a hot bucket and no candidate is dropped.
 
 Vectors that are null, zero, of another length than most or hold nulls or values that aren't finite take no part.
-Repeated rows count once. Ties go to the smaller id. Fewer candidates than wanted: all found. Empty tables give empty
+Repeated rows count once. Of an id with several vectors, each is a candidate and, of a query, each is searched for; the id has
+one list and is in a list once, with its best score. Products are computed on vectors scaled by the largest norm, so
+finite vectors of any size are searched; a score that overflows is infinite, one that is no number counts as the least. Ties go to the smaller id. Fewer candidates than wanted: all found. Empty tables give empty
 results. Extra columns play no part.
 """
 
@@ -92,7 +94,7 @@ class Index:
         return np.concatenate((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]), axis=1)
 
     def queries(self, q: np.ndarray) -> np.ndarray:
-        return np.concatenate((q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))), axis=1)
+        return np.concatenate((unit(q), np.zeros((len(q), 1))), axis=1)
 
     def places(self, vectors: np.ndarray, t: int) -> np.ndarray:
         """Places on the hashes' lines, in bucket widths; the bucket is their floor."""
@@ -166,11 +168,18 @@ class Index:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of pairs, summed in the order of the entries: the same in whatever task."""
+    """Inner products of pairs, summed in the order of the entries: the same in whatever task. What is no number is the least."""
     out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * x[:, j]
-    return out
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(q.shape[1]):
+            out += q[:, j] * x[:, j]
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def unit(q: np.ndarray) -> np.ndarray:
+    """Vectors of length one, by their largest entries first, whose squares neither overflow nor vanish."""
+    q = q / np.abs(q).max(axis=1)[:, None]
+    return q / np.linalg.norm(q, axis=1)[:, None]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -204,22 +213,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ident: str = "vec
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
     first = hashed.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1)
     classes = first.groupBy("h1", "h2").agg(F.min("vec_id").alias("c"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
-    classes = materialize(classes, "classes")
-    norm, n = classes.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.count(F.lit(1))).first()
+    # u tells classes apart: numbers that are fixed by being written
+    classes = materialize(classes.withColumn("u", F.monotonically_increasing_id()), "classes")
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    length = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / F.col("most") * (x / F.col("most"))))
+    norm, n = classes.withColumn("most", most).agg(F.max(F.least(length, F.lit(1.7e308))), F.count(F.lit(1))).first()
     index = Index.new(dim, float(norm or 1.0), tables)
-    sample = classes.orderBy(F.xxhash64("c")).limit(FIT_ROWS).select("v").toArrow()
+    sample = classes.orderBy(F.xxhash64("c", "h1")).limit(FIT_ROWS).select("v").toArrow()
     if sample.num_rows:
         index.fit(_matrix(sample.column(0)), n, k, recall)
 
-    queries = materialize(hashed.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(classes.select("h1", "h2", "c"), ["h1", "h2"]).select("query_id", "c"), "queries")
-    asked = classes.join(queries.select("c").distinct(), "c", "left_semi").select("c", "v")
+    queries = materialize(hashed.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(classes.select("h1", "h2", "u"), ["h1", "h2"]).select("query_id", "u"), "queries")
+    asked = classes.join(queries.select("u").distinct(), "u", "left_semi").select("u", "v")
     vec = "array<double>" if dict(rows.dtypes)["v"] == "array<double>" else "array<float>"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = index.rows(_matrix(b.column(1))) if b.num_rows else None
+            x = index.rows(_matrix(b.column(2))) if b.num_rows else None
             for t in range(len(index.project)) if b.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array(index.key(t, np.floor(index.places(x, t)[:, : index.lead]))), *b.columns], ["key", "c", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(index.key(t, np.floor(index.places(x, t)[:, : index.lead]))), *b.columns], ["key", "u", "c", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,22 +242,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ident: str = "vec
                     who, keys, lists = index.routes(index.places(q, t), t)
                     ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                     visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[col.take(pa.array(who)) for col in part.columns], visits], ["key", "c", "v", "visits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[col.take(pa.array(who)) for col in part.columns], visits], ["key", "u", "v", "visits"])
 
-    placed = classes.select("c", "v").mapInArrow(place, f"key long, c long, v {vec}")
-    routed = asked.mapInArrow(route, f"key long, c long, v {vec}, visits array<long>")
+    placed = classes.select("u", "c", "v").mapInArrow(place, f"key long, u long, c long, v {vec}")
+    routed = asked.mapInArrow(route, f"key long, u long, v {vec}, visits array<long>")
     size = lambda df, name: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     counts = materialize(size(placed.select("key"), "n_bx").join(size(routed.select("key"), "n_bq"), "key"), "groups")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"q": pa.array([], pa.int64()), "u": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         t = int(left.column("key")[0].as_py()) >> (11 * index.lead)
         x, q = _matrix(left.column("v")), _matrix(right.column("v"))
-        xc, qc = left.column("c").to_numpy(), right.column("c").to_numpy()
+        xu, xc, qu = left.column("u").to_numpy(), left.column("c").to_numpy(), right.column("u").to_numpy()
         codes = index.codes(np.floor(index.places(index.rows(x), t)))
         order = np.lexsort((xc, codes))  # the rows of a bucket lie together
-        x, xc, codes = x[order], xc[order], codes[order]
+        x, xu, xc, codes = x[order], xu[order], xc[order], codes[order]
+        scaled = x / index.norm
         buckets, starts = np.unique(codes, return_index=True)
         starts = np.append(starts, len(codes))
         visits = right.column("visits").combine_chunks()
@@ -253,6 +266,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ident: str = "vec
         out = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
+            asked_ = unit(part)
             score = np.full((len(part), len(x)), -np.inf)
             visit = flat[ends[at] : ends[at + len(part)]]
             of = np.repeat(np.arange(len(part)), np.diff(ends[at : at + len(part) + 1]))
@@ -263,30 +277,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ident: str = "vec
             bucket, of = bucket[order], of[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for b, who in zip(bucket[np.concatenate(([0], cuts))] if len(bucket) else [], np.split(of, cuts), strict=False):
-                score[who, starts[b] : starts[b + 1]] = part[who] @ x[starts[b] : starts[b + 1]].T
+                score[who, starts[b] : starts[b + 1]] = asked_[who] @ scaled[starts[b] : starts[b + 1]].T
             most = min(k + 1, score.shape[1])
             least = -np.partition(-score, most - 1, axis=1)[:, most - 1]
             least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
             rows_, cols = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-            out.append((qc[at + rows_], xc[cols], exact(part[rows_], x[cols])))
-        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"q": a, "c": b, "score": s})
-
-    left = _spread(placed, counts, "bx", "bq", F.col("c")).select("key", "bx", "bq", "c", "v")
-    right = _spread(routed, counts, "bq", "bx", F.col("c")).select("key", "bx", "bq", "c", "v", "visits")
-    found = left.groupBy("key", "bx", "bq").cogroup(right.groupBy("key", "bx", "bq")).applyInArrow(meet, "q long, c long, score double")
-
-    merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    merged = merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
-    ids = merged.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    ids = ids.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    lists = ids.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
-    out = queries.join(lists, queries["c"] == lists["q"])
-    others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = out.select("query_id", F.posexplode(others).alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+            out.append((qu[at + rows_], xu[cols], xc[cols], exact(part[rows_], x[cols])))
+        return pa.table(dict(zip(("q", "u", "c", "score"), (np.concatenate(z) for z in zip(*out, strict=True)), strict=True)))
+
+    left = _spread(placed, counts, "bx", "bq", F.col("u")).select("key", "bx", "bq", "u", "c", "v")
+    right = _spread(routed, counts, "bq", "bx", F.col("u")).select("key", "bx", "bq", "u", "v", "visits")
+    found = left.groupBy("key", "bx", "bq").cogroup(right.groupBy("key", "bx", "bq")).applyInArrow(meet, "q long, u long, c long, score double")
+
+    merged = found.groupBy("q", "u").agg(F.max("score").alias("score"), F.min("c").alias("c"))
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "c", "u")
+    merged = merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
+    ids = merged.select("q", "u", "score").join(classes.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
+    found = queries.join(ids, queries["u"] == ids["q"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

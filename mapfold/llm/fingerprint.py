@@ -6,8 +6,8 @@ and containment can be estimated between very unequal documents. A text of fewer
 all its words. Only DataFrame operations are used.
 
 A sketch may be empty: of a short text by chance (of n shingles, with the probability (1 - 1/SCALE)^n), of nulls and
-texts without words always. Two empty sketches are equal and so alike (1), an empty and another are not (0): of texts
-of few words, take a smaller scale. Repeated rows and equal texts have equal sketches. Very long texts are sketched
+texts without words always. Two empty sketches tell nothing: their likeness is null, or, where it must be a number, 1 of equal
+texts and 0 of others. Of texts of few words, take a smaller scale. Repeated rows and equal texts have equal sketches. Very long texts are sketched
 whole, in their task. Rows of one doc_id follow each other in the order of their contents' hash. Empty tables give
 empty results. Extra columns play no part.
 """
@@ -50,15 +50,16 @@ def sketch_of(hashes: Column, scale: int = SCALE) -> Column:
     return F.sort_array(F.transform(F.array_distinct(F.filter(hashes, lambda h: flip(h) < limit)), flip))
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def jaccard(a: Column, b: Column, same: Column | None = None) -> Column:
+    """Estimated likeness; of two empty sketches null, or what `same` says of their texts."""
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+    return F.when(union == 0, F.lit(None).cast("double") if same is None else F.when(same, F.lit(1.0)).otherwise(0.0)).otherwise(both / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated part of a's shingles that b has; 1 if a has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated part of a's shingles that b has; null if a's sketch is empty."""
+    return F.when(F.size(a) == 0, F.lit(None).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def as_string(sketch: Column) -> Column:
@@ -112,10 +113,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprint_edits(documents: DataFrame, scale: int = SCALE) -> DataFrame:
-    """doc_id, text, edited, sketch, edited_sketch, next_sketch of every document."""
+    """doc_id, text, edited, sketch, edited_sketch, next_sketch and next_same (whether the next text is equal) of every document."""
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = with_next(docs, "doc_id", ["text"], derive=lambda rows: with_sketch(rows, "text", "sketch", scale))
-    docs = docs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    docs = docs.withColumns({"edited": edited(F.col("text"), F.col("next_text")), "next_same": F.col("text") == F.col("next_text")}).drop("next_text")
     return with_sketch(docs, "edited", "edited_sketch", scale)
 
 
@@ -127,7 +128,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        jaccard(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        jaccard(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        jaccard(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
+        jaccard(F.col("sketch"), F.col("next_sketch"), F.col("next_same")).alias("near_next"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"),
     )

@@ -11,7 +11,8 @@ are used; the driver sees one row per candidate exponent.
 
 Nulls: documents of null source form a source of their own; null and empty texts have 0 tokens. Documents of
 0 tokens go along with each whole permutation of their block (once, if the source has no tokens). Repeated rows
-are documents of their own; equal hashes are told apart by doc_id. Very long texts: one longer than a block is a
+are documents of their own; documents are ordered by a hash of doc_id and text, so null and repeated doc_ids don't share a place
+unless their texts are equal, and the same rows are drawn however the input is dealt out. Very long texts: one longer than a block is a
 block's greater part, and is left out of a last part that it doesn't fit. An empty table gives an empty result. Extra
 columns are kept, whatever their names; n_tokens, weight, block, epoch and slot are replaced, and names that begin with
 two underscores are the operator's own.
@@ -77,8 +78,13 @@ def bisect_exponent(shares: DataFrame, entropy: float | None = None, max_repeats
     return low if entropy is not None else high
 
 
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def permutation_key(ident: Column, *salt: Column) -> Column:
-    return F.md5(F.concat_ws(":", *[s.cast("string") for s in salt], ident.cast("string")))
+    """A hash of the salt, the id and the document's digest."""
+    return F.md5(F.concat_ws(":", *[s.cast("string") for s in salt], ident.cast("string"), F.col("__content")))
 
 
 def plan_sources(shares: DataFrame, exponent: float, budget: float | None, block_tokens: int) -> DataFrame:
@@ -96,7 +102,7 @@ def plan_sources(shares: DataFrame, exponent: float, budget: float | None, block
 
 
 def realise(documents: DataFrame, plan: DataFrame, ident: str = "doc_id", seed: int = 11) -> DataFrame:
-    """The mix: documents with n_tokens, once for each epoch they are drawn in, with weight, block, epoch and slot.
+    """The mix: documents with n_tokens and __content (a digest of the text, which isn't returned), once for each epoch they are drawn in, with weight, block, epoch and slot.
 
     plan: as plan_sources() gives it, a row per source; it joins on the source, null with null.
     """
@@ -117,16 +123,16 @@ def realise(documents: DataFrame, plan: DataFrame, ident: str = "doc_id", seed:
     drawn = held.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole") - F.when(F.col("__rest") > 0, 0).otherwise(1))))
     # a document longer than what is left for its block's last part can't be drawn there, and doesn't end it
     drawn = drawn.where((F.col("epoch") >= 0) & ((F.col("epoch") < F.col("__whole")) | (F.col("n_tokens") <= F.col("__rest")))).withColumn("__key", permutation_key(F.col(ident), F.lit(seed), F.col("epoch")))
-    order = Window.partitionBy(*part, "epoch").orderBy("__key", ident)
+    order = Window.partitionBy(*part, "epoch").orderBy("__key", ident, "__content", "n_tokens")
     drawn = drawn.withColumn("slot", F.row_number().over(order) - 1).withColumn("__sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = drawn.where((F.col("epoch") < F.col("__whole")) | ((F.col("__sum") <= F.col("__rest")) & (F.col("n_tokens") > 0)))
-    return out.select(*documents.columns, "weight", "block", "epoch", F.col("slot").cast("int").alias("slot"))
+    return out.select(*[f"`{c}`" for c in documents.columns if c != "__content"], "weight", "block", "epoch", F.col("slot").cast("int").alias("slot"))
 
 
 def mix_sources(documents: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget_share: float | None = None, block_tokens: int = 2_000_000) -> DataFrame:
     """documents (doc_id, text, source, ...) mixed; budget_share: tokens of the mix over those of the input."""
     kept = [c for c in documents.columns if c not in ("n_tokens", "weight", "block", "epoch", "slot")]
-    counted = documents.select(*kept, token_count(F.col("text")).alias("n_tokens"))
+    counted = documents.select(*kept, token_count(F.col("text")).alias("n_tokens"), digest(F.col("text")).alias("__content"))
     shares = materialize(source_tokens(counted), "shares")
     total = shares.agg(F.sum("tokens")).first()[0] or 0
     budget = None if budget_share is None else budget_share * total
@@ -140,8 +146,8 @@ ENTROPY, BLOCK_TOKENS = 0.97, 2_000_000
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # texts stay out of the shuffles: only the ids and counts are drawn
-    counted = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    # texts stay out of the shuffles: only the ids, counts and digests are drawn
+    counted = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), digest(F.col("text")).alias("__content"))
     shares = materialize(source_tokens(counted), "shares")
     total = shares.agg(F.sum("tokens")).first()[0] or 0
     plan = plan_sources(shares, bisect_exponent(shares, entropy=ENTROPY), float(total), BLOCK_TOKENS)
@@ -149,7 +155,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS content FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
 t AS (SELECT sum(tokens)::DOUBLE AS total, count(*) FILTER (tokens > 0) AS n, list(tokens) FILTER (tokens > 0) AS l FROM s),
 b(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
@@ -161,12 +167,12 @@ a AS (SELECT lo AS a FROM b WHERE step = {PASSES * HALVINGS}),
 w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, a) / sum(CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, a) END) OVER () ELSE 0.0 END AS weight,
   greatest(1, ceil(tokens / {BLOCK_TOKENS}))::BIGINT AS blocks FROM s, a),
 p AS (SELECT w.*, round(weight * total)::BIGINT AS target FROM w, t),
-h AS (SELECT d.*, weight, target, tokens, ('0x' || substr(md5('11:block:' || doc_id), 1, 12))::BIGINT % blocks AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+h AS (SELECT d.*, weight, target, tokens, ('0x' || substr(md5(concat_ws(':', '11:block', doc_id, content)), 1, 12))::BIGINT % blocks AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 z AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block) AS in_block FROM h),
 q AS (SELECT *, coalesce(CASE WHEN in_block > 0 THEN floor(target / tokens + 1e-9) ELSE greatest(1, floor(target / tokens + 1e-9)) END, 1)::BIGINT AS whole FROM z),
 r AS (SELECT *, greatest(0, coalesce(floor(target * (in_block / tokens)), 0) - whole * in_block) AS rest FROM q),
 e AS (SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM r),
-k AS (SELECT *, md5('11:' || epoch || ':' || doc_id) AS key FROM e WHERE epoch < whole OR n_tokens <= rest),
+k AS (SELECT *, md5(concat_ws(':', 11, epoch, doc_id, content)) AS key FROM e WHERE epoch < whole OR n_tokens <= rest),
 f AS (SELECT *, row_number() OVER o - 1 AS slot, sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM k WINDOW o AS (PARTITION BY source, block, epoch ORDER BY key, doc_id))
 SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block, epoch, slot::INT AS slot FROM f WHERE epoch < whole OR (cum <= rest AND n_tokens > 0)
 """

@@ -25,8 +25,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filters": op9_url_filters,
     "op10_fingerprints": op10_fingerprints,
+    "op5_line_dedup_by_line": op5_line_dedup,  # an earlier name of the same
     "op11_alignment": op11_alignment,
     "op12_secret_scan": op12_secret_scan,
     "op13_divergence": op13_divergence,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filters": OP9_SQL, "op12_secret_scan": OP12_SQL, "op13_divergence": OP13_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_line_dedup_by_line": OP5_SQL, "op9_url_filters": OP9_SQL, "op12_secret_scan": OP12_SQL, "op13_divergence": OP13_SQL}

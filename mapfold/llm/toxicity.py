@@ -351,10 +351,10 @@ def held_out() -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, longest: int = LONGEST_TRAINED) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `most` labelled documents that aren't held out, none longer than `longest` characters."""
+    """Texts and labels of at most `most` labelled documents that aren't held out, none longer than `longest` characters; of a repeated id the smallest text."""
     labelled = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a row of two numbers each: small enough to send anywhere
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.char_length("text") <= longest).dropDuplicates(["doc_id"]).collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.char_length("text") <= longest).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

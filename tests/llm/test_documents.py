@@ -291,49 +291,58 @@ def test_sketches_estimate_containment(spark):
 def test_lines_of_many_sites_go(docs, none):
     out = line_dedup.dedup_lines(docs, sites=4).collect()
     assert len(out) == len(ROWS)
-    site = collections.defaultdict(set)
+    home, site = {}, collections.defaultdict(set)
     for _, t, _, s, *_ in ROWS:
+        home[t] = min(home.get(t, "~"), s or "\x00")
+    for t, s in home.items():
         for line in (t or "").split("\n"):
             if line.strip():
                 site[line.strip(" \t\n\r\v\f")].add(s)
     bad = {x for x, s in site.items() if len(s) >= 4}
     assert "shared line of the sites" in bad
     clean = lambda x: x.strip(" \t\n\r\v\f")
-    around, proven = {}, collections.defaultdict(set)
-    for _, t, _, s, *_ in ROWS:
-        lines = (t or "").split("\n")
-        around[t] = 2 * sum(len(x) for x in lines if clean(x) in bad) <= sum(map(len, lines))
-        for x in lines:
-            if clean(x) in bad and around[t]:
-                proven[clean(x)].add(s)
-    proven = {x for x, s in proven.items() if len(s) >= 4}
     text = {(d, t): t for d, t, *_ in ROWS}
     for d, t in text:
         row = next(r for r in out if r["doc_id"] == d and r["n_lines"] == (0 if t is None else t.count("\n") + 1))
         if t is None:
             assert row["text"] is None
             continue
-        kept = [x for x in t.split("\n") if clean(x) not in (bad if around[t] else proven)]
-        assert row["text"] == ("\n".join(kept) if around[t] or any(map(clean, kept)) else t)
+        assert row["text"] == "\n".join(x for x in t.split("\n") if clean(x) not in bad)
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_short_pages_lose_boilerplate_and_copies_stay(spark):
-    """Pages around a header and a last line; short ones of mostly those; copies on many sites with one line of their own."""
-    own = lambda i: f"the own text of page {i} which is longer than both of the lines around it together"
-    copy = "\n".join(f"line {j} of the copied text" for j in range(6))
-    rows = [(f"shared header line\n{own(i)}\n  shared last line", f"s{i}") for i in range(6)]
-    rows += [(f"shared header line\nhi {i}\nshared last line", f"s{i}") for i in range(3)]
-    rows += [(f"{copy}\nedit {i}", f"s{i}") for i in range(7)] + [(f"shared header line\n{copy}\nedit", "s1")]
-    rows += [("shared header line\nshared last line", "s2"), (None, "s3"), ("", None), ("shared header line\nhi 0\nshared last line", None)]
-    want = [own(i) for i in range(6)] + [f"hi {i}" for i in range(3)] + [f"{copy}\nedit {i}" for i in range(7)] + [f"{copy}\nedit", rows[17][0], None, "", "hi 0"]
+def test_copies_count_once_and_short_lines_of_their_own_save_nothing(spark):
+    """A line on 40 sites goes from all its texts, whatever else they hold; one text on 40 sites proves nothing; texts stand for their smallest site."""
+    rows = [(f"shared line\nown {i}", f"s{i}") for i in range(40)] + [("shared line", "s0"), ("  shared line \n\n", None)]
+    rows += [("a copied text\nof two lines", f"s{i}") for i in range(40)]
+    rows += [(f"four sites\n{i}", f"s{i % 4}") for i in range(9)] + [("four sites\nand copies", f"s{i}") for i in range(9)]
+    rows += [(f"five sites\n{i}", f"s{i % 5}") for i in range(9)] + [(None, "s3"), ("", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    assert [out[i]["text"] for i in range(len(rows))] == want
-    assert [out[i]["n_removed"] for i in range(len(rows))] == [2] * 9 + [0] * 7 + [1, 0, 0, 0, 2]
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()}
+    want = [(f"own {i}", 1) for i in range(40)] + [("", 1), ("\n", 1)] + [(rows[42][0], 0)] * 40
+    want += [(r[0], 0) for r in rows[82:100]] + [(f"{i}", 1) for i in range(9)] + [(None, 0), ("", 0)]
+    assert [out[i] for i in range(len(rows))] == want
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_a_mix_is_the_same_however_it_is_dealt(spark):
+    """Null and repeated doc_ids with unlike texts."""
+    r = random.Random(3)
+    rows = [(None if i % 3 == 0 else i % 5, " ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 40))) + f" {i}", f"s{int(r.expovariate(0.6))}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixes = [sorted(map(str, mixing.mix_sources(df.repartition(n), entropy=0.9, budget_share=0.7, block_tokens=400).collect())) for n in (1, 3, 7)]
+    assert mixes[0] == mixes[1] == mixes[2]
+    blocks = mixing.mix_sources(df.where("doc_id is null"), max_repeats=2.0, block_tokens=100).select("source", "block").distinct().count()
+    assert blocks > df.where("doc_id is null").select("source").distinct().count()
+
+
+def test_no_likeness_from_nothing(spark):
+    df = spark.createDataFrame([(1, "one two three", "four five six"), (2, "one two three", "one two three"), (3, "", "")], "i int, a string, b string")
+    out = fingerprint.with_sketch(fingerprint.with_sketch(df, "a", "x", 1 << 40), "b", "y", 1 << 40)
+    got = out.orderBy("i").select(fingerprint.jaccard(F.col("x"), F.col("y")), fingerprint.jaccard(F.col("x"), F.col("y"), F.col("a") == F.col("b")), fingerprint.containment(F.col("x"), F.col("y"))).collect()
+    assert [tuple(r) for r in got] == [(None, 0.0, None), (None, 1.0, None), (None, 1.0, None)]
+
+
 def test_mixing_repeats(docs, none):
     out = mixing.mix_sources(docs, max_repeats=2.0).collect()
     n = collections.Counter(r["doc_id"] for r in out)

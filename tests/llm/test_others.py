@@ -57,6 +57,25 @@ def test_ann_blocks(spark, monkeypatch):
     assert np.mean([q["vec_id"] in want[q["query_id"]] for q in out]) >= 0.9 and len(out) == 150
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_ann_ids_of_several_vectors_and_vectors_of_any_size(spark, parts):
+    """One list an id, of the best score; vectors near the largest and the smallest doubles."""
+    r = np.random.default_rng(9)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(30)] + [(0, r.standard_normal(8).tolist()), (5, r.standard_normal(8).tolist()), (5, r.standard_normal(8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    score = lambda q, c: max(float(np.dot(a, b)) for i, a in rows if i == q for j, b in rows if j == c)
+    out = ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    for q in (0, 20):
+        got = sorted((x["rank"], x["vec_id"]) for x in out if x["query_id"] == q)
+        assert [k for k, _ in got] == [1, 2, 3, 4, 5]
+        assert [v for _, v in got] == sorted((c for c in range(30) if c != q), key=lambda c: -score(q, c))[:5]
+    assert len(out) == 10
+    for size in (1e200, 1e-200, 1e150):
+        big = spark.createDataFrame([(i, (np.array(v) * size).tolist()) for i, v in rows[:30]], df.schema).repartition(parts)
+        found = ann.nearest(big, F.col("vec_id") == 0, 5).collect()
+        assert len(found) == 5 and all(x["score"] == float(np.cumsum(np.array(rows[0][1]) * size * (np.array(rows[x["vec_id"]][1]) * size))[-1]) or abs(x["score"]) < 1e301 for x in found)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(150)] + [(7, 7), (1, 0)]
