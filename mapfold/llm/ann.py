@@ -126,7 +126,7 @@ class Index:
         picked = sample[:FIT_QUERIES]
         if len(sample) <= k + 1:
             return
-        inner = picked @ sample.T
+        inner = unit(picked) @ (sample / self.norm).T
         inner[np.arange(len(picked)), np.arange(len(picked))] = -np.inf
         near = np.argsort(-inner, axis=1)[:, :k]
         x, q = self.rows(sample), self.queries(picked)

@@ -40,6 +40,11 @@ def source_tokens(documents: DataFrame, key: str = "source", tokens: str = "n_to
     return documents.groupBy(F.col(key).alias("source")).agg(F.sum(tokens).alias("tokens"))
 
 
+def exact_sum(c: Column, digits: int = 18) -> Column:
+    """The sum of doubles as decimals, which doesn't depend on the order of the rows."""
+    return F.sum(c.cast(f"decimal(38,{digits})"))
+
+
 def bisect_exponent(shares: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
     """The exponent that meets the target, over shares (source, tokens): one of entropy and max_repeats.
 
@@ -68,8 +73,9 @@ def bisect_exponent(shares: DataFrame, entropy: float | None = None, max_repeats
     for _ in range(PASSES):
         points = [low + (high - low) * i / 2**HALVINGS for i in range(1, 2**HALVINGS)]
         at = used.select(log_share.alias("l"), F.posexplode(F.array(*map(F.lit, points))).alias("k", "a"))
-        found = at.groupBy("k").agg(F.sum(F.exp(F.col("a") * F.col("l"))).alias("z"), F.sum(F.exp(F.col("a") * F.col("l")) * F.col("l")).alias("e")).collect()
-        met = {r["k"] + 1: up(r["z"], r["e"], points[r["k"]]) for r in found}
+        power = F.exp(F.col("a") * F.col("l"))
+        found = at.groupBy("k").agg(exact_sum(power).alias("z"), exact_sum(power * F.col("l")).alias("e")).collect()
+        met = {r["k"] + 1: up(float(r["z"]), float(r["e"]), points[r["k"]]) for r in found}
         left, right = 0, 2**HALVINGS
         for _ in range(HALVINGS):
             mid = (left + right) // 2
@@ -93,7 +99,7 @@ def plan_sources(shares: DataFrame, exponent: float, budget: float | None, block
     Without a budget, the mix is as large as it takes for every source to be seen at least once.
     """
     used = shares.where("tokens > 0")
-    z, total = used.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(exponent))), F.sum("tokens")).first()
+    z = used.agg(exact_sum(F.pow(F.col("tokens").cast("double"), F.lit(exponent)), 12)).first()[0]
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(exponent)) / F.lit(float(z or 1))).otherwise(F.lit(0.0))
     out = shares.withColumn("weight", weight)
     if budget is None:
