@@ -43,6 +43,18 @@ def sub_cell(v: Column, origin: Column | float) -> Column:
     return F.floor((v - cell_start(cell(v, origin), origin)) / F.lit(SUB)).cast("int")
 
 
+def morton(x: Column, y: Column, low: float = -20037508.342789244, side: float = 40075016.685578488) -> Column:
+    """A place's number along a Z-shaped curve through 2^20 x 2^20 cells: places whose numbers are near lie near each other, mostly. Null has none."""
+
+    def bits(v: Column) -> Column:
+        v = F.when(v.isNotNull(), F.least(F.lit((1 << 20) - 1), F.greatest(F.lit(0), F.floor((v - F.lit(low)) / F.lit(side / (1 << 20)))))).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return bits(x).bitwiseOR(F.shiftleft(bits(y), 1))
+
+
 def with_cells(points: DataFrame, ox: float, oy: float) -> DataFrame:
     return points.withColumns({"cell_x": cell(F.col("x"), ox), "cell_y": cell(F.col("y"), oy)})
 

@@ -31,18 +31,27 @@ def project(parts: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(point, F.col(c[-1])).otherwise(e) for c, e in geometry.bbox(F.col("coords")).items()})
 
 
-def build_dictionary(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
-    """Projected components of (qid, WKT) rows: each qid once, each text decoded once.
+def build_dictionary(rows: DataFrame, qid: str = "qid", text: str = "wkt", known: DataFrame | None = None) -> DataFrame:
+    """Projected components of (qid, WKT) rows: each qid once, each text decoded once, with the text's hash (text_1, text_2).
 
     Repeated qids keep the row of smallest text, a rule that doesn't depend on arrival. Equal texts meet in a partial
     aggregation by their 128-bit hash and are decoded as one; the ids, which travel without texts, join their components.
+    Equal components share geom_id and geom_id_2, 128 bits of hash of their coordinates.
+
+    known: a dictionary made before, of the same or of other rows. Texts it has aren't decoded again: their components are taken from it.
     """
-    once = first_texts(rows, qid, text).withColumns({"_h1": F.xxhash64("wkt"), "_h2": F.xxhash64(F.lit("second"), "wkt")})
-    texts = once.groupBy("_h1", "_h2").agg(F.first("wkt").alias("wkt")).select(F.struct("_h1", "_h2").alias("h"), "wkt")
-    parts = project(decode(texts, "h", "wkt")).select(F.col("qid._h1").alias("_h1"), F.col("qid._h2").alias("_h2"), "*")
-    parts = parts.withColumn("geom_id", F.xxhash64("coords")).drop("qid")
-    out = once.select("qid", "_h1", "_h2").join(parts, ["_h1", "_h2"])
-    return out.drop("_h1", "_h2")
+    once = first_texts(rows, qid, text).withColumns({"text_1": F.xxhash64("wkt"), "text_2": F.xxhash64(F.lit("second"), "wkt")})
+    key = ["text_1", "text_2"]
+    texts = once.groupBy(*key).agg(F.first("wkt").alias("wkt"))
+    if known is not None:
+        texts = texts.join(known.select(*key).distinct(), key, "left_anti")
+    parts = project(decode(texts.select(F.struct(*key).alias("h"), "wkt"), "h", "wkt")).select(F.col("qid.text_1").alias("text_1"), F.col("qid.text_2").alias("text_2"), "*").drop("qid")
+    parts = parts.withColumns({"geom_id": F.xxhash64("coords"), "geom_id_2": F.xxhash64(F.lit("second"), "coords")})
+    if known is not None:
+        wanted = known.join(once.select(*key).distinct(), key, "left_semi")
+        own = [c for c in parts.columns if c not in (*key, "part_idx")]
+        parts = parts.unionByName(wanted.groupBy(*key, "part_idx").agg(*[F.first(c).alias(c) for c in own]))
+    return once.select("qid", *key).join(parts, key)
 
 
 def first_texts(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:

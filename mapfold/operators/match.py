@@ -25,11 +25,15 @@ def folded_points(result: DataFrame) -> DataFrame:
     return folded.withColumns(xy).where(mercator.finite(F.col("x"), F.col("y")))
 
 
+def as_components(points: DataFrame) -> DataFrame:
+    """Points (x, y) as components of their rows, with boxes."""
+    fixed = {"part_idx": F.lit(0), "kind": F.lit("POINT"), "hole": F.lit(False), "ring": F.lit(0), "poly": F.lit(0), "member": F.lit(0), "type": F.lit("POINT"), "coords": F.array(F.struct("x", "y"))}
+    return points.withColumns(fixed | {f"{m}{a}": F.col(a) for m in ("min", "max") for a in "xy"})
+
+
 def all_objects(result: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Matched components and folded points as one table (a bag)."""
-    points = folded_points(result)
-    one = points.withColumns({"part_idx": F.lit(0), "kind": F.lit("POINT"), "hole": F.lit(False), "ring": F.lit(0), "poly": F.lit(0), "member": F.lit(0), "type": F.lit("POINT"), "coords": F.array(F.struct("x", "y"))} | {f"{m}{a}": F.col(a) for m in ("min", "max") for a in "xy"})
-    return match(result, dictionary).unionByName(one, allowMissingColumns=True)
+    return match(result, dictionary).unionByName(as_components(folded_points(result)), allowMissingColumns=True)
 
 
 def count_objects(objects: DataFrame) -> DataFrame:

@@ -188,18 +188,29 @@ def colour_objects(raster: DataFrame) -> DataFrame:
     return raster.where("weight > 0").select("px", "py", *[F.lit(v).alias(c) for c, v in zip("rgb", OBJECT_RGB, strict=True)], alpha.alias("a"))
 
 
-def coarse_counts(objects: DataFrame, ox: float, oy: float) -> dict[str, DataFrame]:
-    """What coarse maps draw, whatever the view: cells (points by cell) and subs (vertices of lines by sub-cell)."""
-    lines = objects.where("kind in ('LINE', 'AREA')").select(F.col("row_id").alias("obj"), "coords")
-    return {"cells": grid.count_cells(objects.where("kind = 'POINT'").select("x", "y"), ox, oy), "subs": grid.vertex_histogram(grid.line_sub_cells_of(lines, ox, oy))}
+def levels_of(objects: DataFrame, ox: float, oy: float) -> dict[str, DataFrame]:
+    """What maps above the exact level draw, whatever the view; each level adds up to the next.
 
+    spots: (cell_x, cell_y, x, y, n), points of one place. cells: (cell_x, cell_y, n), points of a cell. subs: (cell_x, cell_y, sub_x,
+    sub_y, n), vertices of lines and areas by sub-cell. line_cells: (cell_x, cell_y, n), the same by cell.
+    """
+    points, lines = objects.where("kind = 'POINT'"), objects.where("kind in ('LINE', 'AREA')").select(F.col("row_id").alias("obj"), "coords")
+    spots = grid.with_cells(points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), ox, oy).select("cell_x", "cell_y", "x", "y", "n")
+    return {"spots": spots, "subs": grid.vertex_histogram(grid.line_sub_cells_of(lines, ox, oy)), **coarser(spots, None)}
 
-def heatmap(objects: DataFrame, view: Viewport, ox: float, oy: float, counts: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The weights of all objects in view, at the view's level of detail; counts: coarse_counts(), where they are kept."""
-    points = objects.where("kind = 'POINT'")
+
+def coarser(spots: DataFrame | None, subs: DataFrame | None) -> dict[str, DataFrame]:
+    """cells of spots and line_cells of subs."""
+    by_cell = lambda df: df.groupBy("cell_x", "cell_y").agg(F.sum("n").alias("n"))
+    return {name: by_cell(df) for name, df in (("cells", spots), ("line_cells", subs)) if df is not None}
+
+
+def heatmap(objects: DataFrame, view: Viewport, ox: float, oy: float, levels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The weights of all objects in view, at the view's level of detail; levels: levels_of(), where they are kept: then no map but an exact one reads objects."""
     if view.level == "exact":
-        return merge(points_exact(points, view), lines_exact(objects.where("kind in ('LINE', 'AREA')"), view))
-    counts = counts or coarse_counts(objects, ox, oy)
+        return merge(points_exact(objects.where("kind = 'POINT'"), view), lines_exact(objects.where("kind in ('LINE', 'AREA')"), view))
+    levels = levels or levels_of(objects, ox, oy)
     if view.level == "grid":
-        return merge(points_by_grid(points, view, ox, oy), lines_by_sub_cell(counts["subs"], view, ox, oy))
-    return merge(cells_at_corners(counts["cells"], view, ox, oy), lines_by_cell(counts["subs"], view, ox, oy))
+        return merge(weigh(view.pixels(cells_in_view(levels["spots"], view, ox, oy)), F.col("n")), lines_by_sub_cell(levels["subs"], view, ox, oy))
+    line_cells = levels.get("line_cells", levels["subs"])
+    return merge(cells_at_corners(levels["cells"], view, ox, oy), lines_by_cell(line_cells, view, ox, oy))

@@ -1,9 +1,8 @@
-"""Sources: named geometry fills, readers, counts, pages and the dictionary's cache."""
+"""Sources: named geometry fills, readers, counts, pages and fingerprints."""
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -129,21 +128,3 @@ def fingerprint(df: DataFrame) -> str:
     folders = {f.rsplit("/", 1)[0] for f in wanted}
     seen = sorted(f"{p}|{n}|{t}" for folder in folders for p, n, t in _files(spark, folder) if p in wanted or p.replace("file:", "file://", 1) in wanted)
     return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
-
-
-def save_dictionary(dictionary: DataFrame, path: str, version: str) -> None:
-    """Writes a dictionary and its version beside it."""
-    dictionary.write.mode("overwrite").parquet(f"{path}/data")
-    spark = dictionary.sparkSession
-    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
-
-
-def load_dictionary(spark: SparkSession, path: str, version: str) -> DataFrame | None:
-    """The saved dictionary if there is one of that version."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    meta = spark.read.text(f"{path}/_meta").first()
-    if not meta or json.loads(meta[0])["version"] != version:
-        return None
-    return spark.read.parquet(f"{path}/data")

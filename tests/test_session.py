@@ -80,8 +80,8 @@ def test_coarse_maps_read_kept_counts(engine):
     s = engine.query("SELECT row_id, wkt FROM found WHERE row_id < 500")["qid"]
     view = raster.Viewport(-20037509.0, -15538712.0, 20037509.0, 15538712.0, 400, 300)
     first = {tuple(r) for r in engine.raster(s, view).collect()}
-    kept = engine.counts(s)
-    assert {tuple(r) for r in engine.raster(s, view).collect()} == first and engine.counts(s) is kept
+    kept = engine.levels(s)
+    assert {tuple(r) for r in engine.raster(s, view).collect()} == first and engine.levels(s) is kept
     ox, oy = engine.get(s).box[:2]
     fresh = raster.heatmap(engine.get(s).objects, view, ox, oy)
     assert {tuple(r) for r in raster.heatmap(engine.get(s).objects, view, ox, oy, kept).collect()} == {tuple(r) for r in fresh.collect()}
