@@ -1,14 +1,14 @@
-"""Planar geometry on array<struct<x, y>> columns: built-in expressions, but for simplification."""
+"""Planar geometry on array<struct<x, y>> columns: built-in expressions, but for the weights that simplification filters by."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
-COORDS = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 #: Distances to lines under this are none.
 TOUCH = 0.0001
 #: Fixed values of the spiral: places of the first ring, and growth of each further one.
@@ -135,36 +135,47 @@ def spiral(x: Column, y: Column, num: Column, tot: Column, res: Column) -> tuple
     return F.when(apart, x + radius * F.sin(angle)).otherwise(x), F.when(apart, y + radius * F.cos(angle)).otherwise(y)
 
 
-def douglas_peucker(points: np.ndarray, eps: float) -> np.ndarray:
-    """Mask of the vertices kept: ends, and those further than eps from the chord of what they split."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(points) - 1)]
+def douglas_peucker_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each vertex of a line, the tolerance from which simplification leaves it out: the vertices of weight over eps are Douglas and Peucker's line.
+
+    The vertex furthest from the chord of a stretch splits it, at whatever tolerance; it is kept if it and all splits before it are further off
+    than the tolerance. Ends always stay.
+    """
+    weights = np.full(len(x), np.inf)
+    todo = [(0, len(x) - 1, np.inf)]
     while todo:
-        a, b = todo.pop()
+        a, b, most = todo.pop()
         if b - a < 2:
             continue
-        p, q, inner = points[a], points[b], points[a + 1 : b]
-        chord = q - p
-        size = chord @ chord
-        t = np.clip((inner - p) @ chord / size, 0, 1) if size else np.zeros(len(inner))
-        far = np.hypot(*(inner - p - t[:, None] * chord).T)
+        dx, dy, u, v = x[b] - x[a], y[b] - y[a], x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        size = dx * dx + dy * dy
+        t = np.clip((u * dx + v * dy) / size, 0, 1) if size else 0.0
+        far = np.hypot(u - t * dx, v - t * dy)
         i = int(far.argmax())
-        if far[i] > eps:
-            keep[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return keep
+        most = min(most, far[i])
+        weights[a + 1 + i] = most
+        todo += [(a, a + 1 + i, most), (a + 1 + i, b, most)]
+    return weights
 
 
-def simplify(coords: Column, eps: Column | float) -> Column:
-    """Douglas-Peucker simplification; recursive, so it runs on Arrow batches in Python."""
+@F.arrow_udf(ArrayType(DoubleType()))
+def vertex_weights(lines: pa.Array) -> pa.Array:
+    """Weights of lines' vertices (array<struct<x, y>>), null for null: made once, they make any simplification a filter."""
+    vertices = lines.flatten()
+    x, y = (vertices.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+    ends = np.cumsum([0, *lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+    made = [douglas_peucker_weights(x[a:b], y[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0), *made])))
+    return pc.if_else(lines.is_null(), pa.scalar(None, out.type), out) if lines.null_count else out
 
-    @F.pandas_udf(COORDS)
-    def of(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
-        out = []
-        for line, e in zip(lines, tolerance, strict=True):
-            xy = np.array([(c["x"], c["y"]) for c in line] if line is not None else [], float).reshape(-1, 2)
-            out.append(list(line) if len(xy) < 3 else [c for c, k in zip(line, douglas_peucker(xy, e), strict=True) if k])
-        return pd.Series(out)
 
-    return of(coords, eps if isinstance(eps, Column) else F.lit(float(eps)))
+def by_weights(coords: Column, weights: Column, eps: Column | float) -> Column:
+    """The vertices of a weight over eps; all of them, where there are no weights."""
+    eps = eps if isinstance(eps, Column) else F.lit(float(eps))
+    kept = F.transform(F.filter(F.zip_with(coords, weights, lambda c, w: F.struct(c.alias("c"), w.alias("w"))), lambda z: z["w"] > eps), lambda z: z["c"])
+    return F.when(weights.isNull(), coords).otherwise(kept)
+
+
+def simplify(coords: Column, eps: Column | float) -> Column:
+    """Douglas-Peucker simplification of lines whose weights aren't kept: these are made in Python, on Arrow arrays."""
+    return by_weights(coords, vertex_weights(coords), eps)

@@ -6,7 +6,7 @@ can't be read keeps one component of kind NONE. Vertices that don't project to f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, mercator, wkt
@@ -31,6 +31,11 @@ def project(parts: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(point, F.col(c[-1])).otherwise(e) for c, e in geometry.bbox(F.col("coords")).items()})
 
 
+def weights_of() -> Column:
+    """Weights of the vertices of lines and rings, by which clicks simplify them."""
+    return geometry.vertex_weights(F.when(F.col("kind").isin("LINE", "AREA"), F.col("coords")))
+
+
 def build_dictionary(rows: DataFrame, qid: str = "qid", text: str = "wkt", known: DataFrame | None = None) -> DataFrame:
     """Projected components of (qid, WKT) rows: each qid once, each text decoded once, with the text's hash (text_1, text_2).
 
@@ -46,7 +51,7 @@ def build_dictionary(rows: DataFrame, qid: str = "qid", text: str = "wkt", known
     if known is not None:
         texts = texts.join(known.select(*key).distinct(), key, "left_anti")
     parts = project(decode(texts.select(F.struct(*key).alias("h"), "wkt"), "h", "wkt")).select(F.col("qid.text_1").alias("text_1"), F.col("qid.text_2").alias("text_2"), "*").drop("qid")
-    parts = parts.withColumns({"geom_id": F.xxhash64("coords"), "geom_id_2": F.xxhash64(F.lit("second"), "coords")})
+    parts = parts.withColumns({"weights": weights_of(), "geom_id": F.xxhash64("coords"), "geom_id_2": F.xxhash64(F.lit("second"), "coords")})
     if known is not None:
         wanted = known.join(once.select(*key).distinct(), key, "left_semi")
         own = [c for c in parts.columns if c not in (*key, "part_idx")]

@@ -21,16 +21,19 @@ def near_points(points: DataFrame, x: float, y: float, rad: float) -> DataFrame:
     return points.where(inside).select("row_id", d.alias("d"), px.alias("hit_x"), py.alias("hit_y"), F.lit(POINT_RANK).alias("kind_rank")).where(F.col("d") < rad)
 
 
+def line_click(kind: Column, coords: Column, x: Column, y: Column, rad: float) -> Column:
+    """struct<d, x, y>: how far a line or ring is from a click, and where it is hit. Inside an area it is a quarter of rad, however near its border is, and hits the click itself."""
+    inside = F.coalesce((kind == "AREA") & geometry.contains(coords, x, y), F.lit(False))
+    foot = geometry.project_on(x, y, coords)
+    edge = F.when(foot["d"] < geometry.TOUCH, F.lit(0.0)).otherwise(foot["d"])
+    return F.when(inside, F.struct(F.lit(rad / 4).alias("d"), x.alias("x"), y.alias("y"))).otherwise(F.struct(edge.alias("d"), foot["x"].alias("x"), foot["y"].alias("y")))
+
+
 def near_lines(lines: DataFrame, x: float, y: float, rad: float) -> DataFrame:
-    """The same of lines and areas: inside an area counts as a quarter of rad, however near its border is, and hits the click itself."""
-    x_, y_ = F.lit(float(x)), F.lit(float(y))
+    """The same of lines and areas, by line_click()."""
     near = lines.where((F.col("minx") <= x + rad) & (F.col("maxx") >= x - rad) & (F.col("miny") <= y + rad) & (F.col("maxy") >= y - rad))
-    inside = (F.col("kind") == "AREA") & geometry.contains(F.col("coords"), x_, y_)
-    placed = near.withColumns({"_in": inside, "_foot": geometry.project_on(x_, y_, F.col("coords"))})
-    edge = F.when(F.col("_foot.d") < geometry.TOUCH, F.lit(0.0)).otherwise(F.col("_foot.d"))
-    d = F.when(F.col("_in"), F.lit(rad / 4)).otherwise(edge)
-    hit = lambda a, own: F.when(F.col("_in"), own).otherwise(F.col(f"_foot.{a}"))
-    return placed.select("row_id", d.alias("d"), hit("x", x_).alias("hit_x"), hit("y", y_).alias("hit_y"), F.lit(LINE_RANK).alias("kind_rank")).where(F.col("d") < rad)
+    hit = near.select("row_id", line_click(F.col("kind"), F.col("coords"), F.lit(float(x)), F.lit(float(y)), rad).alias("h"))
+    return hit.select("row_id", F.col("h.d").alias("d"), F.col("h.x").alias("hit_x"), F.col("h.y").alias("hit_y"), F.lit(LINE_RANK).alias("kind_rank")).where(F.col("d") < rad)
 
 
 def nearest(points: DataFrame, lines: DataFrame, x: float, y: float, rad: float, k: int = 1) -> DataFrame:
@@ -65,7 +68,9 @@ def geometry_of(objects: DataFrame, row_id: int, rad: float) -> DataFrame:
 def geometries_of(objects: DataFrame, rad: float) -> DataFrame:
     """(row_id, part_idx, kind, hole, ring, poly, member, type, coords) of all objects, lines and rings simplified by a tenth of rad."""
     parts = objects.where(F.col("kind") != "NONE")
-    return parts.select("row_id", "part_idx", "kind", "hole", "ring", "poly", "member", "type", F.when(F.col("kind") == "POINT", F.col("coords")).otherwise(geometry.simplify(F.col("coords"), rad / 10)).alias("coords"))
+    lines = F.when(F.col("kind") != "POINT", F.col("coords"))
+    simple = geometry.by_weights(F.col("coords"), F.col("weights"), rad / 10) if "weights" in objects.columns else F.coalesce(geometry.simplify(lines, rad / 10), F.col("coords"))
+    return parts.select("row_id", "part_idx", "kind", "hole", "ring", "poly", "member", "type", simple.alias("coords"))
 
 
 def argmin(df: DataFrame, by: Column, ident: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, mercator, text, wkt
 from ..operators import cluster, grid, ingest, lookup, match, raster, rings
-from ..sources import registry, sinks
+from ..sources import packed, registry, sinks, tables
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,9 +258,22 @@ def densified_lines(spark, sf):
     return dense.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c.x"), 1).alias("sx"), F.round(F.sum("c.y"), 1).alias("sy"))
 
 
-@query()
+_EPS = 20000.0
+_OFF = "sqrt((vx - t*dx)*(vx - t*dx) + (vy - t*dy)*(vy - t*dy))"
+_SPLITS = f"""WITH RECURSIVE l AS (SELECT row_id, v, x, y FROM ({L_SQL})),
+i(row_id, a, b) AS (SELECT row_id, 0, 31 FROM l WHERE v = 0 UNION ALL
+  SELECT row_id, unnest([a, m]), unnest([m, b]) FROM (SELECT row_id, a, b, arg_max(v, d) AS m, max(d) AS d FROM (SELECT *, {_OFF} AS d FROM
+    (SELECT *, CASE WHEN dx*dx + dy*dy = 0 THEN 0 ELSE greatest(0, least(1, (vx*dx + vy*dy) / (dx*dx + dy*dy))) END AS t FROM
+      (SELECT i.row_id, i.a, i.b, v.v, v.x - p.x AS vx, v.y - p.y AS vy, q.x - p.x AS dx, q.y - p.y AS dy FROM i
+        JOIN l v ON v.row_id = i.row_id AND v.v > i.a AND v.v < i.b JOIN l p ON p.row_id = i.row_id AND p.v = i.a JOIN l q ON q.row_id = i.row_id AND q.v = i.b))) GROUP BY ALL) WHERE d > {_EPS})"""
+
+
+@query(f"{_SPLITS} SELECT row_id, 32 AS n, CAST(count(DISTINCT e) AS INT) AS n_kept, CAST(sum(DISTINCT e) AS BIGINT) AS places FROM (SELECT row_id, unnest([a, b]) AS e FROM i) GROUP BY row_id")
 def simplified_lines(spark, sf):
-    return lines(spark, sf).select("row_id", F.size("coords").alias("n"), F.size(geometry.simplify(F.col("coords"), 20000.0)).alias("n_kept"))
+    """How many vertices of each line are left, and the sum of their places."""
+    l = lines(spark, sf).withColumn("weights", geometry.vertex_weights(F.col("coords")))
+    kept = geometry.by_weights(F.transform("coords", lambda c, i: i.cast("long")), F.col("weights"), _EPS)
+    return l.withColumn("kept", kept).select("row_id", F.size("coords").alias("n"), F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, i: a + i).alias("places"))
 
 
 # joins
@@ -634,3 +647,88 @@ def heatmap_lines_close(spark, sf):
     long = first.select("row_id", F.array(at(F.lit(-1.0)), at(F.lit(1.0))).alias("coords"))
     return raster.lines_exact(long.withColumns(geometry.bbox(F.col("coords"))), CLOSE)
 
+
+# the dictionary, packed ids and sessions
+
+_LNG_LAT = "TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 1) AS DOUBLE) AS lng, TRY_CAST(regexp_extract(wkt, '\\((\\S+) (\\S+)\\)', 2) AS DOUBLE) AS lat"
+_READ = f"SELECT *, {_LNG_LAT} FROM ({fx.SQL['result']})"
+
+
+@query(f"SELECT k AS qid, CASE WHEN lng IS NULL THEN 'NONE' ELSE 'POINT' END AS kind, round({X_SQL}, 3) AS x, round({Y_SQL}, 3) AS y, count(*) OVER (PARTITION BY lng, lat) AS n_same FROM (SELECT k, {_LNG_LAT} FROM (SELECT row_id % 1000 AS k, min(wkt) AS wkt FROM ({fx.SQL['result']}) GROUP BY k))")
+def built_dictionary(spark, sf):
+    """The dictionary of repeated ids, and how many ids share each geometry."""
+    made = ingest.build_dictionary(fx.result(spark, sf).withColumn("qid", F.col("row_id") % 1000))
+    same = made.groupBy("geom_id", "geom_id_2").agg(F.count(F.lit(1)).alias("n_same"))
+    return made.join(same, ["geom_id", "geom_id_2"]).select("qid", "kind", *r3("x", "y"), "n_same")
+
+
+@query("SELECT o_orderkey AS qid, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders")
+def packed_ids(spark, sf):
+    """Ids written as packed files, in order, and read again in pages of 1,000 records."""
+    import uuid
+
+    path = f"{tables.shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("qid"))
+    packed.write_ids(ids.repartitionByRange(4, "qid").sortWithinPartitions("qid"), path)
+    return packed.numbered(packed.read_ids(spark, path, 1000)).select("qid", "row")
+
+
+def _session(spark: SparkSession, sf: str, rows: DataFrame):
+    from .session import MapEngine
+
+    engine = MapEngine(spark)
+    return engine, engine.query(rows)["qid"]
+
+
+@query(f"SELECT row_id, CASE WHEN lng IS NULL THEN 'NONE' ELSE 'POINT' END AS kind, round({X_SQL}, 3) AS x, round({Y_SQL}, 3) AS y, o_orderpriority FROM ({_READ})")
+def session_objects(spark, sf):
+    """A session's objects with their rows' attributes."""
+    engine, s = _session(spark, sf, fx.result(spark, sf).select("row_id", "o_orderpriority", "wkt"))
+    session = engine.get(s)
+    return match.with_rows(session.objects.select("row_id", "kind", "x", "y"), session.result).select("row_id", "kind", *r3("x", "y"), "o_orderpriority")
+
+
+@query(f"SELECT CAST(row_id AS VARCHAR) AS row_id, o_orderpriority, wkt FROM ({fx.SQL['result']})")
+def session_export(spark, sf):
+    """All rows of a session as a tab-separated file, read again."""
+    engine, s = _session(spark, sf, fx.result(spark, sf).selectExpr("row_id", "row_id AS id", "o_orderpriority", "wkt"))
+    path = f"{engine.shared.at(s)}/export"
+    engine.export(s, path, "tsv")
+    return registry.read_tsv(spark, path).withColumnRenamed("id", "row_id")
+
+
+_ORIGIN = f"SELECT min(x) - 1 AS ox, min(y) - 1 AS oy FROM ({P_SQL})"
+_SESSION_CELLS = f"SELECT ox + cx * 65536 AS x, oy + cy * 65536 AS y, n FROM (SELECT ox, oy, CAST(floor((x - ox) / 65536) AS INT) AS cx, CAST(floor((y - oy) / 65536) AS INT) AS cy, count(*) AS n FROM ({P_SQL}), ({_ORIGIN}) GROUP BY ALL)"
+
+
+@query(pixel_sql(COARSE, _SESSION_CELLS, n="sum(n)"))
+def session_coarse_map(spark, sf):
+    """The coarsest map of a session, from its levels."""
+    engine, s = _session(spark, sf, points_as_wkt(spark, sf))
+    session = engine.get(s)
+    return raster.heatmap(session.objects, COARSE, *session.origin, engine.levels(s))
+
+
+@query(pixel_sql(PART, f"SELECT p.* FROM ({P_SQL}) p, ({_ORIGIN}) o WHERE floor((x - ox) / 65536) BETWEEN floor(({PART.x1} - ox) / 65536) AND floor(({PART.x2} - ox) / 65536) AND floor((y - oy) / 65536) BETWEEN floor(({PART.y1} - oy) / 65536) AND floor(({PART.y2} - oy) / 65536)"))
+def session_grid_map(spark, sf):
+    """A map of a session at the middle level, from its levels."""
+    engine, s = _session(spark, sf, points_as_wkt(spark, sf))
+    session = engine.get(s)
+    return raster.heatmap(session.objects, PART, *session.origin, engine.levels(s))
+
+
+def points_as_wkt(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.points(spark, sf).select("row_id", F.concat(F.lit("POINT("), F.col("lng").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")).alias("wkt"))
+
+
+#: A click in every area, a quarter of its side off its lower left corner.
+_AREA_BOX = f"SELECT row_id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM ({A_SQL}) WHERE ring_idx = 0 GROUP BY row_id"
+AREA_RAD = 400000.0
+
+
+@query(f"SELECT row_id, ring_idx AS ring, inside, round(CASE WHEN inside THEN {AREA_RAD} / 4 ELSE d END, 3) AS d FROM (SELECT row_id, ring_idx, count(*) FILTER ((ay > py) <> (qy > py) AND px < (qx - ax) * (py - ay) / (qy - ay) + ax) % 2 = 1 AS inside, min({DIST_SQL}) AS d FROM (SELECT *, {T_SQL} AS t FROM (SELECT row_id, ring_idx, (minx * 3 + maxx) / 4 AS px, (miny * 3 + maxy) / 4 AS py, x AS ax, y AS ay, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM ({A_SQL}) JOIN ({_AREA_BOX}) USING (row_id) WINDOW w AS (PARTITION BY row_id, ring_idx ORDER BY v))) WHERE qx IS NOT NULL GROUP BY ALL)")
+def clicks_in_areas(spark, sf):
+    """How far a click in each area is from its rings: a quarter of the radius inside of one, the border's distance outside."""
+    a = areas(spark, sf)
+    box = a.where("ring = 0").select("row_id", *[((F.col(f"min{c}") * 3 + F.col(f"max{c}")) / 4).alias(f"c{c}") for c in "xy"])
+    return a.join(box, "row_id").select("row_id", "ring", geometry.contains(F.col("coords"), F.col("cx"), F.col("cy")).alias("inside"), F.round(lookup.line_click(F.col("kind"), F.col("coords"), F.col("cx"), F.col("cy"), AREA_RAD)["d"], 3).alias("d"))

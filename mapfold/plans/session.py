@@ -146,7 +146,7 @@ class MapEngine:
         geometry = ingest.last_column(result)
         if dict(result.dtypes)[geometry] == "string":
             self._admit(result.count())  # rows whose geometry can't be read count
-            objects = ingest.project(ingest.decode(result, "row_id", geometry)).withColumn("row_id", F.col("qid"))
+            objects = ingest.project(ingest.decode(result, "row_id", geometry)).withColumns({"row_id": F.col("qid"), "weights": ingest.weights_of()})
         else:
             keyed = result.select("row_id", F.col(geometry).alias("qid"))
             dictionary = self.load(backend) if backend else None

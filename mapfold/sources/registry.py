@@ -1,17 +1,14 @@
-"""Sources: named geometry fills, readers, counts, pages and fingerprints."""
+"""Sources: named geometry fills, a reader, counts, pages and fingerprints."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ..functions import mercator
 
@@ -60,10 +57,6 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-#: Bytes of a packed id.
-ID_BYTES = 8
-
-
 def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """(path, length, time of change) of the files under a path or glob, by name: one listing a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,48 +69,6 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
-@F.arrow_udf(LongType())
-def _id_of(packed: pa.Array) -> pa.Array:
-    """Longs from values of eight bytes, the lowest first: a view of the batch's buffer."""
-    _, offsets, data = packed.buffers()
-    first = int(np.frombuffer(offsets, np.int32, 1, 4 * packed.offset)[0])
-    return pa.array(np.frombuffer(data, "<i8", len(packed), first))
-
-
-def _packed_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of 8 bytes of files whose length divides by 8; a file is split at records like any large file."""
-    records = spark._jsc.sc().binaryRecords(",".join(paths), ID_BYTES, spark._jsc.hadoopConfiguration())
-    rows = DataFrame(spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
-    in_split = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    first = F.expr(f"input_file_block_start() div {ID_BYTES}")
-    return rows.select(F.input_file_name().alias("path"), (first + in_split).alias("position"), _id_of(F.col("value")).alias("qid"))
-
-
-def _odd_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same of files that end in a part of a record, which is ignored: Spark doesn't split these, so each is read by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(data.as_buffer(), "<i8", len(data.as_buffer()) // ID_BYTES)
-                for at in range(0, len(ids), 1_000_000):
-                    part = ids[at : at + 1_000_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["path", "position", "qid"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, position long, qid long")
-
-
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(path, position, qid): packed little-endian 8-byte ids of files, in order; a file's trailing bytes are ignored."""
-    files = [(p, n) for p, n, _ in _files(spark, path) if n >= ID_BYTES]
-    whole, odd = [p for p, n in files if n % ID_BYTES == 0], [p for p, n in files if n % ID_BYTES]
-    parts = [make(spark, some) for make, some in ((_packed_rows, whole), (_odd_rows, odd)) if some]
-    if not parts:
-        return spark.createDataFrame([], "path string, position long, qid long")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def fingerprint(df: DataFrame) -> str:
     """A version of a file-backed table: hash of its files' paths, sizes and times; of the plan, if it has no files."""
     files = df.inputFiles()

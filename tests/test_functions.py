@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import geometry, mercator, text, wkt
 from mapfold.operators import ingest, raster
-from mapfold.sources import registry, sinks
+from mapfold.sources import packed, registry, sinks
 
 
 def parts(spark, literal):
@@ -160,14 +160,14 @@ def test_registry_and_ids(spark, tmp_path):
     assert r.resolve("wikidata-x")(None) == 2 and r.resolve("wikipedia")(None) == 1 and r.resolve("osm")(None) == 0
     ids = [1, (8 << 60) | 5, (1 << 63) - 1, (1 << 64) - 1]
     (tmp_path / "ids.bin").write_bytes(b"".join(struct.pack("<Q", i) for i in ids) + b"xx")
-    got = [x["qid"] for x in registry.read_ids(spark, str(tmp_path / "ids.bin")).orderBy("position").collect()]
+    got = [x["qid"] for x in packed.read_ids(spark, str(tmp_path / "ids.bin")).orderBy("position").collect()]
     assert [g % (1 << 64) for g in got] == ids
     more = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 200_000, dtype=np.int64, endpoint=False)
     (tmp_path / "pages").mkdir()
     more.tofile(tmp_path / "pages" / "0.bin")
     more[:50].tofile(tmp_path / "pages" / "1.bin")
     (tmp_path / "pages" / "2.bin").write_bytes(more[:7].tobytes() + b"abc")
-    rows = registry.read_ids(spark, str(tmp_path / "pages")).collect()
+    rows = packed.read_ids(spark, str(tmp_path / "pages")).collect()
     assert len(rows) == 200_057 and all(more[x["position"]] == x["qid"] for x in rows)
     assert len({(x["path"], x["position"]) for x in rows}) == len(rows)
     (tmp_path / "rows.tsv").write_text("a\tgeometry\n1\tPOINT(1 2)\n")

@@ -230,3 +230,69 @@ def test_morton_numbers(spark):
     df = spark.createDataFrame([(float(x), float(y)) for x, y in rows] + [(None, 1.0)], "x double, y double")
     got = {(r["x"], r["y"]): r["m"] for r in df.select("x", "y", grid.morton(F.col("x"), F.col("y"), 0.0, float(1 << 20)).alias("m")).collect()}
     assert got == {(x, y): sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(3)) for x, y in rows} | {(None, 1.0): None}
+
+
+def test_packed_ids_in_pages(spark, tmp_path):
+    """Pages of one file are partitions; a range of records leaves out pages; what is written is read again."""
+    import numpy as np
+
+    from mapfold.sources import packed
+
+    ids = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64, endpoint=False)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "0.ids").write_bytes(ids.tobytes() + b"odd")
+    (tmp_path / "a" / "_skipped").write_bytes(b"12345678")
+    (tmp_path / "a" / "1.ids").write_bytes(b"1234567")
+    df = packed.read_ids(spark, str(tmp_path / "a"), 1000)
+    assert df.rdd.getNumPartitions() == 5
+    assert [r["qid"] for r in df.orderBy("position").collect()] == ids.tolist()
+    part = packed.read_ids(spark, str(tmp_path / "a"), 1000, 2500, 2600)
+    assert part.rdd.getNumPartitions() == 1 and [r["qid"] for r in part.orderBy("position").collect()] == ids[2500:2600].tolist()
+    assert df.where("position = 4999").first()["qid"] == ids[4999] and packed.read_ids(spark, str(tmp_path / "a"), 1000, 5000).count() == 0
+    out = str(tmp_path / "b")
+    packed.write_ids(df.repartition(3, "position"), out)
+    assert len(os.listdir(out)) == 3 and sorted(r["qid"] for r in packed.read_ids(spark, out).collect()) == sorted(ids.tolist())
+    rows = packed.numbered(packed.read_ids(spark, out, 100))
+    assert sorted(r["row"] for r in rows.collect()) == list(range(5000))
+    assert packed._through_spark(spark, str(tmp_path / "a" / "0.ids")).count() == 5000
+    assert packed.read_ids(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_simplified_lines_are_filters(spark):
+    """The vertices of any tolerance from weights that were made once, as by Douglas and Peucker's recursion, and never further off than it."""
+    import numpy as np
+
+    from mapfold.functions import geometry
+    from mapfold.operators import lookup
+
+    def recursion(p, eps):
+        if len(p) < 3:
+            return p
+        a, d = p[0], p[-1] - p[0]
+        t = np.clip((p[1:-1] - a) @ d / (d @ d), 0, 1) if d @ d else np.zeros(len(p) - 2)
+        far = np.hypot(*(p[1:-1] - a - t[:, None] * d).T)
+        i = int(far.argmax()) + 1
+        return np.concatenate([recursion(p[: i + 1], eps)[:-1], recursion(p[i:], eps)]) if far[i - 1] > eps else p[[0, -1]]
+
+    r = np.random.default_rng(6)
+    lines = {i: np.cumsum(r.normal(0, 10, (n, 2)), axis=0) for i, n in enumerate([1, 2, 3, 50, 400, 400])} | {6: np.array([[0, 0], [5, 5], [0, 0.0]])}
+    rows = [(i, 0, "LINE", False, 0, 0, 0, "LINESTRING", [tuple(map(float, v)) for v in p]) for i, p in lines.items()] + [(9, 0, "POINT", False, 0, 0, 0, "POINT", [(1.0, 2.0)]), (10, 0, "NONE", False, 0, 0, 0, "NONE", None)]
+    df = spark.createDataFrame(rows, "row_id int, part_idx int, kind string, hole boolean, ring int, poly int, member int, type string, coords array<struct<x:double,y:double>>")
+    kept = tables.keep(df.withColumn("weights", ingest.weights_of()), "weighed")
+    for eps in (0.0, 3.0, 40.0, 1e9):
+        simple = lookup.geometries_of(kept, 10 * eps)
+        assert not re.search("Python|Arrow", plan(simple))
+        got = {r["row_id"]: np.array([tuple(c) for c in r["coords"]]) for r in simple.collect()}
+        assert set(got) == {*lines, 9} and len(got[9]) == 1
+        for i, p in lines.items():
+            assert np.array_equal(got[i], recursion(p, eps))
+            for v in p:  # no vertex is further off
+                d = [geometry_distance(v, a, b) for a, b in zip(got[i][:-1], got[i][1:], strict=True)]
+                assert len(p) == 1 or min(d) <= eps + 1e-9
+        assert {r["row_id"]: len(r["coords"]) for r in lookup.geometries_of(df, 10 * eps).collect()} == {i: len(p) for i, p in got.items()}
+
+
+def geometry_distance(v, a, b):
+    d = b - a
+    t = min(1, max(0, (v - a) @ d / (d @ d))) if d @ d else 0
+    return ((v - a - t * d) @ (v - a - t * d)) ** 0.5
