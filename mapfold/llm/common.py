@@ -41,10 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table of materialize(), or one read from such a table alone, that nothing reads any more."""
+    """Deletes a table of materialize(), or one read from such a table alone, that nothing reads any more; any other is left alone."""
+    made = {path.rsplit("/", 1)[1] for path in _made.get(df.sparkSession.sparkContext.applicationId, [])}
     for path in df.inputFiles()[:1]:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        if folder.getName() in made:  # names that no other table has
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def pair_hash(*cols: Column) -> list[Column]:

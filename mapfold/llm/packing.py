@@ -9,7 +9,8 @@ Tokenising is the costly part and needs no shuffle. What is packed are rows of p
 Spark merges small partitions, so a task packs very many pieces and what stays open at its end weighs little.
 
 Nulls are empty texts: one piece, the separator. Repeated rows are packed as documents of their own. An empty table
-gives an empty result. Extra columns play no part.
+gives an empty result. Very long texts are tokenised whole, in their task. Of sequences with equal free space any takes a piece, and all are
+equally full then. Extra columns play no part.
 """
 
 from __future__ import annotations

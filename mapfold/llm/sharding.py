@@ -5,7 +5,8 @@ highest score. A further shard takes only the records on which it wins and moves
 share is its weight over the sum of weights. Nothing is looked up: the key and the list of weights decide.
 
 Nulls: a null key is a key of its own; a null text has no bytes. Repeated rows share a shard and take slots of
-their own. An empty table gives an empty result. Extra columns play no part.
+their own. Equal scores go to the smaller shard. Very long texts are read once, for their
+size and checksum, and never shuffled. An empty table gives an empty result. Extra columns play no part.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ carries the number of bits that differ so far and is dropped as soon as that exc
 the leaves are the links. Links inside a key that don't change its components are left out.
 
 Nulls and texts without words have the fingerprint 0, which links like any other. Repeated rows and equal texts
-share a fingerprint. Empty tables give empty results. Extra columns play no part. Copies with more edits than so few
+share a fingerprint. Of a component, the smallest doc_id names it, so ties don't matter. Very long texts are hashed whole, in their
+task. Empty tables give empty results. Extra columns play no part. Copies with more edits than so few
 bits show are the matter of near_copies.
 """
 
