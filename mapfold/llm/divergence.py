@@ -5,10 +5,10 @@ share p in parts of a thousand million, all integers; two sources differ by the
 floor((p - q)^2 / q).
 
 No pair of sources reads all terms. Terms that many of a language's sources have are heavy: they fill dense tiles of sources
-x terms, of which numpy takes all pairs at once. All others are light: a pair of sources starts from what it would be
-worth if neither had any light term, one value times their number, and is corrected by postings alone: for a term that one of
-both has (by how many terms it has with each count, so that equal counts are one correction), and once more for terms that both have.
-Heavy and light sums are integers and simply add up.
+x terms, of which numpy takes all pairs at once. All others are light. A pair of sources starts from what it would be worth if
+neither had any term, one value times the number of terms. A tile puts its terms' values in the place of that; light terms correct it by
+postings alone: for a term that one of both has (by how many terms it has with each count, so that equal counts are one correction), and
+once more for terms that both have. Heavy and light sums are integers and simply add up.
 
 Sources are cut into blocks and terms into tiles, a task sees the postings of a tile in two blocks, and no task holds all
 terms, or all sources of a language with many. Term counts are summed in the task that reads the texts and once more by
@@ -102,12 +102,14 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def tile_sums(key: tuple, rows: pa.Table) -> pa.Table:
-    """What a tile's terms add to the pairs of two blocks' sources; a tile 0 tells of every pair, and has what all its light terms are worth to a pair without them."""
+    """What a tile's terms add to the pairs of two blocks' sources; a tile 0 tells of every pair, and has what all terms are worth to a pair that has none."""
     lang, a, b, tile = (v.as_py() for v in key)
     what = rows["what"].to_numpy()
     sources = rows.filter(pa.array(what == SOURCE)).sort_by([("block", "ascending"), ("source", "ascending")])
-    names, low, block, light = sources["source"].combine_chunks(), sources["low"].to_numpy(), sources["block"].to_numpy(), sources["m"].to_numpy()
+    names, low, block, terms = sources["source"].combine_chunks(), sources["low"].to_numpy(), sources["block"].to_numpy(), sources["m"].to_numpy()
     ours, others = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    if not len(ours) or not len(others):  # a block that no source's hash falls into
+        return pa.table({"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "item": pa.array([], pa.string()), "value": pa.array([], pa.int64())})
     ways = [(ours, others)] if a == b else [(ours, others), (others, ours)]
     sums = np.zeros((len(low), len(low)), np.int64)
 
@@ -127,7 +129,7 @@ def tile_sums(key: tuple, rows: pa.Table) -> pa.Table:
         for i, j in ways:
             q = dense[j]
             for s in i:
-                sums[s, j] += apart(dense[s], q).sum(axis=1)
+                sums[s, j] += apart(dense[s], q).sum(axis=1) - dense.shape[1] * apart(low[s], low[j])
     # light terms that two sources have: the pair's value instead of what either alone and neither would make
     at, p, part = of(LIGHT_TERM)
     if len(at):
@@ -155,7 +157,7 @@ def tile_sums(key: tuple, rows: pa.Table) -> pa.Table:
             if own.any() and block[k] == block[j[0]]:
                 sums[i, k] += (m[own] * apart(low[i][:, None], p[own])).sum(axis=1) - m[own].sum() * none[:, j == k][:, 0]
         if tile == 0:
-            sums[np.ix_(i, j)] += none * light[i][:, None]
+            sums[np.ix_(i, j)] += none * terms[i][:, None]
     wanted = np.zeros(sums.shape, bool)
     for i, j in ways:
         wanted[np.ix_(i, j)] = True
@@ -176,10 +178,10 @@ def postings_of(documents: DataFrame, least_docs: int, heavy: float) -> tuple[Da
     kept = counts.drop("docs").join(of_term, ["lang", "term"])
     kept = materialize(kept.select("lang", "source", "term", "n", "lang_n", "block", "there", (F.col("source") == F.col("owner")).alias("owned"), (F.col("d") > F.col("sources") * heavy).alias("heavy")), "postings")
     # a term counts as its first source's, so that no distinct count is needed
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_all"), F.count_if("owned").alias("v"), F.count_if(F.col("owned") & ~F.col("heavy")).alias("light"))
-    groups = counts.where("term is null").select("lang", "source", "block", "blocks").join(sums, ["lang", "source"], "left").fillna(0, ["n_all", "v", "light"])
+    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_all"), F.count_if("owned").alias("v"))
+    groups = counts.where("term is null").select("lang", "source", "block", "blocks").join(sums, ["lang", "source"], "left").fillna(0, ["n_all", "v"])
     of_lang = Window.partitionBy("lang")  # at most as many rows as a language has sources
-    groups = groups.select("lang", "source", "block", "blocks", "n_all", F.sum("n_all").over(of_lang).alias("lang_all"), F.sum("v").over(of_lang).alias("v"), F.sum("light").over(of_lang).alias("light"))
+    groups = groups.select("lang", "source", "block", "blocks", "n_all", F.sum("n_all").over(of_lang).alias("lang_all"), F.sum("v").over(of_lang).alias("v"))
     groups = groups.withColumns({"total": F.col("n_all") + F.col("v"), "none": F.lit(0), "tiles": F.greatest(F.lit(1), F.ceil(F.col("v") / TILE)).cast("int")})
     return kept, materialize(groups.withColumn("low", share("none", "total")).drop("none"), "sources")
 
@@ -198,7 +200,7 @@ def pairs_of(kept: DataFrame, groups: DataFrame) -> DataFrame:
     tiled = rows(placed, F.when(F.col("heavy"), HEAVY_TERM).otherwise(LIGHT_TERM), F.when(F.col("heavy"), every).otherwise(F.col("there")), F.pmod(F.xxhash64("term"), F.col("tiles")), "term", "p")
     tiled = tiled.unionByName(rows(light, F.lit(LIGHT_COUNT), every, F.pmod("n", F.col("tiles")), p="p", m="m"))
     each_tile = groups.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.unionByName(rows(each_tile, F.lit(SOURCE), every, F.col("tile"), m="light", low="low"))
+    tiled = tiled.unionByName(rows(each_tile, F.lit(SOURCE), every, F.col("tile"), m="v", low="low"))
     sums = tiled.groupBy("lang", "a", "b", "tile").applyInArrow(tile_sums, "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 

@@ -360,6 +360,8 @@ class Scanner:
 
     def scan(self, texts: Sequence[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, end, rule) of each text's matches in bytes, in order."""
+        if not texts:
+            return []
         data = b"".join([t + b"\xff" for t in texts])
         ends = np.cumsum([len(t) + 1 for t in texts])
         starts = ends - np.array([len(t) + 1 for t in texts])
