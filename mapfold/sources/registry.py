@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -57,25 +56,19 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(path, length, time of change) of the files under a path or glob, by name: one listing a folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for top in fs.globStatus(where) or []:
-        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
-            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
-                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return sorted(found)
-
-
 def fingerprint(df: DataFrame) -> str:
-    """A version of a file-backed table: hash of its files' paths, sizes and times; of the plan, if it has no files."""
+    """A version of a file-backed table: its files' paths, sizes and times; of the plan, if it has no files.
+
+    Spark lists the files' folders and sums up a hash of each file: the driver has the files' names alone.
+    """
+    spark = df.sparkSession
     files = df.inputFiles()
     if not files:
         return f"plan-{df.semanticHash() & 0xFFFFFFFF:08x}"
-    spark, wanted = df.sparkSession, {unquote(f) for f in files}
-    # one listing a folder rather than a call a file
-    folders = {f.rsplit("/", 1)[0] for f in wanted}
-    seen = sorted(f"{p}|{n}|{t}" for folder in folders for p, n, t in _files(spark, folder) if p in wanted or p.replace("file:", "file://", 1) in wanted)
-    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    wanted = spark.createDataFrame([(unquote(f),) for f in files], "file string").select(same(F.col("file")).alias("file"))
+    folders = sorted({f.rsplit("/", 1)[0] for f in files})
+    listed = spark.read.format("binaryFile").load([unquote(f) for f in folders]).select(same(F.col("path")).alias("file"), "length", "modificationTime")
+    each = F.xxhash64("file", "length", "modificationTime")
+    n, size, one, two = listed.join(wanted, "file", "left_semi").agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(each), F.bit_xor(F.xxhash64(each))).first()
+    return f"{n}-{size or 0}-{(one or 0) & (1 << 64) - 1:016x}{(two or 0) & (1 << 64) - 1:016x}"

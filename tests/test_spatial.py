@@ -108,7 +108,7 @@ def test_a_line_costs_what_is_seen_of_it(spark):
         view = raster.Viewport(-half, -0.75 * half, half, 0.75 * half, 800, 600)
         made = line.select(F.size(geometry.densify_within(F.col("coords"), view.resolution, view.x1, view.y1, view.x2, view.y2)).alias("n")).first()["n"]
         assert 800 <= made <= 810
-        assert raster.lines_exact(line, view).count() == 800
+        assert 800 <= raster.lines_exact(line, view).count() <= 802
 
 
 def square(x, y, s, turned=False):

@@ -232,6 +232,22 @@ def test_morton_numbers(spark):
     assert got == {(x, y): sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(3)) for x, y in rows} | {(None, 1.0): None}
 
 
+def test_fingerprints(spark, tmp_path):
+    """Change with a file's path, size or time, and with the files there are; not with what else lies in the folder."""
+    at = f"{tmp_path}/some folder"
+    spark.range(10).repartition(3).write.parquet(at)
+    read = lambda: registry.fingerprint(spark.read.parquet(at))
+    first = read()
+    open(f"{at}/_note", "w").write("x")
+    assert read() == first and re.match(r"3-\d+-[0-9a-f]{32}$", first)
+    assert registry.fingerprint(spark.read.parquet(*[f.removeprefix("file://").replace("%20", " ") for f in spark.read.parquet(at).inputFiles()[:2]])).startswith("2-")
+    os.utime(next(f"{at}/{n}" for n in os.listdir(at) if n.startswith("part")), (1, 1))
+    assert read() != first
+    second = read()
+    spark.range(5).write.mode("append").parquet(at)
+    assert read() != second and registry.fingerprint(spark.range(3)).startswith("plan-")
+
+
 def test_packed_ids_in_pages(spark, tmp_path):
     """Pages of one file are partitions; a range of records leaves out pages; what is written is read again."""
     import numpy as np
