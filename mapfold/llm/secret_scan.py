@@ -10,7 +10,7 @@ other rules go on. Those whose tail is shorter than the rule's least are dropped
 A rule must be settled by the byte after its match (all of the rules here are): one that could match at a place,
 and go on to fail at a longer match, is refused, as is one that matches nothing at all.
 
-The bytes of many texts are read side by side by numpy. The automaton itself tells where a text may be cut: at bytes after
+The bytes of many texts are read side by side by numpy, those of the last long ones by themselves. The automaton itself tells where a text may be cut: at bytes after
 which every state is the first one (line ends, most punctuation), so a very long text is read in many lanes too, and a
 text without such bytes in one, with the same matches.
 
@@ -36,6 +36,8 @@ from .common import table
 STOP = 255
 #: Most states of an automaton; bytes of a lane; bytes of texts read together.
 MOST_STATES, LANE, TOGETHER = 60_000, 2048, 1 << 23
+#: Lanes from which it is quicker to move all of them by numpy than each by itself.
+MANY = 128
 
 
 @dataclass(frozen=True)
@@ -315,11 +317,22 @@ class Automaton:
         left = len(at) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")  # lanes longer than so many bytes
         read, move = self.of_byte[data], (self.next.astype(np.int64) * self.n_classes).ravel()
         state, telling, found = np.zeros(len(at), np.int64), self.telling * self.n_classes, []
-        for i, n in enumerate(left.tolist()):
+        side_by_side = int(np.searchsorted(-left, -MANY, "right"))  # steps with so many lanes
+        for i, n in enumerate(left[:side_by_side].tolist()):
             state = move[state[:n] + read[at[:n] + i]]
             if state.max() >= telling:
                 hit = np.flatnonzero(state >= telling)
                 found.append((at[hit] + i, state[hit] // self.n_classes))
+        alone = int(left[side_by_side]) if side_by_side < len(left) else 0
+        moves = move.tolist() if alone else []
+        for s, start, length in zip(state[:alone].tolist(), at[:alone].tolist(), lengths[:alone].tolist(), strict=True):
+            hits = []
+            for place, c in enumerate(read[start + side_by_side : start + length].tobytes(), start + side_by_side):
+                s = moves[s + c]
+                if s >= telling:
+                    hits.append((place, s // self.n_classes))
+            if hits:
+                found.append(tuple(np.array(hits).T))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         place, state = (np.concatenate(x) for x in zip(*found, strict=True))

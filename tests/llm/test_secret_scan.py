@@ -40,8 +40,9 @@ def test_many_texts_in_lanes(monkeypatch):
     r = random.Random(8)
     texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 200))) for _ in range(150)] + ["", "token=" + "x" * 20_000 + "\n" + "f" * 9_000]
     want = [SCANNER.scan([t.encode()])[0] for t in texts]
-    for lane in (1, 7, 64, 100_000):
+    for lane, many in ((1, 128), (7, 1), (64, 20), (2048, 1), (100_000, 10**9)):
         monkeypatch.setattr(secret_scan, "LANE", lane)
+        monkeypatch.setattr(secret_scan, "MANY", many)
         assert SCANNER.scan([t.encode() for t in texts]) == want
     assert [secret_scan.in_code_points(t.encode(), s) for t, s in zip(texts, want, strict=True)] == [brute(t) for t in texts]
     assert SCANNER.scan([]) == []
