@@ -214,11 +214,13 @@ class Vectors:
 
     def __init__(self, model: Model, words: list[bytes]):
         self.model, self.word = model, np.fromiter(map(word_bucket, words), np.int64, len(words))
-        parts = [grams_of(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
-        bucket = np.concatenate([b for b, _ in parts] or [np.zeros(0, np.int64)])
-        owner = np.concatenate([o + 20_000 * i for i, (_, o) in enumerate(parts)] or [np.zeros(0, np.int64)])
-        order = np.argsort(owner, kind="stable")
-        self.gram, self.start = bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+        grams, many = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            bucket, owner = grams_of(part)
+            grams.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+            many.append(np.bincount(owner, minlength=len(part)))
+        self.gram, self.start = np.concatenate(grams), np.cumsum(np.concatenate(many))
         self.seen = {k: np.zeros((len(model.w[k]), DIM - 1), np.float32) for k in ("word", "gram")}
 
     def grams(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +299,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
             model.w[name][:, 0] = _odds(pos, neg, int(y[rest].sum()), int((1 - y[rest]).sum()))
         return model.inputs(words)
 
-    x = np.stack([inputs_without(f) for f in range(4)])
+    x = np.empty((4, len(words), 2 * DIM + 1), np.float32)
+    for f in range(4):
+        x[f] = inputs_without(f)
     inputs_without(None)
     table = Vectors(model, words)
     flat, first, length, owner = _layout(ids)
