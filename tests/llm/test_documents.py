@@ -448,7 +448,9 @@ def test_texts_of_megabytes(spark):
     assert sorted(map(tuple, substring_dedup.remove_repeats(df).select("doc_id", "n_removed").collect())) == [(1, 250_000), (2, 250_000), (3, 0)]
     assert {x["doc_id"]: x["component_id"] for x in simhash.simhash_components(df).collect()} == {1: 1, 2: 1, 3: 3}
     assert sorted(x["doc_id"] for x in near_copies.drop_near_copies(df, similarity=0.8).collect()) == [1, 3]
-    assert line_dedup.dedup_lines(df, sites=2).where("doc_id < 3 and n_lines > 16000 and n_removed = 0").count() == 2  # lines that only copies share
+    assert line_dedup.dedup_lines(df, sites=2).where("doc_id < 3 and n_removed > 16000").count() == 2
+    copies = df.withColumn("text", F.expr("if(doc_id = 2, left(text, length(text) - 4), text)"))
+    assert line_dedup.dedup_lines(copies, sites=2).where("doc_id < 3 and n_lines > 16000 and n_removed = 0").count() == 2  # one text
     paged = df.unionByName(df.selectExpr("doc_id + 10 AS doc_id", "concat(text, chr(10), 'head') AS text", "source"))
     assert line_dedup.dedup_lines(paged, sites=3).where("n_lines > 16000 and n_removed = 1 and doc_id > 10").count() == 2
     assert mixing.mix_sources(df, max_repeats=2.0).where("n_tokens >= 250000").count() >= 2
