@@ -14,8 +14,9 @@ a 128-bit hash of those words. The steps, all keyed joins and sums over anchors,
    document's own; only a span of the same words is removed.
 4. What is left are windows whose smallest k-mer is a repeated node but that lie on no repeated edge, at the ends of
    passages and where paths branch. These are looked up one by one, among themselves and among the windows of
-   one source, the representative, of each repeated edge, by a hash of their words as written beside those of step 2.
-   So the shuffled windows grow with distinct repeated text, not with the number of its copies.
+   one source, the representative, of each repeated edge, each read at its own coordinates: they too are the same only if
+   the digests (SHA-256) of their words are. So the shuffled windows grow with distinct repeated text, not with the
+   number of its copies.
 5. The words that a repeated window covers go.
 
 Texts move twice: to those of their windows and spans that are looked up, and to what is found. A hot passage is one
@@ -160,7 +161,13 @@ def digest_of(words: bytes) -> tuple[int, int]:
     return int(found[0]), int(found[1])
 
 
-LOOKED = ["w1", "w2", "w3", "d", "t", "start", "what"]
+def digests_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """digest_of each part text[start:end], one row each."""
+    every = b"".join([hashlib.sha256(text[a:b]).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(every, "<i8").reshape(-1, 2)
+
+
+LOOKED = ["w1", "w2", "n", "d", "t", "start", "what"]
 ASK, SHOW, SLICE = 1, 0, 2
 
 
@@ -175,8 +182,8 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _windows(window: int, k: int):
-    """What is looked up of a document: its undecided windows (what: ASK), those that others may ask for (SHOW), and the
-    digests of its slices that others' spans are compared with (SLICE; w3 is the number of window starts)."""
+    """What is looked up of a document, as digests of n windows that start one after the other: its undecided windows (what:
+    ASK; n is 1), those that others may ask for (SHOW), and its slices that others' spans are compared with (SLICE)."""
 
     def column(lists: pa.Array, i: int) -> np.ndarray:
         found = lists[i]
@@ -197,9 +204,8 @@ def _windows(window: int, k: int):
                 n = len(tokens)
                 ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
                 starts = np.concatenate(([0], ends[:-1] + 1))
-                words = hasher.words(tokens)
-                one, two, at = hasher.sums(words, 0), hasher.sums(words, 1), np.arange(n - k + 1)
-                hashes = hasher.spans(one, at, at + k)
+                at = np.arange(n - k + 1)
+                hashes = hasher.spans(hasher.sums(hasher.words(tokens), 0), at, at + k)
                 span_a, span_b, show_a, show_b = (column(c, i) for c in intervals)
                 # a window whose smallest k-mer is a node that occurs once can't repeat
                 asked = np.isin(slide(hashes, window - k + 1, np.minimum), hashes[column(marked, i)])
@@ -207,10 +213,8 @@ def _windows(window: int, k: int):
                 for pick, what in ((asked, ASK), (covered(len(asked), show_a, show_b), SHOW)):
                     begin = np.flatnonzero(pick)
                     if m := len(begin):
-                        keys = [_signed(hasher.spans(sums, begin, begin + window)) for sums in (one, two)]
-                        written = zip(starts[begin].tolist(), ends[begin + window - 1].tolist(), strict=True)
-                        keys.append(_signed(np.fromiter((xxhash.xxh3_64_intdigest(joined[x:y]) for x, y in written), np.uint64, m)))
-                        held.append((*keys, np.full(m, d), np.full(m, t), begin, np.full(m, what)))
+                        digests = digests_of(joined, starts[begin], ends[begin + window - 1])
+                        held.append((*digests.T, np.ones(m, np.int64), np.full(m, d), np.full(m, t), begin, np.full(m, what)))
                         rows += m
                 for s in slices or []:
                     digest = digest_of(joined[starts[s["a"]] : ends[s["a"] + s["n"] + window - 2]])
@@ -392,13 +396,13 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, keep_
     lookup = marks.select("d", "t", F.when(F.size("asked") > 0, F.col("nodes")).alias("nodes"), F.col("spans.a").alias("a"), F.col("spans.b").alias("b")).join(wanted, ["d", "t"], "left").join(slices, ["d", "t"], "left")
     lookup = lookup.where("nodes is not null or wanted is not null or slices is not null")  # others are decided by their spans alone
     texts = docs.select("d", "t", "text").join(lookup, ["d", "t"]).select("d", "t", "text", "nodes", "a", "b", F.col("wanted.a").alias("from"), F.col("wanted.b").alias("to"), "slices")
-    looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, w3 long, d long, t long, start int, what int"), "windows")
+    looked = materialize(texts.mapInArrow(_windows(window, k), "w1 long, w2 long, n long, d long, t long, start int, what int"), "windows")
     discard(asked)
-    window_key = ["w1", "w2", "w3"]
-    found = looked.where(F.col("what") != SLICE).groupBy(*window_key).agg(F.count(F.lit(1)).alias("n"), F.max("what").alias("asked")).where(f"n > 1 and asked = {ASK}").select(*window_key)
+    window_key = ["w1", "w2"]
+    found = looked.where(F.col("what") != SLICE).groupBy(*window_key).agg(F.count(F.lit(1)).alias("times"), F.max("what").alias("asked")).where(f"times > 1 and asked = {ASK}").select(*window_key)
     found = materialize(found, "found")
     starts = looked.where(F.col("what") == ASK).join(found, window_key, "left_semi").groupBy("d", "t").agg(F.collect_set("start").alias("starts"))
-    words = looked.where(F.col("what") == SLICE).select(F.col("d").alias("sd"), F.col("t").alias("st"), F.col("start").alias("sa"), F.col("w3").cast("int").alias("n"), "w1", "w2").distinct()
+    words = looked.where(F.col("what") == SLICE).select(F.col("d").alias("sd"), F.col("t").alias("st"), F.col("start").alias("sa"), F.col("n").cast("int").alias("n"), "w1", "w2").distinct()
     words = materialize(words, "words")
     spans = claims.join(words, ["sd", "st", "sa", "n"]).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b", "w1", "w2")).alias("spans"))
 

@@ -98,6 +98,36 @@ def test_paths_compact(spark):
     assert got == want
 
 
+def test_compaction_joins_spans(spark, monkeypatch):
+    """Two copies of 1,500 words on a path that doesn't branch: their spans are looked up by the path, not edge by edge, and both ways find the same."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a = words(1500)
+    rows = [(i, " ".join(words(50) + a + words(50))) for i in range(2)]
+    docs, looked, write = spark.createDataFrame(rows, "doc_id long, text string"), [], substring_dedup.materialize
+
+    def kept(df, name):
+        out = write(df, name)
+        if name in ("placed", "words"):
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", kept)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == stripped(rows, 35)
+    edges, spans = looked
+    assert edges > 80 and 2 * edges / substring_dedup.CUT <= spans <= 2 * edges / substring_dedup.CUT + 8
+    none = spark.createDataFrame([], "s1 long, s2 long, p1 long, p2 long, place long")
+    monkeypatch.setattr(substring_dedup, "compact_paths", lambda links: none)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == stripped(rows, 35)
+    assert looked[2:] == [edges, 2 * edges]
+
+
+def test_windows_are_told_by_their_words():
+    text = b"one two three one two three"
+    found = substring_dedup.digests_of(text, np.array([0, 14, 4]), np.array([7, 21, 13]))
+    assert found.tolist() == [list(substring_dedup.digest_of(w)) for w in (b"one two", b"one two", b"two three")]
+
+
 def test_word_sequence_hashes_depend_on_content_only():
     h = substring_dedup.Hasher()
     t = [b"a", b"b", b"c", b"a", b"b", b"c", b"d"]
