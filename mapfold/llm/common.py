@@ -31,12 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+#: Spark's setting that shuffle files go when their query ends, and not once the driver's JVM has collected its plan.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    free: the shuffle files of the write go as soon as the table is there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    if free:
+        before = spark.conf.get(FREE)
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, table
+from .common import materialize as write_table
 
 #: Words of a window and of an anchor.
 WINDOW, K = 35, 8
@@ -48,6 +50,8 @@ WINDOW, K = 35, 8
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Edges after which a span is cut.
 CUT = 8
+#: A table whose shuffle files go at once: there are over a dozen, and the disk would hold the files of all.
+materialize = partial(write_table, free=True)
 #: Most words whose hashes a task remembers.
 REMEMBERED = 500_000
 
