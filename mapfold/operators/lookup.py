@@ -74,5 +74,5 @@ def geometries_of(objects: DataFrame, rad: float) -> DataFrame:
 
 
 def argmin(df: DataFrame, by: Column, ident: str) -> DataFrame:
-    """The one row of smallest value, ties to the smaller id."""
-    return df.select(F.min(F.struct(by.alias("d"), F.col(ident).alias("id"))).alias("b")).select("b.id", "b.d")
+    """The one row of smallest value, ties to the smaller id; rows without a value take no part, and without any row both are null."""
+    return df.select(by.alias("d"), F.col(ident).alias("id")).where("d is not null").select(F.min(F.struct("d", "id")).alias("b")).select("b.id", "b.d")

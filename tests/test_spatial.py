@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import geometry
 from mapfold.operators import grid, ingest, lookup, raster, rings
+from mapfold.plans import catalog
 from mapfold.sources import sinks
 
 
@@ -175,3 +176,14 @@ def test_no_map_query_is_a_nested_loop(spark, sf):
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         if name not in ("normalised_raster", "coloured_heatmap"):
             assert not re.search("NestedLoop|Cartesian", plan), name
+
+
+def test_nearest_point_is_in_the_square_and_has_a_place(spark, tmp_path):
+    """A nearest point outside of the click's square isn't found, and one without a place isn't nearest."""
+    orders = lambda keys: spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    orders([0])
+    assert [tuple(r) for r in catalog.nearest_point(spark, str(tmp_path)).collect()] == [(None, None)]
+    orders([46258, 0, 190258])
+    assert catalog.nearest_point(spark, str(tmp_path)).first()["id"] == 46258
+    rows = spark.createDataFrame([(1, None), (3, 2.0), (2, 2.0), (4, 5.0)], "row_id long, v double")
+    assert tuple(lookup.argmin(rows, F.col("v"), "row_id").first()) == (2, 2.0)
