@@ -6,12 +6,19 @@ can't be read keeps one component of kind NONE. Vertices that don't project to f
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, mercator, wkt
 
 
+def spread(rows: DataFrame, per_task: int) -> DataFrame:
+    """rows dealt out to tasks of about `per_task` rows, however few files they come from: before long texts are made of them or decoded."""
+    return rows.repartition(max(1, math.ceil(rows.count() / per_task)))
+
+
 def decode(rows: DataFrame, qid: str = "qid", text: str = "wkt") -> DataFrame:
     """(qid, part_idx, kind, hole, ring, poly, member, type, coords): one row per component, in degrees; NONE for rows without any."""
     read = wkt.with_components(rows.select(F.col(qid).alias("qid"), F.col(text).alias("_wkt")), "_wkt", "_parts")

@@ -155,13 +155,15 @@ def explode_multi(spark, sf):
 
 
 _LONG = "concat({open}, array_join(transform(sequence(0, {n}), i -> concat({item})), ','), {close})"
+#: Texts of some hundreds of vertices that a task makes and decodes; texts twenty times as long go by twentieths.
+PER_TASK = 2000
 _STEP = "CAST((qid + i) % 170 AS STRING), ' ', CAST(i % 80 AS STRING)"
 
 
 @query("SELECT c_custkey AS qid, kind, n, CAST((c_custkey + k) % 170 AS DOUBLE) AS x FROM customer JOIN (VALUES ('POINT', 1, 5), ('LINE', 601, 0), ('AREA', 4, 0), ('POINT', 1, 9)) t(kind, n, k) ON true")
 def decode_collections(spark, sf):
     """Collections of a line of 601 vertices, areas and points with further coordinates; a collection inside is skipped."""
-    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("qid"))
+    rows = ingest.spread(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("qid")), PER_TASK)
     line = _LONG.format(open="'GEOMETRYCOLLECTION Z (POINT Z (', CAST((qid + 5) % 170 AS STRING), ' 1 9), LINESTRING('", n=600, item=_STEP, close="'), GEOMETRYCOLLECTION(MULTIPOLYGON(((9 9, 8 8, 9 8))))'")
     rest = "concat(', POLYGON((', CAST(qid % 170 AS STRING), ' 1, 5 5, 6 6)), multipoint m ((', CAST((qid + 9) % 170 AS STRING), ' 3 4)))')"
     parts = ingest.decode(rows.withColumn("wkt", F.expr(f"concat({line}, {rest})")))
@@ -171,7 +173,7 @@ def decode_collections(spark, sf):
 @query("SELECT s_suppkey AS qid, CAST(3001 AS BIGINT) AS n_rings, CAST(1000 AS BIGINT) AS n_holes, CAST(12004 AS BIGINT) AS n_vertices FROM supplier")
 def decode_large_multipolygons(spark, sf):
     """Multipolygons of 2,001 members, the first with 1,000 holes, none of them closed."""
-    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("qid"))
+    rows = ingest.spread(spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("qid")), PER_TASK // 20)
     ring = "'(', " + _STEP + ", ',1 1, 171 2)'"
     first = _LONG.format(open="'('", n=1000, item=ring, close="')'")
     others = _LONG.format(open="','", n=1999, item=f"'(', {ring}, ')'", close="''")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mapfold.functions import geometry
+from mapfold.functions import geometry, wkt
 from mapfold.operators import grid, ingest, lookup, raster, rings
 from mapfold.plans import catalog
 from mapfold.sources import sinks
@@ -187,3 +187,14 @@ def test_nearest_point_is_in_the_square_and_has_a_place(spark, tmp_path):
     assert catalog.nearest_point(spark, str(tmp_path)).first()["id"] == 46258
     rows = spark.createDataFrame([(1, None), (3, 2.0), (2, 2.0), (4, 5.0)], "row_id long, v double")
     assert tuple(lookup.argmin(rows, F.col("v"), "row_id").first()) == (2, 2.0)
+
+
+def test_long_texts_are_dealt_out(spark, tmp_path):
+    """Texts to be decoded of one file, or of one row group, are read by several tasks, however many there are."""
+    for name, key, n, tasks in (("customer", "c_custkey", 4100, 3), ("supplier", "s_suppkey", 250, 3)):
+        spark.range(n).select(F.col("id").alias(key)).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        made = {"customer": catalog.decode_collections, "supplier": catalog.decode_large_multipolygons}[name](spark, str(tmp_path))
+        assert f"RoundRobinPartitioning({tasks})" in made._jdf.queryExecution().executedPlan().toString()
+    literals = [('"POINT(1 2)"^^<x>', "POINT(1 2)"), ("POINT(1\t2)\n", "POINT(1 2)"), (' "POINT(1\r2)"@en ', "POINT(1 2)"), ("POINT(1 2) ", "POINT(1 2)"), (None, None)]
+    got = spark.createDataFrame(literals, "wkt string, want string").select(wkt.literal(F.col("wkt")).alias("got"), "want").collect()
+    assert [x["got"] for x in got] == [x["want"] for x in got]
