@@ -672,7 +672,8 @@ def packed_ids(spark, sf):
 
     path = f"{tables.shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
     ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("qid"))
-    packed.write_ids(ids.repartitionByRange(4, "qid").sortWithinPartitions("qid"), path)
+    files = max(4, -(-ids.count() // 2_000_000))
+    packed.write_ids(ids.repartitionByRange(files, "qid").sortWithinPartitions("qid"), path)
     return packed.numbered(packed.read_ids(spark, path, 1000)).select("qid", "row")
 
 

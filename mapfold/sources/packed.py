@@ -3,8 +3,9 @@
     spark.read.format("packed_ids").options(pageRows=, first=, after=).load(path)      path, position, qid
     df.select("qid").write.format("packed_ids").mode("append").save(path)   a file for each partition
 
-A page is a range of records of one file and a partition of its own, whatever the file's length; what is left of a record at a file's end is
-ignored. A range of records is asked for by the options first and after, not by pushed-down conditions: with those, Spark 4.1 keeps what was pushed down for
+A page is a range of records of one file and a partition of its own, whatever the file's length; only of more than MANY pages several
+that follow each other in a file make a partition, of at most PAGE_ROWS records, so that many small pages don't become as many tasks. What is
+left of a record at a file's end is ignored. A range of records is asked for by the options first and after, not by pushed-down conditions: with those, Spark 4.1 keeps what was pushed down for
 further queries of the same DataFrame. Files are reached through pyarrow's file systems (local,
 hdfs, s3, gs); read_ids() reads from others through Spark's own.
 """
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes of a packed id; records of a page and of a batch.
-ID_BYTES, PAGE_ROWS, BATCH_ROWS = 8, 10_000_000, 1_000_000
+ID_BYTES, PAGE_ROWS, BATCH_ROWS = 8, 10_000_000, 100_000
+#: Pages from which several make a partition.
+MANY = 64
 SCHEMA = "path string, position long, qid long"
 
 
@@ -55,10 +58,12 @@ class IdReader(DataSourceReader):
         self.path, self.page_rows, self.low, self.high = path, page_rows, first, after
 
     def partitions(self) -> list[Page]:
-        out = []
-        for path, size in files_of(self.path):
-            after = min(size // ID_BYTES, self.high)
-            out += [Page(path, max(a, self.low), min(a + self.page_rows, after)) for a in range(self.low // self.page_rows * self.page_rows, after, self.page_rows)]
+        out, start = [], self.low // self.page_rows * self.page_rows
+        files = [(path, min(size // ID_BYTES, self.high)) for path, size in files_of(self.path)]
+        pages = sum(max(0, -(-(after - start) // self.page_rows)) for _, after in files)
+        rows = self.page_rows * max(1, min(-(-pages // MANY), PAGE_ROWS // self.page_rows))
+        for path, after in files:
+            out += [Page(path, max(a, self.low), min(a + rows, after)) for a in range(start, after, rows)]
         return [p for p in out if p.first < p.after] or [Page("", 0, 0)]
 
     def read(self, page: Page) -> Iterator[pa.RecordBatch]:
@@ -145,10 +150,10 @@ def read_ids(spark: SparkSession, path: str, page_rows: int = PAGE_ROWS, first:
 
 
 def numbered(ids: DataFrame) -> DataFrame:
-    """ids with row: positions counted through all files, in the order of their names. A row for each file is all that is sorted."""
+    """ids with row: positions counted through all files, in the order of their names. A row for each file is all that is sorted and sent to all tasks."""
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ids.groupBy("path").agg((F.max("position") + 1).alias("n")).select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    return ids.join(sizes, "path").withColumn("row", F.col("_base") + F.col("position")).drop("_base")
+    return ids.join(F.broadcast(sizes), "path").withColumn("row", F.col("_base") + F.col("position")).drop("_base")
 
 
 def _through_spark(spark: SparkSession, path: str) -> DataFrame:

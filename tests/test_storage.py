@@ -312,3 +312,22 @@ def geometry_distance(v, a, b):
     d = b - a
     t = min(1, max(0, (v - a) @ d / (d @ d))) if d @ d else 0
     return ((v - a - t * d) @ (v - a - t * d)) ** 0.5
+
+
+def test_small_pages_of_packed_ids_share_tasks(spark, tmp_path):
+    """Tasks don't grow with the number of small pages, and every record is read once, from wherever reading starts."""
+    import numpy as np
+
+    from mapfold.sources import packed
+
+    (tmp_path / "a").mkdir()
+    for i, n in enumerate((50_000, 30_001, 0, 7)):
+        (tmp_path / "a" / f"{i}.ids").write_bytes(np.arange(i * 100_000, i * 100_000 + n, dtype="<i8").tobytes())
+    df = packed.read_ids(spark, str(tmp_path / "a"), 100)
+    assert df.rdd.getNumPartitions() <= packed.MANY + 3
+    want = [*range(50_000), *range(100_000, 130_001), *range(300_000, 300_007)]
+    assert sorted(r["qid"] for r in df.select("qid").collect()) == want
+    assert [r["qid"] for r in packed.numbered(df).orderBy("row").select("qid").collect()] == want
+    part = packed.read_ids(spark, str(tmp_path / "a"), 100, 12_345, 29_999)
+    assert part.rdd.getNumPartitions() <= packed.MANY + 3
+    assert sorted(r["qid"] for r in part.select("qid").collect()) == [*range(12_345, 29_999), *range(112_345, 129_999)]
