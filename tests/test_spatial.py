@@ -198,3 +198,19 @@ def test_long_texts_are_dealt_out(spark, tmp_path):
     literals = [('"POINT(1 2)"^^<x>', "POINT(1 2)"), ("POINT(1\t2)\n", "POINT(1 2)"), (' "POINT(1\r2)"@en ', "POINT(1 2)"), ("POINT(1 2) ", "POINT(1 2)"), (None, None)]
     got = spark.createDataFrame(literals, "wkt string, want string").select(wkt.literal(F.col("wkt")).alias("got"), "want").collect()
     assert [x["got"] for x in got] == [x["want"] for x in got]
+
+
+def test_equal_boxes_are_joined_once(spark, monkeypatch):
+    """Pairs of points and boxes, many of them equal, are those of brute force; only distinct boxes meet points, and lists stay short."""
+    monkeypatch.setattr(grid, "LISTED", 8)
+    r = np.random.default_rng(7)
+    p = [(i, float(a), float(b)) for i, (a, b) in enumerate(r.uniform(0, 1000, (120, 2)))] + [(7, 500.0, 500.0)]
+    kinds = [(400.0, 300.0, 600.0, 700.0), (0.0, 0.0, 1000.0, 1000.0), (5000.0, 5000.0, 6000.0, 6000.0), (500.0, 500.0, 500.0, 500.0)]
+    b = [(i, *kinds[i % 4]) for i in range(90)] + [(1, *kinds[1])]
+    points, boxes = spark.createDataFrame(p, "row_id int, x double, y double"), spark.createDataFrame(b, "box int, minx double, miny double, maxx double, maxy double")
+    pairs = grid.box_pairs(points, boxes, "row_id", "box", 0.0, 0.0)
+    want = sorted((k, i) for k, x1, y1, x2, y2 in b for i, x, y in p if x1 <= x <= x2 and y1 <= y <= y2)
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 2000
+    assert grid.box_pairs(points, boxes.where("false"), "row_id", "box", 0.0, 0.0).count() == 0
+    plan = catalog.points_in_boxes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(box" in plan and "collect_list(row_id" in plan
