@@ -34,9 +34,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,22 +140,25 @@ def _scan(window: int, k: int):
     """Per document: words, digest of its words, and its anchors that start a window, with all nodes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, none = Hasher(), [np.zeros(0, np.uint64)] * 5
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n_words, digests, lists = [], [], [[] for _ in range(7)]
+                n_words, digests, lists = [], [], [[] for _ in range(5)]
                 for text in part.column(3).to_pylist():
                     tokens = (text or "").encode().split()
                     n_words.append(len(tokens))
                     digests.append(hashlib.sha256(b" ".join(tokens)).hexdigest())
                     rows = graph_rows(tokens, hasher, window, k)
-                    for out, column in zip(lists, rows or [np.zeros(0, np.uint64)] * 5, strict=False):
-                        out.append(_signed(column))
-                    for c in (3, 4):  # of each edge the one that follows
-                        lists[c + 2].append(np.append(lists[c][-1][1:], 0)[: len(lists[c][-1])])
+                    for out, column in zip(lists, rows or none, strict=True):
+                        out.append(column)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists[0]]))).astype(np.int32)
-                arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in lists]
+                columns = [_signed(np.concatenate(x)) for x in lists]
+                last = offsets[1:][np.diff(offsets) > 0] - 1
+                for c in (3, 4):  # of each edge the one that follows
+                    columns.append(np.append(columns[c][1:], 0)[: len(columns[c])])
+                    columns[-1][last] = 0
+                arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in columns]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words, pa.int64()), pa.array(digests), *arrays], ["doc_id", "d", "t", "n_words", "digest", "pos", "until", "h", "s1", "s2", "n1", "n2"])
 
     return run
@@ -171,6 +176,13 @@ def digests_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(every, "<i8").reshape(-1, 2)
 
 
+def values_of(lists: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list, none for null."""
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    empty = values[:0]
+    return [values[a:b] if ok else empty for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
+
+
 LOOKED = ["w1", "w2", "n", "d", "t", "start", "what"]
 ASK, SHOW, SLICE = 1, 0, 2
 
@@ -189,10 +201,6 @@ def _windows(window: int, k: int):
     """What is looked up of a document, as digests of n windows that start one after the other: its undecided windows (what:
     ASK; n is 1), those that others may ask for (SHOW), and its slices that others' spans are compared with (SLICE)."""
 
-    def column(lists: pa.Array, i: int) -> np.ndarray:
-        found = lists[i]
-        return found.values.to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, np.int32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, rows, docs = Hasher(), [], 0, 0
 
@@ -202,19 +210,23 @@ def _windows(window: int, k: int):
 
         for batch in batches:
             owners, texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2)
-            marked, *intervals = batch.columns[3:8]
+            marked, *intervals = map(values_of, batch.columns[3:8])
             for i, ((d, t), slices) in enumerate(zip(owners, batch.column(8).to_pylist(), strict=True)):
                 joined = b" ".join(tokens := texts[i].as_py().encode().split())
                 n = len(tokens)
                 ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
                 starts = np.concatenate(([0], ends[:-1] + 1))
-                at = np.arange(n - k + 1)
-                hashes = hasher.spans(hasher.sums(hasher.words(tokens), 0), at, at + k)
-                span_a, span_b, show_a, show_b = (column(c, i) for c in intervals)
-                # a window whose smallest k-mer is a node that occurs once can't repeat
-                asked = np.isin(slide(hashes, window - k + 1, np.minimum), hashes[column(marked, i)])
-                asked &= ~covered(len(asked), span_a, span_b)
-                for pick, what in ((asked, ASK), (covered(len(asked), show_a, show_b), SHOW)):
+                size, picks = n - window + 1, []
+                span_a, span_b, show_a, show_b = (c[i] for c in intervals)
+                if len(marked[i]):  # a window whose smallest k-mer is a node that occurs once can't repeat
+                    at = np.arange(n - k + 1)
+                    hashes = hasher.spans(hasher.sums(hasher.words(tokens), 0), at, at + k)
+                    known, least = np.sort(hashes[marked[i]]), slide(hashes, window - k + 1, np.minimum)
+                    asked = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least
+                    picks.append((asked & ~covered(size, span_a, span_b), ASK))
+                if len(show_a):
+                    picks.append((covered(size, show_a, show_b), SHOW))
+                for pick, what in picks:
                     begin = np.flatnonzero(pick)
                     if m := len(begin):
                         digests = digests_of(joined, starts[begin], ends[begin + window - 1])
@@ -242,18 +254,15 @@ def _strip(window: int, keep_text: bool):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out = []
-                for d, t, text, spans, starts in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                claimed, fields = part.column(3), [pc.list_flatten(part.column(3)).field(c).to_pylist() for c in ("a", "b", "w1", "w2")]
+                claims = zip(*fields, strict=True)
+                sizes = pc.fill_null(pc.list_value_length(claimed), 0).to_pylist()
+                for d, t, text, n_spans, starts in zip(*[c.to_pylist() for c in part.columns[:3]], sizes, values_of(part.column(4)), strict=True):
                     tokens = text.encode().split()
-                    gone = np.zeros(len(tokens) + 1, np.int64)
-                    for s in spans or []:
-                        end = s["b"] - 1 + window
-                        if digest_of(b" ".join(tokens[s["a"] : end])) == (s["w1"], s["w2"]):
-                            gone[s["a"]] += 1
-                            gone[end] -= 1
-                    for s in starts or []:
-                        gone[s] += 1
-                        gone[s + window] -= 1
-                    kept = [w for w, g in zip(tokens, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
+                    spans = [(a, b - 1 + window) for a, b, *digest in islice(claims, n_spans) if digest_of(b" ".join(tokens[a : b - 1 + window])) == tuple(digest)]
+                    whole = np.array(spans, np.int64).reshape(-1, 2)
+                    left = ~covered(len(tokens), np.concatenate((whole[:, 0], starts)), np.concatenate((whole[:, 1], starts + window)))
+                    kept = list(compress(tokens, left.tolist()))
                     left = b" ".join(kept)
                     out.append((d, t, len(tokens) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None))
                 columns = list(zip(*out, strict=True))

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -495,3 +496,18 @@ def test_windows_cover_all():
     for n in (0, 1, 63, 64, 65, 96, 97, 1000):
         w = toxicity.windows_of(n)
         assert set().union(*[range(a, b) for a, b in w]) == set(range(n)) and all(b - a <= toxicity.SPAN for a, b in w)
+
+
+def test_values_of_lists_and_texts_that_need_no_hashes(monkeypatch):
+    """Slices of lists with nulls; what is only shown or sliced of a text is looked up without hashing its words."""
+    lists = pa.array([[1, 2], None, [], [3], [4, 5, 6]], pa.list_(pa.int32()))
+    assert [v.tolist() for v in substring_dedup.values_of(lists)] == [[1, 2], [], [], [3], [4, 5, 6]]
+    assert [v.tolist() for v in substring_dedup.values_of(lists.slice(1, 3))] == [[], [], [3]]
+    monkeypatch.setattr(substring_dedup.Hasher, "words", lambda *_: 1 / 0)
+    ints, text = pa.list_(pa.int32()), " ".join(map(str, range(50)))
+    columns = [pa.array([7]), pa.array([8]), pa.array([text]), pa.array([None], ints), pa.array([[]], ints), pa.array([[]], ints), pa.array([[2]], ints), pa.array([[4]], ints), pa.array([[{"a": 1, "n": 3}]])]
+    rows = pa.RecordBatch.from_arrays(columns, list("abcdefghi"))
+    found = pa.Table.from_batches(substring_dedup._windows(35, 8)(iter([rows]))).to_pylist()
+    assert [(r["start"], r["n"], r["what"]) for r in found] == [(2, 1, substring_dedup.SHOW), (3, 1, substring_dedup.SHOW), (1, 3, substring_dedup.SLICE)]
+    want = [" ".join(map(str, range(a, b))).encode() for a, b in ((2, 37), (3, 38), (1, 38))]
+    assert [(r["w1"], r["w2"]) for r in found] == [substring_dedup.digest_of(w) for w in want]
