@@ -5,14 +5,17 @@ bits, too few to tell a near copy from a looser likeness. Here a fingerprint has
 majority of the text's five-word shingles under a hash of its own, and texts link whose words differ in at most
 BITS of the 256 bits. BITS lies where a similarity of 0.7 is expected, so that nearly all pairs of 0.8 link.
 
-A text is dealt out under four keys, the smallest shingle hash under each of the four hashes: two texts share a key
+Like op8's, fingerprints are dealt out under keys of equal bits (two of four blocks of the first word), so that texts
+whose first words differ in two bits at most always meet. At 0.8 they differ in more, so they are dealt out under
+further keys too, the smallest shingle hash under each of the four hashes: two texts share one
 with the probability of their similarity, so a pair of 0.8 has none in common in one case of six hundred. Inside a
-key, components are followed from text to text; differing bits are summed word by word and a text is let go as soon
-as they exceed the budget. A key of more than BLOCK texts is split into blocks, and each pair of blocks is compared
-by itself, so that no task holds a hot key and no text is left out.
+key, the sorted fingerprints are a binary trie, whose nodes are ranges. A text is followed from the root, bit by bit, with the
+number of bits that differ so far, and a branch is let go as soon as they exceed the budget; components are followed from
+text to text, so that those found are in no later trie. A key of more than BLOCK texts is split into blocks, and each pair
+of blocks is a trie by itself, so that no task holds a hot key and no text is left out.
 
-With a `similarity`, links are exact: fingerprints (here of the sets of shingles) only find candidates, with a budget of
-WIDE bits and eight keys, under which a pair of 0.8 has none in common in one case of 390,000. The sets of the texts
+With a `similarity`, links are exact: tries of fingerprints (here of the sets of shingles) only find candidates, with a budget
+of WIDE bits and eight smallest hashes, of which a pair of 0.8 has none in common in one case of 390,000. The sets of the texts
 that have a candidate join them in their blocks, and a pair links if its Jaccard similarity is at least that. A pair is
 looked at under its first common key only; equal sets are one from the start.
 
@@ -34,11 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .simhash import majority, shingle_hashes
+from .simhash import block_masks, majority, shingle_hashes
 
 WORDS, BITS, BLOCK = 5, 48, 1024
 #: Groups of up to so many texts are compared together.
 FEW = 12
+#: Texts of a larger group that are followed in a trie at a time.
+FRONT = 64
 #: Odd steps that tell the four hashes apart.
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 PRINT = ["f0", "f1", "f2", "f3"]
@@ -46,6 +51,9 @@ PRINT = ["f0", "f1", "f2", "f3"]
 WIDE = 80
 MORE_STEPS = (*STEPS, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 MORE_KEYS = [f"k{i}" for i in range(len(MORE_STEPS))]
+#: The first word's bits that texts have in common under one of the first keys.
+MASKS = block_masks()
+BLOCK_KEYS = [f"b{i}" for i in range(len(MASKS))]
 
 
 def scrambled(hashes: np.ndarray, step: int) -> np.ndarray:
@@ -86,62 +94,116 @@ def within(prints: np.ndarray, one: np.ndarray, other: np.ndarray, bits: int) ->
     return left
 
 
+def trie_search(prints: np.ndarray, rows: np.ndarray, asked: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs asked[q], row of the rows rows[low[q]:high[q]] whose prints differ in at most `bits` bits; in that range, rows are sorted by their prints.
+
+    Such a range is a trie, and a node of it the range of rows that share a prefix. Each asked print goes down from the
+    root, to both children of a node; what it has spent is the number of bits in which it differs from the prefix.
+    """
+    q = np.flatnonzero(low < high)
+    lo, hi, spent = low[q], high[q], np.zeros(len(q), np.int64)
+    one, leaf = [], []
+    for bit in range(64 * prints.shape[1]):
+        alone = hi - lo == 1
+        one.append(q[alone])
+        leaf.append(lo[alone])
+        q, lo, hi, spent = (x[~alone] for x in (q, lo, hi, spent))
+        if not len(q):
+            break
+        of = (prints[:, bit // 64] >> np.uint64(63 - bit % 64)).astype(np.int64) & 1
+        before = np.concatenate(([0], np.cumsum(of[rows])))
+        mid, own = hi - (before[hi] - before[lo]), of[asked[q]]
+        left, right = (lo < mid) & (spent + own <= bits), (mid < hi) & (spent + 1 - own <= bits)
+        q, lo, hi, spent = np.concatenate((q[left], q[right])), np.concatenate((lo[left], mid[right])), np.concatenate((mid[left], hi[right])), np.concatenate(((spent + own)[left], (spent + 1 - own)[right]))
+    size = hi - lo  # rows of one print
+    one.append(np.repeat(q, size))
+    leaf.append(np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    one, other = asked[np.concatenate(one)], rows[np.concatenate(leaf)]
+    near = within(prints, one, other, bits)  # what leaves have beyond their prefix
+    return one[near], other[near]
+
+
+def sorted_rows(prints: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows by group, and by print in each."""
+    return np.lexsort((*prints.T[::-1], group))
+
+
+def every(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.arange(len(one))
+
+
+def follow(prints: np.ndarray, rows: np.ndarray, bits: int, maybe=every, exact=every) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join each component of sorted rows: they link if they are within `bits` bits and both maybe and exact leave them.
+
+    maybe is asked about many pairs at once, exact about those of one row and rows that are in no component yet.
+    """
+    alive, many = np.zeros(len(prints), bool), 1
+    alive[rows] = True
+    front, one, other = np.zeros(0, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rows := rows[alive[rows]]):
+        fresh = not len(front)
+        asked, front = (rows[:many], front) if fresh else (front[:FRONT], front[FRONT:])
+        many = min(2 * many, FRONT)
+        a, b = trie_search(prints, rows, asked, np.zeros(len(asked), np.int64), np.full(len(asked), len(rows)), bits)
+        left = maybe(a, b)
+        order = left[np.argsort(a[left], kind="stable")]
+        a, b = a[order], b[order]
+        starts, ends = np.searchsorted(a, asked), np.searchsorted(a, asked, side="right")
+        for i, s, e in zip(asked.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            alive[i] = False
+            near = b[s:e][alive[b[s:e]]]
+            if len(near) and len(near := near[exact(np.full(len(near), i), near)]):
+                alive[near] = False
+                one.append(np.full(len(near), i))
+                other.append(near)
+                front = np.concatenate((front, near))
+                if fresh:  # its component is followed to its end before another one is begun
+                    many = 1
+                    break
+    return np.concatenate(one), np.concatenate(other)
+
+
+def joined(prints: np.ndarray, starts: np.ndarray, bits: int, maybe=every, exact=every) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the components of each group of rows, as in follow(); starts: where groups start, and the end."""
+    size = np.diff(starts)
+    rows, few = sorted_rows(prints, np.repeat(np.arange(len(size)), size)), np.repeat(size <= FEW, size)
+    at = np.flatnonzero(few)  # each row of a small group meets those behind it
+    a, b = trie_search(prints, rows, rows, np.arange(len(rows)) + 1, np.where(few, np.repeat(starts[1:], size), 0), bits) if len(at) else (at, at)
+    left = maybe(a, b)
+    order = left[np.argsort(a[left], kind="stable")]
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.diff(a)) + 1
+    good = [exact(x, y) + s for x, y, s in zip(np.split(a, cuts), np.split(b, cuts), [0, *cuts], strict=True)] if exact is not every else [every(a, b)]
+    pairs = [(a[g], b[g]) for g in good] + [follow(prints, rows[starts[g] : starts[g + 1]], bits, maybe, exact) for g in np.flatnonzero(size > FEW)]
+    return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+
+
 def chains(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that join each component of rows that differ in at most `bits` bits."""
-    rest, one, other = np.arange(len(prints)), [], []
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            hit = within(prints, np.full(len(rest), i), rest, bits)
-            if len(hit):
-                found = rest[hit]
-                one.append(np.full(len(found), i))
-                other.append(found)
-                front.extend(found)
-                rest = np.delete(rest, hit)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *one]), np.concatenate([none, *other])
+    return follow(prints, sorted_rows(prints, np.zeros(len(prints), np.int64)), bits)
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
 
 def _links(bits: int):
     """For rows sorted by group (i, key, x, y), then node and fingerprint: links within each group."""
 
-    def close(table: np.ndarray) -> pa.RecordBatch:
-        group, node, prints = table[:, :4], table[:, 4], table[:, 5:].astype(np.int64).view(np.uint64)
-        starts = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(group)]))
-        size = np.diff(starts)
-        few = np.repeat(size <= FEW, size)
-        until = np.repeat(starts[1:], size)
-        one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lag in range(1, FEW):
-            at = np.flatnonzero(few & (np.arange(len(group)) + lag < until))
-            hit = at[within(prints, at, at + lag, bits)]
-            one.append(hit)
-            other.append(hit + lag)
-        for g in np.flatnonzero(size > FEW):
-            a, b = chains(prints[starts[g] : starts[g + 1]], bits)
-            one.append(a + starts[g])
-            other.append(b + starts[g])
-        a, b = node[np.concatenate(one)], node[np.concatenate(other)]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 9), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                held = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
-                last = np.flatnonzero((held[:, :4] != held[-1, :4]).any(axis=1))
-                cut = last[-1] + 1 if len(last) else 0  # the last group may go on
-                if cut:
-                    yield close(held[:cut])
-                    held = held[cut:]
-        if len(held):
-            yield close(held)
+        for table, starts in whole_groups(batches):
+            prints, node = _column(table, PRINT).view(np.uint64), table.column("node").to_numpy()
+            one, other = joined(prints, starts, bits)
+            yield _ordered(node[one], node[other])
 
     return run
 
 
+def _blocks_of(nodes: DataFrame) -> DataFrame:
+    """nodes, with the keys of equal bits of their first word."""
+    return nodes.withColumns({c: F.col("f0").bitwiseAND(F.lit(m)) for c, m in zip(BLOCK_KEYS, MASKS, strict=True)})
+
+
 def _dealt(rows: DataFrame, keys: list[str], carried: list[str], block: int) -> DataFrame:
     """(i, key, x, y, node, *carried), grouped and sorted: rows under each of their keys, in each pair of blocks they belong to."""
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.col(k).alias("key")) for i, k in enumerate(keys)]))
@@ -160,7 +222,7 @@ def _grouped(dealt: DataFrame) -> DataFrame:
 
 def wide_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(src, dst): links that join the nodes (node, f0 to f3, k0 to k3) which share a key and differ in at most `bits` bits."""
-    return _dealt(prints, ["k0", "k1", "k2", "k3"], PRINT, block).mapInArrow(_links(bits), "src long, dst long")
+    return _dealt(_blocks_of(prints), [*BLOCK_KEYS, "k0", "k1", "k2", "k3"], PRINT, block).mapInArrow(_links(bits), "src long, dst long")
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -225,34 +287,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         yield held, starts(held)
 
 
-def candidate(one: np.ndarray, other: np.ndarray, prints: np.ndarray, keys: np.ndarray, size: np.ndarray, turn: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs one[i], other[i] may be of that similarity and have no key before this one in common."""
-    a, b = size[one], size[other]
-    left = np.flatnonzero(np.minimum(a, b) / np.maximum(a, b) >= similarity)
-    left = left[within(prints, one[left], other[left], WIDE)]
-    met = (keys[one[left]] == keys[other[left]]) & (np.arange(keys.shape[1]) < turn[one[left]][:, None])
-    return left[~met.any(axis=1)]
-
-
-def _read(table: pa.RecordBatch) -> tuple:
-    column = lambda names: np.stack([table.column(c).to_numpy() for c in names], axis=1)
-    return column(PRINT).view(np.uint64), column(MORE_KEYS), table.column("size").to_numpy(), table.column("i").to_numpy()
-
-
-def follow(size: int, hit) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join each component of the rows 0 to size - 1; hit(i, rest) gives those of rest that i links to, as positions."""
-    rest, one, other = np.arange(size), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            found = hit(i, rest)
-            if len(found):
-                one.append(np.full(len(found), i))
-                other.append(rest[found])
-                front.extend(rest[found])
-                rest = np.delete(rest, found)
-    return np.concatenate(one), np.concatenate(other)
+def _column(table: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in names], axis=1)
+
+
+def _candidate(table: pa.RecordBatch, prints: np.ndarray, similarity: float):
+    """Tells which pairs one[i], other[i] of rows may be of that similarity and have no key before this one in common."""
+    size, turn = table.column("size").to_numpy(), table.column("i").to_numpy()
+    keys = np.concatenate((prints[:, :1].view(np.int64) & np.array(MASKS), _column(table, MORE_KEYS)), axis=1)
+
+    def maybe(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        a, b = size[one], size[other]
+        left = np.flatnonzero(np.minimum(a, b) / np.maximum(a, b) >= similarity)
+        met = (keys[one[left]] == keys[other[left]]) & (np.arange(keys.shape[1]) < turn[one[left]][:, None])
+        return left[~met.any(axis=1)]
+
+    return maybe
 
 
 def _candidates(similarity: float):
@@ -260,17 +310,9 @@ def _candidates(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches):
-            row = _read(table)
-            marked, size = np.zeros(table.num_rows, bool), np.diff(starts)
-            few, until, at = np.repeat(size <= FEW, size), np.repeat(starts[1:], size), np.arange(table.num_rows)
-            for lag in range(1, FEW):
-                one = np.flatnonzero(few & (at + lag < until))
-                one = one[candidate(one, one + lag, *row, similarity)]
-                marked[one] = marked[one + lag] = True
-            for g in np.flatnonzero(size > FEW):
-                s = starts[g]
-                a, b = follow(size[g], lambda i, rest, s=s: candidate(np.full(len(rest), s + i), s + rest, *row, similarity))
-                marked[s + a] = marked[s + b] = True
+            prints, marked = _column(table, PRINT).view(np.uint64), np.zeros(table.num_rows, bool)
+            one, other = joined(prints, starts, WIDE, _candidate(table, prints, similarity))
+            marked[one] = marked[other] = True
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(marked)) for c in table.columns[:5]], ["i", "key", "x", "y", "node"])
 
     return run
@@ -288,22 +330,19 @@ def _exact_links(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches):
-            row, node = _read(table), table.column("node").to_numpy()
-            hashes = table.column("hashes")
+            prints, node, hashes = _column(table, PRINT).view(np.uint64), table.column("node").to_numpy(), table.column("hashes")
             values, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
 
-            def hit(i, rest, s):
-                found = candidate(np.full(len(rest), s + i), s + rest, *row, similarity)
-                if not len(found):
-                    return found
-                sets = [values[ends[k] : ends[k + 1]] for k in s + rest[found]]
-                own = values[ends[s + i] : ends[s + i + 1]]
+            def exact(one, others, values=values, ends=ends):  # one is the same in all pairs
+                if not len(one):
+                    return one
+                sets = [values[ends[k] : ends[k + 1]] for k in others.tolist()]
+                own = values[ends[one[0]] : ends[one[0] + 1]]
                 both = shared(own, sets)
-                return found[both / (len(own) + np.array([len(x) for x in sets]) - both) >= similarity]
+                return np.flatnonzero(both / (len(own) + np.array([len(x) for x in sets]) - both) >= similarity)
 
-            pairs = [(a + s, b + s) for s, n in zip(starts[:-1], np.diff(starts), strict=True) for a, b in [follow(n, lambda i, rest, s=s: hit(i, rest, s))]]
-            a, b = node[np.concatenate([x for x, _ in pairs])], node[np.concatenate([x for _, x in pairs])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+            a, b = joined(prints, starts, WIDE, _candidate(table, prints, similarity), exact)
+            yield _ordered(node[a], node[b])
 
     return run
 
@@ -312,7 +351,7 @@ def exact_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: in
     """(src, dst): links that join the nodes (d, t and SET_COLUMNS) of at least that similarity; texts: d, t, text."""
     carried = ["size", *PRINT, *MORE_KEYS]
     places = "i long, key long, x long, y long, node long"
-    near = materialize(_dealt(nodes.where("size > 0"), MORE_KEYS, carried, block).mapInArrow(_candidates(similarity), places), "candidates")
+    near = materialize(_dealt(_blocks_of(nodes.where("size > 0")), [*BLOCK_KEYS, *MORE_KEYS], carried, block).mapInArrow(_candidates(similarity), places), "candidates")
     asked = nodes.join(near.select("node").distinct(), "node", "left_semi")
     found = texts.join(asked.select("d", "t", "node"), ["d", "t"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes array<long>")
     asked = asked.select("node", *carried).join(found.dropDuplicates(["node"]), "node")

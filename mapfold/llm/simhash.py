@@ -81,6 +81,12 @@ def blocks(budget: int = BUDGET) -> list[tuple[int, ...]]:
     return [tuple(map(int, np.concatenate(some))) for some in itertools.combinations(np.array_split(np.arange(64), budget + r), r)]
 
 
+def block_masks(budget: int = BUDGET) -> list[int]:
+    """The bits of each entry of blocks(), as signed longs."""
+    masks = [sum(1 << (63 - b) for b in bits) for bits in blocks(budget)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def trie_pairs(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i < j) of sorted distinct uint64 values that differ in at most `budget` bits.
 
@@ -168,9 +174,7 @@ def fingerprint_links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFram
 
     Of the links within one key, those that its components don't need are left out.
     """
-    masks = [sum(1 << (63 - b) for b in bits) for bits in blocks(budget)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
+    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(budget))])
     dealt = fingerprints.select(F.explode(keys).alias("x"), "fp").select(F.col("x.k").alias("k"), F.col("x.key").alias("key"), "fp")
     dealt = dealt.repartition("k", "key").sortWithinPartitions("k", "key")
     return dealt.mapInArrow(_links_of_tasks(budget), "src long, dst long")

@@ -233,6 +233,37 @@ def test_components_are_followed():
     assert len(a) == len(rows) - 30 and (a % 30 == b % 30).all()
 
 
+def test_near_copies_meet_in_tries():
+    """A trie finds what all pairs of fingerprints give, rows of one fingerprint too, and components come out whole."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, (20, 4), dtype=np.uint64)
+    prints = np.concatenate([base ^ (r.integers(0, 1 << 63, base.shape, dtype=np.uint64) & r.integers(0, 1 << 63, base.shape, dtype=np.uint64) & r.integers(0, 1 << 63, base.shape, dtype=np.uint64)) for _ in range(5)] + [base[:8]] * 3)
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    for bits in (0, 40, 60, 256):
+        rows = near_copies.sorted_rows(prints, np.zeros(len(prints)))
+        a, b = near_copies.trie_search(prints, rows, rows, np.arange(len(rows)) + 1, np.full(len(rows), len(rows)), bits)
+        want = np.argwhere(np.triu(far <= bits, 1))
+        assert sorted(map(sorted, zip(a.tolist(), b.tolist(), strict=True))) == want.tolist() and len(want) >= 24
+        for size in (6, 124):  # groups that are compared together, and one that is followed
+            starts = np.append(np.arange(0, len(prints), size), len(prints))
+            group = np.searchsorted(starts, np.arange(len(prints)), side="right")
+            a, b = near_copies.joined(prints, starts, bits)
+            assert (group[a] == group[b]).all() and (far[a, b] <= bits).all()
+            found, root = np.eye(len(prints), dtype=bool), np.arange(len(prints))
+            found[a, b] = found[b, a] = True
+            near, low = (far <= bits) & (group[:, None] == group[None]), root
+            for _ in prints:
+                root, low = np.where(found, root[None], len(prints)).min(axis=1), np.where(near, low[None], len(prints)).min(axis=1)
+            assert root.tolist() == low.tolist()
+
+
+def test_near_copies_meet_under_bits_of_their_own(spark):
+    """Texts whose first words differ in two bits meet, even if they have no smallest shingle hash in common."""
+    rows = [(1, 0, 5, 6, 7, 1, 2, 3, 4), (2, (1 << 40) + 8, 5, 6, 3, 5, 6, 7, 8), (3, (1 << 40) + (1 << 20) + 24, 5, 6, 7, 9, 10, 11, 12)]
+    df = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, k0 long, k1 long, k2 long, k3 long")
+    assert {(x["src"], x["dst"]) for x in near_copies.wide_links(df).collect()} == {(1, 2), (2, 3)}
+
+
 def test_trie_pairs_are_all_pairs():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
