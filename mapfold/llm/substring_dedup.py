@@ -54,8 +54,12 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 CUT = 8
 #: A table whose shuffle files go at once: there are over a dozen, and the disk would hold the files of all.
 materialize = partial(write_table, free=True)
-#: Most words whose hashes a task remembers.
-REMEMBERED = 500_000
+#: Bytes of texts that are read together; a longer text is read by itself.
+TOGETHER = 1 << 20
+#: Which bytes are white space.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The first n bytes of a word of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def slide(a: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
@@ -67,20 +71,67 @@ def slide(a: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
     return op(a[: len(a) - (size - width)], a[size - width :]) if size > width else a
 
 
+def hash_words(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words joined[start:end], of eight bytes at a time: words of one length of up to eight differ in theirs."""
+    padded = np.concatenate((joined, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(joined) + 1,), "<u8", padded, 0, (1,))  # at each place, the eight bytes from there on
+    at, left = starts, ends - starts
+    out = left.astype(np.uint64) * np.uint64(BASES[0])
+    live = np.arange(len(starts))
+    while len(live):
+        x = out[live] ^ (eight[at] & FIRST[np.minimum(left, 8)])
+        for shift, factor in ((32, 0xBEA225F9EB34556D), (29, 0xD6E8FEB86659FD93)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        out[live] = x ^ (x >> np.uint64(32))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def read_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts whose words are apart by one space, where each word starts and ends, and each text's first word, with the number of all."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    space = SPACE[data]
+    before = np.concatenate(([True], space))  # at each byte: whether no word leads up to it
+    before[offsets] = True
+    after = np.concatenate((space, [True]))
+    after[offsets] = True
+    starts, ends = np.flatnonzero(~space & before[:-1]), np.flatnonzero(~space & after[1:]) + 1
+    first = np.searchsorted(starts, offsets)
+    dropped = space & before[:-1]
+    gone = np.flatnonzero(dropped)
+    joined = np.where(space, np.uint8(0x20), data)
+    if len(gone):
+        joined, starts, ends = joined[~dropped], starts - np.searchsorted(gone, starts), ends - np.searchsorted(gone, ends)
+    return joined, starts, ends, first
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to TOGETHER bytes, or of one text."""
+    sizes, a, held = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for i, size in enumerate(sizes):
+        if i > a and held + size > TOGETHER:
+            yield a, i
+            a, held = i, 0
+        held += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 class Hasher:
     """Hashes of all word sequences of a text from running sums."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
         self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in BASES]
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for w in set(tokens).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        return hash_words(np.frombuffer(b" ".join(tokens), np.uint8), np.concatenate(([0], ends[:-1] + 1))[: len(tokens)], ends)
 
     def sums(self, words: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
         """Running sums of word x base^-i, and base^i."""
@@ -111,55 +162,66 @@ def anchors_of(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarr
     return np.flatnonzero(slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
 
 
-def graph_rows(tokens: list[bytes], hasher: Hasher, window: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """Of one text's anchors: positions, ends of the window starts their edges cover, node hashes and both edge hashes.
+def graph_rows(words: np.ndarray, first: np.ndarray, hasher: Hasher, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of texts' anchors: how many each text has; positions, ends of the window starts their edges cover, node hashes and both edge hashes.
 
-    The text's start counts as an anchor. The edge at an anchor covers every window that starts there or later,
-    before the next anchor; near the text's end there may be none.
+    words: hashes of all texts' words, of which text i has first[i] to first[i + 1] - 1. A text's start counts as an anchor. The edge at an
+    anchor covers every window that starts there or later, before the next anchor; near the text's end there may be none.
     """
-    n = len(tokens)
-    if n < window:
-        return None
-    words = hasher.words(tokens)
+    n, size = len(words), np.diff(first)
+    if not (size >= window).any():
+        return (np.zeros(len(size), np.int64), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 3)
+    stop, begin = np.repeat(first[1:], size), np.repeat(first[:-1], size)
     one, two, at = hasher.sums(words, 0), hasher.sums(words, 1), np.arange(n - k + 1)
     nodes = hasher.spans(one, at, at + k)
-    every = anchors_of(nodes, window, k)
-    pos = np.concatenate(([0], every)) if every[0] else every
-    until = np.append(pos[1:], n)
-    need = np.minimum(until - 1, n - window) + window
+    width = window - k + 1
+    least = slide(nodes, width, np.minimum)
+    least[at[: len(least)] + window > stop[: len(least)]] = 0  # no window goes over a text's end
+    edge = np.zeros(width - 1, np.uint64)
+    inside = (at + k <= stop[: len(at)]) & (stop - begin >= window)[: len(at)]
+    every = np.flatnonzero((slide(np.concatenate((edge, least, edge)), width, np.maximum) == nodes) & inside)
+    pos = np.union1d(every, first[:-1][size >= window])
+    low, high = begin[pos], stop[pos]
+    until = np.minimum(np.append(pos[1:], n), high)
+    need = np.minimum(until - 1, high - window) + window
     j = np.searchsorted(every + k, need)
-    end = np.where(j < len(every), every[np.minimum(j, len(every) - 1)] + k, n)
-    return pos, np.minimum(until, n - window + 1), nodes[pos], hasher.spans(one, pos, end), hasher.spans(two, pos, end)
+    end = np.minimum(np.append(every + k, n)[j], high)
+    count = np.bincount(np.searchsorted(first, pos, side="right") - 1, minlength=len(size))
+    return count, pos - low, np.minimum(until, high - window + 1) - low, nodes[pos], hasher.spans(one, pos, end), hasher.spans(two, pos, end)
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64).view(np.int64)
 
 
+def _extents(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where each text's words start and end; both 0 for a text without words."""
+    some = np.diff(first) > 0
+    low, high = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+    low[some], high[some] = starts[first[:-1][some]], ends[first[1:][some] - 1]
+    return low.tolist(), high.tolist()
+
+
 def _scan(window: int, k: int):
     """Per document: words, digest of its words, and its anchors that start a window, with all nodes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, none = Hasher(), [np.zeros(0, np.uint64)] * 5
+        hasher = Hasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n_words, digests, lists = [], [], [[] for _ in range(5)]
-                for text in part.column(3).to_pylist():
-                    tokens = (text or "").encode().split()
-                    n_words.append(len(tokens))
-                    digests.append(hashlib.sha256(b" ".join(tokens)).hexdigest())
-                    rows = graph_rows(tokens, hasher, window, k)
-                    for out, column in zip(lists, rows or none, strict=True):
-                        out.append(column)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists[0]]))).astype(np.int32)
-                columns = [_signed(np.concatenate(x)) for x in lists]
+            for low, high in parts(batch.column(3)):
+                part = batch.slice(low, high - low)
+                joined, starts, ends, first = read_words(part.column(3))
+                n_words, text = np.diff(first), memoryview(joined)
+                digests = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(*_extents(starts, ends, first), strict=True)]
+                count, *lists = graph_rows(hash_words(joined, starts, ends), first, hasher, window, k)
+                offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                columns = [_signed(x) for x in lists]
                 last = offsets[1:][np.diff(offsets) > 0] - 1
                 for c in (3, 4):  # of each edge the one that follows
                     columns.append(np.append(columns[c][1:], 0)[: len(columns[c])])
                     columns[-1][last] = 0
                 arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in columns]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words, pa.int64()), pa.array(digests), *arrays], ["doc_id", "d", "t", "n_words", "digest", "pos", "until", "h", "s1", "s2", "n1", "n2"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words, pa.int64()), pa.array(digests, pa.string()), *arrays], ["doc_id", "d", "t", "n_words", "digest", "pos", "until", "h", "s1", "s2", "n1", "n2"])
 
     return run
 
@@ -176,9 +238,9 @@ def digests_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(every, "<i8").reshape(-1, 2)
 
 
-def values_of(lists: pa.ListArray) -> list[np.ndarray]:
-    """The values of each list, none for null."""
-    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+def values_of(lists: pa.ListArray, field: str | None = None) -> list[np.ndarray]:
+    """The values of each list, or those of a field of them; none for null."""
+    values, ends = (lists.values.field(field) if field else lists.values).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     empty = values[:0]
     return [values[a:b] if ok else empty for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
 
@@ -202,44 +264,44 @@ def _windows(window: int, k: int):
     ASK; n is 1), those that others may ask for (SHOW), and its slices that others' spans are compared with (SLICE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, rows, docs = Hasher(), [], 0, 0
+        hasher, held, digests, rows, docs = Hasher(), [], [], 0, 0
 
         def looked() -> pa.RecordBatch:
+            size, d, t, what = (np.array(c, np.int64) for c in zip(*[x[:4] for x in held], strict=True))
+            start, n = (np.concatenate(c) for c in zip(*[x[4:] for x in held], strict=True))
             types = [np.int64] * 5 + [np.int32] * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(ty, copy=False)) for c, ty in zip(zip(*held, strict=True), types, strict=True)], LOOKED)
+            columns = [*np.concatenate(digests).T, n, np.repeat(d, size), np.repeat(t, size), start, np.repeat(what, size)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, ty)) for c, ty in zip(columns, types, strict=True)], LOOKED)
 
         for batch in batches:
-            owners, texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2)
-            marked, *intervals = map(values_of, batch.columns[3:8])
-            for i, ((d, t), slices) in enumerate(zip(owners, batch.column(8).to_pylist(), strict=True)):
-                joined = b" ".join(tokens := texts[i].as_py().encode().split())
-                n = len(tokens)
-                ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-                starts = np.concatenate(([0], ends[:-1] + 1))
-                size, picks = n - window + 1, []
-                span_a, span_b, show_a, show_b = (c[i] for c in intervals)
-                if len(marked[i]):  # a window whose smallest k-mer is a node that occurs once can't repeat
-                    at = np.arange(n - k + 1)
-                    hashes = hasher.spans(hasher.sums(hasher.words(tokens), 0), at, at + k)
-                    known, least = np.sort(hashes[marked[i]]), slide(hashes, window - k + 1, np.minimum)
-                    asked = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least
-                    picks.append((asked & ~covered(size, span_a, span_b), ASK))
-                if len(show_a):
-                    picks.append((covered(size, show_a, show_b), SHOW))
-                for pick, what in picks:
-                    begin = np.flatnonzero(pick)
-                    if m := len(begin):
-                        digests = digests_of(joined, starts[begin], ends[begin + window - 1])
-                        held.append((*digests.T, np.ones(m, np.int64), np.full(m, d), np.full(m, t), begin, np.full(m, what)))
-                        rows += m
-                for s in slices or []:
-                    digest = digest_of(joined[starts[s["a"]] : ends[s["a"] + s["n"] + window - 2]])
-                    held.append(tuple(np.array([x], np.int64) for x in (*digest, s["n"], d, t, s["a"], SLICE)))
-                    rows += 1
-                docs += 1
-                if held and (docs >= HANDED[0] or rows >= HANDED[1]):
-                    yield looked()
-                    held, rows, docs = [], 0, 0
+            owners = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            marked, span_a, span_b, show_a, show_b = map(values_of, batch.columns[3:8])
+            slice_a, slice_n = values_of(batch.column(8), "a"), values_of(batch.column(8), "n")
+            for low, high in parts(batch.column(2)):
+                joined, every_start, every_end, first = read_words(batch.column(2).slice(low, high - low))
+                text = memoryview(joined)
+                for i, f, l in zip(range(low, high), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    starts, ends = every_start[f:l], every_end[f:l]
+                    n, picks = l - f, []
+                    if len(marked[i]):  # a window whose smallest k-mer is a node that occurs once can't repeat
+                        at = np.arange(n - k + 1)
+                        words = hash_words(joined[starts[0] : ends[-1]], starts - starts[0], ends - starts[0])
+                        hashes = hasher.spans(hasher.sums(words, 0), at, at + k)
+                        known, least = np.sort(hashes[marked[i]]), slide(hashes, window - k + 1, np.minimum)
+                        asked = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least
+                        picks.append((np.flatnonzero(asked & ~covered(n - window + 1, span_a[i], span_b[i])), 1, ASK))
+                    if len(show_a[i]):
+                        picks.append((np.flatnonzero(covered(n - window + 1, show_a[i], show_b[i])), 1, SHOW))
+                    picks.append((slice_a[i], slice_n[i], SLICE))
+                    for begin, size, what in picks:
+                        if m := len(begin):
+                            digests.append(digests_of(text, starts[begin], ends[begin + size + window - 2]))
+                            held.append((m, *owners[i], what, begin, np.full(m, size) if what != SLICE else size))
+                            rows += m
+                    docs += 1
+                    if held and (docs >= HANDED[0] or rows >= HANDED[1]):
+                        yield looked()
+                        held, digests, rows, docs = [], [], 0, 0
         if held:
             yield looked()
 

@@ -129,6 +129,27 @@ def test_windows_are_told_by_their_words():
     assert found.tolist() == [list(substring_dedup.digest_of(w)) for w in (b"one two", b"one two", b"two three")]
 
 
+def test_texts_are_read_together(monkeypatch):
+    """Anchors of texts read side by side are those of each by itself, and no word's hash is asked for in Python."""
+    r = random.Random(5)
+    gap = lambda: r.choice([" ", " ", " ", "\n", " \t", "\x0b\x0c\r "])
+    word = lambda: r.choice(["a", "b", "é\xa0ü", "c" * 8, "d" * 9, "long-word-of-more-than-sixteen-bytes", str(r.randrange(40))])
+    texts = ["", None, "  ", "x", " a b ", *["".join(word() + gap() for _ in range(r.choice([3, 34, 35, 36, 90, 400]))) for _ in range(60)], "end", None]
+    joined, starts, ends, first = substring_dedup.read_words(pa.array(["cut off", *texts]).slice(1))
+    words = [joined[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    assert [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] == [(t or "").encode().split() for t in texts]
+    hashes = substring_dedup.hash_words(joined, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist(), strict=True)))
+    assert hashes.tolist() == substring_dedup.Hasher().words(words).tolist()
+    monkeypatch.setattr(substring_dedup.Hasher, "words", lambda *_: 1 / 0)
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], ["doc_id", "d", "t", "text"])
+    together = pa.Table.from_batches(substring_dedup._scan(35, 8)(iter([batch]))).to_pylist()
+    alone = pa.Table.from_batches(substring_dedup._scan(35, 8)(batch.slice(i, 1) for i in range(len(texts)))).to_pylist()
+    assert together == alone and sum(len(x["pos"]) for x in alone) > 200
+    assert [(x["n_words"], x["digest"]) for x in alone] == [(len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode().split() for t in texts)]
+
+
 def test_word_sequence_hashes_depend_on_content_only():
     h = substring_dedup.Hasher()
     t = [b"a", b"b", b"c", b"a", b"b", b"c", b"d"]
