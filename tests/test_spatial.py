@@ -214,3 +214,26 @@ def test_equal_boxes_are_joined_once(spark, monkeypatch):
     assert grid.box_pairs(points, boxes.where("false"), "row_id", "box", 0.0, 0.0).count() == 0
     plan = catalog.points_in_boxes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list(box" in plan and "collect_list(row_id" in plan
+
+
+def test_pairs_are_made_a_few_at_a_time(spark, monkeypatch):
+    """The first pair of 500 points and 500 equal boxes is passed on before all pairs are made; the others follow."""
+    n = 500
+    points = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") / n).alias("x"), F.lit(0.5).alias("y"))
+    boxes = spark.range(n).select(F.col("id").alias("box"), *[F.lit(v).alias(c) for c, v in zip(("minx", "miny", "maxx", "maxy"), (0.0, 0.0, 1.0, 1.0), strict=True)])
+    pairs = grid.box_pairs(points, boxes, "row_id", "box", 0.0, 0.0)
+    plan = pairs._jdf.queryExecution().executedPlan()
+    assert len(plan.executeTake(1)) == 1
+    todo, made = [plan.executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    assert 1 <= max(made) <= grid.FEW * grid.LISTED and max(made) < n * n / 10
+    assert pairs.count() == pairs.distinct().count() == n * n
+    uneven = grid.box_pairs(points.where("row_id % 2 = 0"), boxes.where(f"box < {grid.FEW + 1}"), "row_id", "box", 0.0, 0.0)
+    assert sorted(r["box"] for r in uneven.select("box").distinct().collect()) == list(range(grid.FEW + 1)) and uneven.count() == (grid.FEW + 1) * n // 2
+    monkeypatch.setattr(grid, "MADE", 10_000)
+    dealt = grid.box_pairs(points, boxes, "row_id", "box", 0.0, 0.0)
+    assert dealt.rdd.getNumPartitions() == n * n // 10_000
